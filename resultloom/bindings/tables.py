@@ -63,8 +63,8 @@ class Tables:
         )
         forms = F.array(
             F.struct(F.lit("").alias("tag"), F.col("title").alias("title"), F.lit(0).alias("days")),
-            F.struct(F.lit("b"), F.concat("title", F.lit(" — The Guardian")), F.lit(1)),
-            F.struct(F.lit("c"), reworded, F.lit(30)),
+            F.struct(F.lit("b").alias("tag"), F.concat("title", F.lit(" — The Guardian")).alias("title"), F.lit(1).alias("days")),
+            F.struct(F.lit("c").alias("tag"), reworded.alias("title"), F.lit(30).alias("days")),
         )
         return base.withColumn("form", F.explode(forms)).select(
             "search_id",
@@ -101,8 +101,7 @@ class Tables:
     def searches(self) -> DataFrame:
         return self.read("benchmark").select(
             F.concat(F.lit("s"), "item_id").alias("search_id"),
-            F.array_join(F.array_distinct(tokens(F.col("text"))), " ").alias("query"),
-            F.col("text").alias("asked"),
+            F.col("text").alias("query"),
             F.timestamp_seconds(F.lit(NOW_SECONDS) - 86400 + F.col("item_id") * 60).alias("created_at"),
             F.expr(
                 f"CASE WHEN item_id % 5 <> 0 THEN timestamp_seconds({NOW_SECONDS} - 86400 + item_id * 60"
@@ -179,17 +178,14 @@ class Tables:
             F.collect_list(article).alias("articles"),
             F.collect_list(entry).alias("entries"),
         )
+        shapes = {
+            "guardian": F.struct(F.struct(F.lit("ok").alias("status"), F.col("news").alias("results")).alias("response")),
+            "reddit": F.struct(F.struct(F.col("posts").alias("children")).alias("data")),
+            "wikipedia": F.struct(F.struct(F.map_from_entries("entries").alias("pages")).alias("query")),
+            "gdelt": F.struct("articles"),
+        }
         bodies = F.array(
-            F.struct(
-                F.lit("guardian").alias("source"),
-                F.to_json(F.struct(F.struct(F.lit("ok").alias("status"), F.col("news").alias("results")).alias("response"))).alias("body"),
-            ),
-            F.struct(F.lit("reddit"), F.to_json(F.struct(F.struct(F.col("posts").alias("children")).alias("data")))),
-            F.struct(
-                F.lit("wikipedia"),
-                F.to_json(F.struct(F.struct(F.map_from_entries("entries").alias("pages")).alias("query"))),
-            ),
-            F.struct(F.lit("gdelt"), F.to_json(F.struct(F.col("articles").alias("articles")))),
+            *[F.struct(F.lit(n).alias("source"), F.to_json(shape).alias("body")) for n, shape in shapes.items()]
         )
         return packed.select("search_id", "page", F.explode(bodies).alias("b")).select(
             "search_id",
@@ -202,7 +198,8 @@ class Tables:
 
     def fetches(self) -> DataFrame:
         """Payloads among which some failed, by document page and source."""
-        return self.payloads().withColumn("_h", F.pmod(F.length("body"), F.lit(7))).select(
+        spread = F.expr("pmod(unix_seconds(fetched_at) + length(source) + cast(substring(search_id, 2) AS bigint), 7)")
+        return self.payloads().withColumn("_h", spread).select(
             "search_id", "source", "fetched_at",
             F.expr("CASE _h WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN NULL ELSE 200 END").alias("http_status"),
             F.expr("CASE _h WHEN 4 THEN 9000 ELSE 120 END").cast("long").alias("latency_ms"),

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Publisher names that may end a title.
 PUBLISHERS = (
@@ -59,7 +60,7 @@ def fold_title(composed: Column) -> Column:
     return squeeze(F.regexp_replace(bare, r"(?U)[^\p{L}\p{N}_\s]", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no built-in for."""
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
