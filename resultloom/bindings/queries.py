@@ -120,7 +120,7 @@ def _(t: Tables) -> DataFrame:
 
 @bound(
     "s6_fetch_outcomes",
-    sql("SELECT search_id, source, at AS fetched, status, error FROM outcomes", "outcomes"),
+    sql("SELECT search_id, source, fetched, status, error FROM outcomes", "outcomes"),
 )
 def _(t: Tables) -> DataFrame:
     rows = payloads.with_outcome(t.fetches())
@@ -201,9 +201,9 @@ def _(t: Tables) -> DataFrame:
         """SELECT search_id, source_name, status, CASE WHEN status = 'success' THEN coalesce(found, 0) END AS result_count, latency_ms,
         nullif(status, 'success') AS error_type, error AS error_message FROM (
         SELECT search_id, CASE source WHEN 'guardian' THEN 'The Guardian' WHEN 'reddit' THEN 'Reddit' WHEN 'wikipedia' THEN 'Wikipedia' ELSE 'GDELT' END AS source_name,
-        arg_max(status, (CASE WHEN status <> 'success' THEN 1 ELSE 0 END, at)) AS status,
+        arg_max(status, (CASE WHEN status <> 'success' THEN 1 ELSE 0 END, fetched)) AS status,
         CAST(max(CASE WHEN h = 4 THEN 4500 ELSE 120 END) AS BIGINT) AS latency_ms,
-        arg_max(coalesce(error, ''), (CASE WHEN status <> 'success' THEN 1 ELSE 0 END, at)) AS e, nullif(e, '') AS error,
+        arg_max(coalesce(error, ''), (CASE WHEN status <> 'success' THEN 1 ELSE 0 END, fetched)) AS e, nullif(e, '') AS error,
         CAST(sum(CASE WHEN status <> 'success' OR source = 'gdelt' THEN 0 WHEN source = 'reddit' THEN titled ELSE n_rows END) AS BIGINT) AS found
         FROM outcomes GROUP BY 1, 2)""",
         "outcomes",
@@ -762,8 +762,8 @@ def _(t: Tables) -> DataFrame:
         round(avg(coalesce(precision_at_5, 0)), 6) AS precision_at_5, round(avg(coalesce(precision_at_10, 0)), 6) AS precision_at_10,
         round(avg(coalesce(reciprocal_rank, 0)), 6) AS reciprocal_rank, round(avg(coalesce(ndcg_at_10, 0)), 6) AS ndcg_at_10,
         round(avg(coalesce(rel0_in_top10, 0)), 6) AS rel0_in_top10, round(avg(coalesce(fresh_junk_in_top10, 0)), 6) AS fresh_junk_in_top10
-        FROM (SELECT search_id, count(*) AS total, count(*) FILTER (rel >= 1) AS all1, count(*) FILTER (rel >= 2) AS all2 FROM grades GROUP BY 1),
-        (VALUES {', '.join(f"('{n}')" for n in evaluation.FILTER_CONFIGS)}) v(view) LEFT JOIN view_metrics USING (view, search_id) GROUP BY 1""",
+        FROM (SELECT * FROM (SELECT search_id, count(*) AS total, count(*) FILTER (rel >= 1) AS all1, count(*) FILTER (rel >= 2) AS all2 FROM grades GROUP BY 1),
+        (VALUES {', '.join(f"('{n}')" for n in evaluation.FILTER_CONFIGS)}) v(view)) LEFT JOIN view_metrics USING (view, search_id) GROUP BY 1""",
         "view_metrics", "grades",
     ),
 )
@@ -983,12 +983,12 @@ def _(t: Tables) -> DataFrame:
 @bound(
     "x14_term_idf",
     sql(
-        f"SELECT search_id, at - 1 AS at, term, round({R.idf('smooth1', 'tn')}, 6) AS title_idf, round({R.idf('smooth1', 'dn')}, 6) AS description_idf FROM asked_stats",
+        f"SELECT search_id, spot - 1 AS at_place, term, round({R.idf('smooth1', 'tn')}, 6) AS title_idf, round({R.idf('smooth1', 'dn')}, 6) AS description_idf FROM asked_stats",
         "asked_stats",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return tidy(bm25.term_idf(t.results(), t.searches()))
+    return tidy(bm25.term_idf(t.results(), t.searches()).withColumnRenamed("at", "at_place"))
 
 
 @bound("x16_bm25_relevance", sql("SELECT search_id, id, round(base_relevance, 6) AS base_relevance FROM base_core", "base_core"))
@@ -1033,7 +1033,7 @@ def _(t: Tables) -> DataFrame:
 
 @bound(
     "w8_rank_shifts",
-    sql("SELECT search_id, id, lexical_at, bm25_at, bm25_at - lexical_at AS shift FROM both WHERE rel >= 1", "both"),
+    sql("SELECT search_id, id, lexical_at, bm25_at, bm25_at - lexical_at AS shift FROM two_ranks WHERE rel >= 1", "two_ranks"),
 )
 def _(t: Tables) -> DataFrame:
     both = bm25.both_positions(t.results(), t.searches(), t.grades())
@@ -1042,7 +1042,7 @@ def _(t: Tables) -> DataFrame:
 
 @bound(
     "a21_relevant_in_top10",
-    sql("SELECT search_id, count(*) FILTER (rel >= 1 AND lexical_at <= 10) AS lexical, count(*) FILTER (rel >= 1 AND bm25_at <= 10) AS bm25 FROM both GROUP BY 1", "both"),
+    sql("SELECT search_id, count(*) FILTER (rel >= 1 AND lexical_at <= 10) AS lexical, count(*) FILTER (rel >= 1 AND bm25_at <= 10) AS bm25 FROM two_ranks GROUP BY 1", "two_ranks"),
 )
 def _(t: Tables) -> DataFrame:
     return bm25.relevant_in_top10(bm25.both_positions(t.results(), t.searches(), t.grades()))
@@ -1051,10 +1051,10 @@ def _(t: Tables) -> DataFrame:
 @bound(
     "j9_inversions",
     sql(
-        """SELECT x.search_id, x.id AS better_id, y.id AS worse_id, x.rel - y.rel AS gap, x.lexical_at AS better_lexical_at, y.lexical_at AS worse_lexical_at FROM both x JOIN both y
+        """SELECT x.search_id, x.id AS better_id, y.id AS worse_id, x.rel - y.rel AS gap, x.lexical_at AS better_lexical_at, y.lexical_at AS worse_lexical_at FROM two_ranks x JOIN two_ranks y
         ON x.search_id = y.search_id AND x.rel > y.rel AND x.lexical_at <= 10 AND x.bm25_at <= 10 AND y.lexical_at <= 10 AND y.bm25_at <= 10
         AND (x.lexical_at < y.lexical_at) <> (x.bm25_at < y.bm25_at)""",
-        "both",
+        "two_ranks",
     ),
 )
 def _(t: Tables) -> DataFrame:

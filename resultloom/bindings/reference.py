@@ -477,7 +477,7 @@ part(
 part(
     "asked",
     ("searches",),
-    f"SELECT search_id, generate_subscripts(terms, 1) AS at, unnest(terms) AS term, len(terms) AS asked, terms FROM (SELECT search_id, {content_tokens('query')} AS terms FROM searches)",
+    f"SELECT search_id, generate_subscripts(terms, 1) AS spot, unnest(terms) AS term, len(terms) AS asked, terms FROM (SELECT search_id, {content_tokens('query')} AS terms FROM searches)",
 )
 part(
     "asked_stats",
@@ -505,7 +505,7 @@ def saturated(tf: str, n: str, length: str, mean: str, v: Variant) -> str:
 part(
     "term_hits",
     ("bag", "asked_stats"),
-    """SELECT b.search_id, b.id, at, documents, title_mean, description_mean, tn, dn, len(tw) AS tl, len(dw) AS dl,
+    """SELECT b.search_id, b.id, spot, documents, title_mean, description_mean, tn, dn, len(tw) AS tl, len(dw) AS dl,
     len(list_filter(tw, lambda w: w = a.term)) AS ttf, len(list_filter(dw, lambda w: w = a.term)) AS dtf
     FROM bag b JOIN asked_stats a USING (search_id)""",
 )
@@ -515,14 +515,14 @@ def bm25_parts(name: str, v: Variant) -> None:
     part(
         f"ceiling_{name}",
         ("asked_stats",),
-        f"""SELECT search_id, {v.title}::DOUBLE * sum({saturated('qtf', 'tn', 'asked', 'title_mean', v)} ORDER BY at)
-        + {v.description}::DOUBLE * sum({saturated('qtf', 'dn', 'asked', 'description_mean', v)} ORDER BY at) AS ceiling FROM asked_stats GROUP BY search_id""",
+        f"""SELECT search_id, {v.title}::DOUBLE * sum({saturated('qtf', 'tn', 'asked', 'title_mean', v)} ORDER BY spot)
+        + {v.description}::DOUBLE * sum({saturated('qtf', 'dn', 'asked', 'description_mean', v)} ORDER BY spot) AS ceiling FROM asked_stats GROUP BY search_id""",
     )
     part(
         f"base_{name}",
         ("term_hits", f"ceiling_{name}"),
-        f"""SELECT search_id, id, CASE WHEN any_value(ceiling) > 0 THEN ({v.title}::DOUBLE * sum({saturated('ttf', 'tn', 'tl', 'title_mean', v)} ORDER BY at)
-        + {v.description}::DOUBLE * sum({saturated('dtf', 'dn', 'dl', 'description_mean', v)} ORDER BY at)) / any_value(ceiling) ELSE 0.0 END AS base_relevance
+        f"""SELECT search_id, id, CASE WHEN any_value(ceiling) > 0 THEN ({v.title}::DOUBLE * sum({saturated('ttf', 'tn', 'tl', 'title_mean', v)} ORDER BY spot)
+        + {v.description}::DOUBLE * sum({saturated('dtf', 'dn', 'dl', 'description_mean', v)} ORDER BY spot)) / any_value(ceiling) ELSE 0.0 END AS base_relevance
         FROM term_hits JOIN ceiling_{name} USING (search_id) GROUP BY search_id, id""",
     )
 
@@ -568,7 +568,7 @@ part(
 )
 part("three_metrics", ("three_ranks", "grades", "ideal"), metrics("three_ranks", "ranker, search_id"))
 part(
-    "both",
+    "two_ranks",
     ("lexical", "bm25_core", "grades"),
     """SELECT l.search_id, l.id, l.title, l.raw_relevance, l.position AS lexical_at, b.bm25, b.position AS bm25_at, g.rel
     FROM lexical l JOIN bm25_core b USING (search_id, id) JOIN grades g USING (search_id, id)""",
@@ -598,7 +598,7 @@ part(
 part(
     "fetches",
     ("results", "nq"),
-    f"""SELECT search_id, page, source, n_rows, titled, CAST(epoch({NOW}) AS BIGINT) + page AS at,
+    f"""SELECT search_id, page, source, n_rows, titled, CAST(epoch({NOW}) AS BIGINT) + page AS fetched,
     (CAST(epoch({NOW}) AS BIGINT) + page + length(source) + CAST(substr(search_id, 2) AS BIGINT)) % 7 AS h FROM (
     SELECT search_id, doc_id // (10 * n) AS page, count(*) AS n_rows, count(*) FILTER (language IS NOT NULL) AS titled FROM results, nq GROUP BY ALL),
     (VALUES ('guardian'), ('reddit'), ('wikipedia'), ('gdelt')) s(source)""",

@@ -13,6 +13,7 @@ from resultloom.functions.text import content_tokens, shorten, strip
 from resultloom.operators.ranking import KEYS, baseline_positions
 from resultloom.operators.skew import largest_group, lookup, position
 from resultloom.plans.evaluation import METRICS, macro_means, ranking_metrics, with_grades
+from resultloom.runtime import materialize
 
 # Term saturation.
 K1 = 1.5
@@ -77,113 +78,113 @@ def field_lengths(results: DataFrame) -> DataFrame:
     )
 
 
-def _query_terms(searches: DataFrame) -> DataFrame:
-    return searches.select("search_id", content_tokens(F.col("query")).alias("terms"))
+def query_terms(searches: DataFrame) -> DataFrame:
+    """Each distinct term of each query, with its places in the query."""
+    return (
+        searches.select("search_id", F.posexplode(content_tokens(F.col("query"))).alias("at", "term"))
+        .groupBy("search_id", "term")
+        .agg(F.sort_array(F.collect_list("at")).alias("places"))
+    )
 
 
-def query_statistics(results: DataFrame, searches: DataFrame) -> DataFrame:
-    """Per search: documents, mean lengths, and for each query term how many documents hold it.
+def term_counts(results: DataFrame, searches: DataFrame) -> DataFrame:
+    """How often each row's fields (t, d) hold each term its query asks for.
 
-    Terms stay in query order with repeats, in one array no longer than a query.
+    Only words the query asks for leave a row, and they are counted per task
+    before the shuffle, so it carries counts, not texts.
     """
-    asked = _query_terms(searches)
-    rows = lookup(results, asked, KEYS)
-    in_title = content_tokens(F.col("title"))
-    in_text = content_tokens(F.col("description"))
-    sizes = rows.groupBy(*KEYS).agg(
-        F.count("*").alias("documents"),
-        F.avg(F.size(in_title)).alias("title_mean"),
-        F.avg(F.size(in_text)).alias("description_mean"),
-    )
-    found = F.array_union(
-        F.transform(F.array_intersect("terms", in_title), lambda t: F.struct(F.lit("t").alias("f"), t.alias("term"))),
-        F.transform(F.array_intersect("terms", in_text), lambda t: F.struct(F.lit("d").alias("f"), t.alias("term"))),
-    )
-    held = (
-        rows.select("search_id", F.explode(found).alias("x"))
-        .groupBy("search_id", "x.f", "x.term")
-        .agg(F.count("*").alias("n"))
-        .groupBy("search_id")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat("f", F.lit(":"), "term"), "n"))).alias("held")
-        )
+    asked = searches.select("search_id", F.array_distinct(content_tokens(F.col("query"))).alias("terms"))
+    rows = lookup(results.select("search_id", "id", "title", "description"), asked, KEYS)
+    wanted = lambda column: F.filter(content_tokens(F.col(column)), lambda w: F.array_contains("terms", w))
+    fields = F.array(
+        F.struct(F.lit("t").alias("field"), wanted("title").alias("words")),
+        F.struct(F.lit("d").alias("field"), wanted("description").alias("words")),
     )
-    empty = F.create_map().cast("map<string,bigint>")
     return (
-        sizes.join(asked, list(KEYS))
-        .join(held, list(KEYS), "left")
-        .withColumn("held", F.coalesce("held", empty))
+        rows.select("search_id", "id", F.explode(fields).alias("f"))
+        .select("search_id", "id", "f.field", F.explode("f.words").alias("term"))
+        .groupBy("search_id", "id", "field", "term")
+        .agg(F.count("*").alias("tf"))
     )
 
 
-def _holders(field: str, term: Column) -> Column:
-    return F.coalesce(F.try_element_at("held", F.concat(F.lit(field + ":"), term)), F.lit(0))
-
+def term_statistics(counts: DataFrame, searches: DataFrame) -> DataFrame:
+    """For each query term and field: its places, and how many rows hold it (0 included)."""
+    holders = counts.groupBy("search_id", "field", "term").agg(F.count("*").alias("n"))
+    asked = query_terms(searches).withColumn("field", F.explode(F.array(F.lit("t"), F.lit("d"))))
+    return asked.join(holders, ["search_id", "field", "term"], "left").na.fill(0, ["n"])
 
-def with_hits(results: DataFrame, searches: DataFrame) -> DataFrame:
-    """Add per row the counts of its query terms, in query order, and the search's statistics.
 
-    Only words the query asks for leave the row, so the shuffle carries matches,
-    not texts.
-    """
-    stats = query_statistics(results, searches)
-    rows = lookup(results, stats, KEYS)
-    for field, column in (("t", "title"), ("d", "description")):
-        words = content_tokens(F.col(column))
-        rows = rows.withColumn(f"{field}_length", F.size(words)).withColumn(
-            f"{field}_words", F.filter(words, lambda w: F.array_contains("terms", w))
-        )
-        rows = rows.withColumn(
-            f"{field}_counts",
-            F.transform(
-                "terms",
-                lambda t: F.struct(
-                    F.size(F.filter(F.col(f"{field}_words"), lambda w: w == t)).alias("tf"),
-                    _holders(field, t).alias("n"),
-                ),
-            ),
-        ).drop(f"{field}_words")
-    return rows
-
-
-def _saturated(counts: Column, length: Column, mean: Column, total: Column, idf: Idf, b: float) -> Column:
+def _saturated(hits: Column, field: str, length: Column, mean: Column, variant: Variant) -> Column:
+    """Sum over the hits of one field, in query order."""
+    idf = IDF[variant.idf]
+    b = variant.b
     norm = F.when(mean > 0, 1 - b + b * (length / mean)).otherwise(1.0)
     return F.aggregate(
-        counts,
+        F.filter(hits, lambda h: h["field"] == field),
         F.lit(0.0),
         lambda acc, h: acc
-        + F.when(
-            h["tf"] > 0, idf(total, h["n"]) * (h["tf"] * (K1 + 1)) / (h["tf"] + K1 * norm)
-        ).otherwise(0.0),
+        + idf(F.col("documents"), h["n"]) * (h["tf"] * (K1 + 1)) / (h["tf"] + K1 * norm),
     )
 
 
-def _asked_counts(field: str) -> Column:
-    """The query taken as a document of its own."""
-    return F.transform(
-        "terms",
-        lambda t: F.struct(
-            F.size(F.filter("terms", lambda w: w == t)).alias("tf"), _holders(field, t).alias("n")
-        ),
+def _score(hits: Column, t_length: Column, d_length: Column, variant: Variant) -> Column:
+    return variant.title * _saturated(
+        hits, "t", t_length, F.col("title_terms"), variant
+    ) + variant.description * _saturated(
+        hits, "d", d_length, F.col("description_terms"), variant
     )
 
 
-def base_relevance(variant: Variant = Variant()) -> Column:
-    """Share of the score the query would get as a document. Reads the columns of ``with_hits``."""
-    idf = IDF[variant.idf]
+def with_hits(results: DataFrame, searches: DataFrame, variants: dict[str, Variant]) -> DataFrame:
+    """Rows without their descriptions, with lengths, term hits in query order and the search's ceilings.
+
+    A row has at most one hit per field and word of its query. A ceiling is the
+    score the query would get as a document of its own, one per variant.
+    """
+    counts = materialize(term_counts(results, searches), "terms")
+    stats = materialize(term_statistics(counts, searches), "term_stats")
+    placed = lookup(counts, stats.filter(F.col("n") > 0), ["search_id", "field", "term"])
+    hit = lambda tf: F.sort_array(F.collect_list(F.struct("field", "at", tf, "n")))
+    hits = (
+        placed.withColumn("at", F.explode("places"))
+        .groupBy("search_id", "id")
+        .agg(hit("tf").alias("hits"))
+    )
+    as_document = (
+        stats.withColumn("tf", F.size("places"))
+        .withColumn("at", F.explode("places"))
+        .groupBy(*KEYS)
+        .agg(hit("tf").alias("asked"))
+    )
+    lengths = field_lengths(results)
+    asked_length = (F.size("asked") / 2).cast("int")
+    ceilings = as_document.join(lengths, list(KEYS)).select(
+        *KEYS,
+        "documents",
+        "title_terms",
+        "description_terms",
+        *[
+            _score(F.col("asked"), asked_length, asked_length, v).alias(f"ceiling_{i}")
+            for i, v in enumerate(variants.values())
+        ],
+    )
+    slim = results.withColumn("t_length", F.size(content_tokens(F.col("title")))).withColumn(
+        "d_length", F.size(content_tokens(F.col("description")))
+    ).drop("description")
+    told = slim.join(hits, ["search_id", "id"], "left")
+    nothing = F.array().cast(hits.schema["hits"].dataType)
+    return lookup(told, ceilings, KEYS, how="left").withColumn("hits", F.coalesce("hits", nothing))
 
-    def total(t_counts: Column, t_length: Column, d_counts: Column, d_length: Column) -> Column:
-        n = F.col("documents")
-        return variant.title * _saturated(
-            t_counts, t_length, F.col("title_mean"), n, idf, variant.b
-        ) + variant.description * _saturated(
-            d_counts, d_length, F.col("description_mean"), n, idf, variant.b
-        )
 
-    score = total(F.col("t_counts"), F.col("t_length"), F.col("d_counts"), F.col("d_length"))
-    asked = F.size("terms")
-    ceiling = total(_asked_counts("t"), asked, _asked_counts("d"), asked)
-    return F.when(ceiling > 0, score / ceiling).otherwise(0.0)
+def base_relevance(variants: dict[str, Variant]) -> dict[str, Column]:
+    """Score over ceiling by variant. Reads the columns of ``with_hits`` for the same variants."""
+    shares = {}
+    for i, (name, v) in enumerate(variants.items()):
+        ceiling = F.col(f"ceiling_{i}")
+        score = _score(F.col("hits"), F.col("t_length"), F.col("d_length"), v)
+        shares[name] = F.when(ceiling > 0, score / ceiling).otherwise(0.0)
+    return shares
 
 
 def bonuses(query: Column, title: Column, description: Column) -> dict[str, Column]:
@@ -203,16 +204,21 @@ def bonuses(query: Column, title: Column, description: Column) -> dict[str, Colu
 
 def with_bm25(results: DataFrame, searches: DataFrame, *, include_bonuses: bool = True) -> DataFrame:
     """Add ``base_relevance`` and ``bm25``, the capped sum with the bonuses."""
-    scored = with_hits(results, searches).withColumn("base_relevance", base_relevance())
-    total = F.col("base_relevance")
+    core = {"core": Variant()}
+    rows = results
+    names: list[str] = []
     if include_bonuses:
-        scored = lookup(scored, searches.select("search_id", F.col("query").alias("_query")), KEYS)
+        rows = lookup(rows, searches.select("search_id", F.col("query").alias("_query")), KEYS)
         parts = bonuses(F.col("_query"), F.col("title"), F.col("description"))
-        for name, value in parts.items():
-            scored = scored.withColumn(name, value)
-            total = total + F.col(name)
-    keep = [c for c in scored.columns if c not in ("terms", "held", "t_counts", "d_counts", "_query")]
-    return scored.withColumn("bm25", F.least(F.lit(1.0), total)).select(*keep, "bm25")
+        names = list(parts)
+        rows = rows.select("*", *[c.alias(n) for n, c in parts.items()]).drop("_query")
+    scored = with_hits(rows, searches, core).withColumn("base_relevance", base_relevance(core)["core"])
+    total = F.col("base_relevance")
+    for name in names:
+        total = total + F.col(name)
+    return scored.withColumn("bm25", F.least(F.lit(1.0), total)).drop(
+        "hits", "ceiling_0", "documents", "title_terms", "description_terms"
+    )
 
 
 def bm25_order(score: str = "bm25") -> list[Column]:
@@ -235,9 +241,9 @@ def variant_sweep(results: DataFrame, searches: DataFrame, grades: DataFrame, **
     """Mean quality of each variant; texts are read and counted once for all."""
     kw.setdefault("largest", largest_group(results, KEYS))
     scores = F.array(
-        *[F.struct(F.lit(n).alias("variant"), base_relevance(v).alias("bm25")) for n, v in VARIANTS.items()]
+        *[F.struct(F.lit(n).alias("variant"), c.alias("bm25")) for n, c in base_relevance(VARIANTS).items()]
     )
-    wide = with_hits(results, searches).select(
+    wide = with_hits(results, searches, VARIANTS).select(
         "search_id", "id", "source_type", "published_at", "url", F.explode(scores).alias("v")
     ).select("*", "v.*").drop("v")
     keys = ["variant", *KEYS]
@@ -251,9 +257,11 @@ def ranker_comparison(results: DataFrame, searches: DataFrame, grades: DataFrame
     columns = ["search_id", "id", "position"]
     ranked = [
         ("baseline", baseline_positions(results, searches, **kw)),
-        ("bm25_core", bm25_positions(results, searches, include_bonuses=False, **kw)),
-        ("bm25_full", bm25_positions(results, searches, **kw)),
     ]
+    weighted = materialize(with_bm25(results, searches), "bm25")
+    for name, score in (("bm25_core", "base_relevance"), ("bm25_full", "bm25")):
+        capped = weighted.withColumn("bm25", F.least(F.lit(1.0), F.col(score)))
+        ranked.append((name, position(capped, KEYS, bm25_order(), **kw)))
     merged = None
     for name, df in ranked:
         part = df.select(F.lit(name).alias("ranker"), *columns)
@@ -268,16 +276,19 @@ def ranker_comparison(results: DataFrame, searches: DataFrame, grades: DataFrame
 
 
 def term_idf(results: DataFrame, searches: DataFrame) -> DataFrame:
-    """Inverse document frequency of each query term in both fields."""
-    stats = query_statistics(results, searches)
+    """Inverse document frequency of each query term in both fields, by place in the query."""
     idf = IDF["smooth1"]
-    terms = stats.select("search_id", "documents", "held", F.posexplode("terms").alias("at", "term"))
-    return terms.select(
-        "search_id",
-        "at",
-        "term",
-        idf(F.col("documents"), _holders("t", F.col("term"))).alias("title_idf"),
-        idf(F.col("documents"), _holders("d", F.col("term"))).alias("description_idf"),
+    total = results.groupBy(*KEYS).agg(F.count("*").alias("documents"))
+    stats = term_statistics(term_counts(results, searches), searches)
+    value = idf(F.col("documents"), F.col("n"))
+    return (
+        stats.join(total, list(KEYS))
+        .groupBy("search_id", "term", "places")
+        .agg(
+            F.max(F.when(F.col("field") == "t", value)).alias("title_idf"),
+            F.max(F.when(F.col("field") == "d", value)).alias("description_idf"),
+        )
+        .select("search_id", F.explode("places").alias("at"), "term", "title_idf", "description_idf")
     )
 
 
