@@ -442,6 +442,10 @@ def _annotated(t: Tables) -> tuple[DataFrame, DataFrame]:
     return dedup.annotate(t.results().drop("doc_id"))
 
 
+def _annotated_overlap(t: Tables) -> DataFrame:
+    return dedup.annotate(ranking.with_overlap(t.results().drop("doc_id"), t.searches()))[0]
+
+
 @bound(
     "g5_annotated",
     sql("SELECT search_id, id, sha256(canonical_url) AS dedupe_key, CASE WHEN grp IS NOT NULL THEN sha256(search_id || chr(31) || grp) END AS duplicate_group_id, is_duplicate FROM annotated", "annotated"),
@@ -582,7 +586,7 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return tidy(views.public(_annotated(t)[0]))
+    return tidy(views.public(dedup.with_texts(_annotated(t)[0], t.results())))
 
 
 @bound(
@@ -667,7 +671,7 @@ def _(t: Tables) -> DataFrame:
     sql("SELECT search_id, id, round(relevance, 6) AS relevance, round(freshness, 6) AS freshness, round(quality, 6) AS quality, scored_type FROM inherited", "inherited"),
 )
 def _(t: Tables) -> DataFrame:
-    annotated, _ = _annotated(t)
+    annotated = _annotated_overlap(t)
     parts = ranking.inherit_from_canonical(ranking.with_components(annotated, t.searches(), NOW))
     return tidy(parts.select("search_id", "id", "relevance", "freshness", "quality", "scored_type"))
 
@@ -695,7 +699,7 @@ def _(t: Tables) -> DataFrame:
     sql("SELECT search_id, id, band, turn FROM turned", "turned"),
 )
 def _(t: Tables) -> DataFrame:
-    annotated, _ = _annotated(t)
+    annotated = _annotated_overlap(t)
     ranked = ranking.rank_results(annotated, t.searches(), NOW)
     return tidy(ranked.select("search_id", "id", "band", "turn"))
 
@@ -768,7 +772,7 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    stored = materialize(_stored(t).drop("description", "title"), "stored")
+    stored = materialize(_stored(t).drop("title"), "stored")
     return tidy(evaluation.filter_sweep(stored, t.grades(), NOW))
 
 
@@ -944,7 +948,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.results().drop("doc_id")
     annotated, groups = dedup.annotate(rows)
-    return postpass.annotation_report(rows, materialize(annotated.drop("description"), "annotated"), groups, t.unclear())
+    return postpass.annotation_report(rows, materialize(annotated, "annotated"), groups, t.unclear())
 
 
 @bound(

@@ -22,7 +22,17 @@ class Tables:
         self._searches: int | None = None
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table. Text in fewer files than cores is spread out before it is parsed.
+
+        One row group is one task, however many cores wait; a table of many files
+        is left as it is.
+        """
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = {"documents": "doc_id", "pages": "page_id"}.get(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if key and len(table.inputFiles()) < cores:
+            table = table.repartition(cores, key)
+        return table
 
     @property
     def search_count(self) -> int:

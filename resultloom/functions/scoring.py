@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from resultloom.functions.text import token_set
+from resultloom.functions.text import tokens
 
 # Ranking constants.
 BAND_WIDTH = 0.05
@@ -30,8 +30,8 @@ DESIGN_WEIGHTS = WEIGHT_SETS["design"]
 
 def lexical_overlap(query_terms: Column, title: Column, description: Column) -> Column:
     """3 for each distinct query term in the title, 1 for each in the description."""
-    in_title = F.size(F.array_intersect(query_terms, token_set(title)))
-    in_text = F.size(F.array_intersect(query_terms, token_set(description)))
+    in_title = F.size(F.array_intersect(query_terms, tokens(title)))
+    in_text = F.size(F.array_intersect(query_terms, tokens(description)))
     return 3 * in_title + in_text
 
 

@@ -67,11 +67,14 @@ def compose(text: pd.Series) -> pd.Series:
 
 
 def with_norm_title(df: DataFrame, title: str = "title", out: str = "norm_title") -> DataFrame:
-    """Add the comparable title; only rows that need composing leave the JVM."""
-    composed = F.coalesce(F.col(title).rlike(_COMPOSED), F.lit(True))
-    plain = df.filter(composed).withColumn(out, fold_title(F.col(title)))
-    other = df.filter(~composed).withColumn(out, fold_title(compose(F.col(title))))
-    return plain.unionByName(other)
+    """Add the comparable title.
+
+    Rows are read once; only the rare titles that need composing go to Python,
+    the others pass as nulls.
+    """
+    raw = F.col(title)
+    composed = F.coalesce(compose(F.when(~raw.rlike(_COMPOSED), raw)), raw)
+    return df.withColumn(out, fold_title(composed))
 
 
 def tokens(text: Column) -> Column:

@@ -78,16 +78,17 @@ def _hub_links(keyed: DataFrame, vertex: str, hub: str) -> DataFrame:
     )
 
 
+# Columns too wide to carry through linking and ranking.
+TEXTS = ("description", "raw")
+
+
 def slim(results: DataFrame) -> DataFrame:
-    """What linking reads of each row, written once: keys and tie-breaks, no texts."""
+    """The rows with their linking keys but without texts, written once.
+
+    Texts are read here and nowhere later in linking or ranking.
+    """
     described = F.length(F.coalesce("description", F.lit("")))
-    return materialize(
-        with_keys(results).select(
-            "search_id", "id", "source_type", "published_at", "url", "norm_title", "node", "hub",
-            described.alias("described"),
-        ),
-        "keys",
-    )
+    return materialize(with_keys(results).withColumn("described", described).drop(*TEXTS), "keys")
 
 
 def _labelled(rows: DataFrame, vertex: str, labels: DataFrame) -> DataFrame:
@@ -229,33 +230,32 @@ def _members(labelled: DataFrame) -> DataFrame:
 def annotate(
     results: DataFrame, threshold: float = THRESHOLD, max_gap_days: float = MAX_GAP_DAYS
 ) -> tuple[DataFrame, DataFrame]:
-    """(annotated results, groups): every row stays, members learn group and role.
+    """(annotated rows, groups): every row stays, members learn group and role.
 
-    The full rows are read once more and meet only the title nodes that ended up
-    in a group; they are never written or shuffled for linking.
+    The annotated rows carry every column but the texts; ``with_texts`` adds those
+    of the rows that are to be shown.
     """
-    labelled, found = _closed(slim(results), threshold, max_gap_days)
+    keyed = slim(results)
+    labelled, found = _closed(keyed, threshold, max_gap_days)
     groups = materialize(found, "groups")
-    nodes = materialize(
-        lookup(
-            labelled.select("node", "component").distinct(),
-            groups.select("component", F.col("group_id").alias("duplicate_group_id"), "canonical_id"),
-            ["component"],
-            by=["node"],
-        ).drop("component"),
-        "nodes",
-    )
+    chosen = groups.select("component", F.col("group_id").alias("duplicate_group_id"), "canonical_id")
     annotated = (
-        lookup(with_keys(results), nodes, ["node"], how="left")
+        lookup(labelled, chosen, ["component"], how="left")
         .withColumn(
             "is_duplicate",
             F.col("duplicate_group_id").isNotNull() & (F.col("id") != F.col("canonical_id")),
         )
-        .drop("canonical_id", "node", "hub")
+        .drop("component", "canonical_id", "node", "hub", "described")
     )
     return annotated, groups.drop("component", "first_member")
 
 
+def with_texts(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """Give rows their texts back from the stored results."""
+    texts = [c for c in TEXTS if c in results.columns]
+    return rows.join(results.select("search_id", "id", *texts), ["search_id", "id"])
+
+
 def dedup_stats(groups: DataFrame, searches: DataFrame) -> DataFrame:
     """Groups and duplicates of each search, zeros included."""
     per = groups.groupBy("search_id").agg(

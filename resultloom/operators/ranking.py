@@ -22,6 +22,7 @@ from resultloom.functions.scoring import (
     weighted,
 )
 from resultloom.functions.text import token_set
+from resultloom.operators.dedup import TEXTS
 from resultloom.operators.skew import TASK_ROWS, largest_group, lookup, position
 from resultloom.runtime import materialize
 
@@ -41,8 +42,8 @@ def with_overlap(results: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 def with_relevance(results: DataFrame, searches: DataFrame) -> DataFrame:
-    """Add raw relevance and its share of the best in the search."""
-    scored = with_overlap(results, searches)
+    """Add raw relevance (unless the rows carry it) and its share of the best in the search."""
+    scored = results if "raw_relevance" in results.columns else with_overlap(results, searches)
     best = scored.groupBy(*KEYS).agg(F.max("raw_relevance").alias("_best"))
     return (
         lookup(scored, best, KEYS)
@@ -200,13 +201,14 @@ def rank_results(
     diversity: bool = True,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Score every result and place it in its search (0-based ``rank_position``)."""
-    largest = largest_group(results, KEYS)
-    scored = with_score(
-        inherit_from_canonical(with_components(results, searches, now)), weights
-    )
-    if largest > task_rows:
-        scored = materialize(scored, "scored")
+    """Score every result and place it in its search (0-based ``rank_position``).
+
+    Texts are read for the raw relevance only, and not carried further.
+    """
+    rows = results if "raw_relevance" in results.columns else with_overlap(results, searches)
+    parts = materialize(with_components(rows.drop(*TEXTS), searches, now), "components")
+    largest = largest_group(parts, KEYS)
+    scored = materialize(with_score(inherit_from_canonical(parts), weights), "scored")
     if not diversity:
         placed = position(
             scored, KEYS, score_order(), "rank_position", task_rows=task_rows, largest=largest

@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resultloom.operators.dedup import annotate, dedup_stats
-from resultloom.operators.ranking import rank_results
+from resultloom.operators.ranking import rank_results, with_overlap
 from resultloom.operators.skew import TASK_ROWS
 from resultloom.operators.views import search_status
 from resultloom.plans.evaluation import ambiguous_pairs
 from resultloom.plans.operations import search_timings
-from resultloom.runtime import materialize
 
 
 def finish(
     results: DataFrame, searches: DataFrame, now: datetime | str, *, task_rows: int = TASK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """(annotated and ranked results, duplicate groups) of the given searches."""
-    annotated, groups = annotate(results)
-    annotated = materialize(annotated, "annotated")
+    """(annotated and ranked rows without texts, duplicate groups) of the given searches.
+
+    The one pass over the texts finds relevance and linking keys together.
+    """
+    annotated, groups = annotate(with_overlap(results, searches))
     ranked = rank_results(annotated, searches, now, task_rows=task_rows)
     columns = [*annotated.columns, "relevance", "freshness", "quality", "rank_score", "rank_position"]
     return ranked.select(*columns), groups
