@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,12 +27,30 @@ def common_subsequence(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
+def least_edits(a: str, b: str) -> int:
+    """Insertions and deletions that ``a`` and ``b`` are apart at least.
+
+    One of them changes at most three pairs of neighbouring characters. Pairs are
+    counted in 1024 classes, which can only bring the counts closer.
+    """
+    def pairs(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        return np.bincount((codes[:-1] * 31 + codes[1:]) & 1023, minlength=1024)
+
+    return -(-int(np.abs(pairs(a) - pairs(b)).sum()) // 3)
+
+
 @F.pandas_udf(T.IntegerType())
-def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else common_subsequence(x, y) for x, y in zip(a, b)],
-        dtype="Int32",
-    )
+def common_length(a: pd.Series, b: pd.Series, budget: pd.Series) -> pd.Series:
+    """Common subsequence length; null where it takes more than ``budget`` edits for certain."""
+    def length(x, y, edits):
+        if x is None or y is None:
+            return None
+        if min(len(x), len(y)) > 16 and least_edits(x, y) > edits:
+            return None
+        return common_subsequence(x, y)
+
+    return pd.Series([length(x, y, e) for x, y, e in zip(a, b, budget)], dtype="Int32")
 
 
 # Keeps Spark from evaluating the comparison once for a filter and again for its output.
@@ -66,17 +85,40 @@ class WordSets:
             self.shared > 0, self._ratio(self.some + rest, 2 * self.shared + self.some + rest)
         ).otherwise(0.0)
 
-    def reachable(self) -> Column:
-        """The most the pair can score, known without comparing characters."""
-        return F.when(self.contained, 100.0).otherwise(
-            F.greatest(
-                self._ratio(F.abs(self.len_a - self.len_b), self.total),
-                self._beside_shared(self.len_a),
-                self._beside_shared(self.len_b),
+    @classmethod
+    def reachable(cls, a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+        """The most a pair can score, from the joined lengths of both and of what they share.
+
+        The shared words are found once per pair and their length bound to a name.
+        """
+        def bound(shared: Column) -> Column:
+            some = F.when(shared > 0, 1).otherwise(0)
+            rest_a = F.greatest(length_a - shared - some, F.lit(0))
+            rest_b = F.greatest(length_b - shared - some, F.lit(0))
+            beside = lambda rest: F.when(
+                shared > 0, cls._ratio(some + rest, 2 * shared + some + rest)
+            ).otherwise(0.0)
+            total = 2 * (shared + some) + rest_a + rest_b
+            return F.when((shared > 0) & ((rest_a == 0) | (rest_b == 0)), 100.0).otherwise(
+                F.greatest(
+                    cls._ratio(F.abs(rest_a - rest_b), total), beside(rest_a), beside(rest_b)
+                )
             )
-        )
+
+        shared = F.length(F.array_join(F.array_intersect(a, b), " "))
+        return F.element_at(F.transform(F.array(shared), bound), 1)
+
+    def near_enough(self, cutoff: float) -> Column:
+        """Whether a side beside the shared words reaches the cutoff by itself."""
+        return F.greatest(self._beside_shared(self.len_a), self._beside_shared(self.len_b)) >= cutoff
+
+    def budget(self, cutoff: float) -> Column:
+        """Edits beyond which the characters of the rests cannot bring the score to the cutoff."""
+        allowed = F.floor(self.total * (1.0 - cutoff / 100.0) + 1e-9)
+        return F.when(self.near_enough(cutoff), self.total).otherwise(allowed).cast("int")
 
     def score(self, common: Column) -> Column:
+        """The similarity; without ``common``, what it is apart from the characters of the rests."""
         return F.when(self.contained, 100.0).otherwise(
             F.greatest(
                 self._ratio(self.len_a + self.len_b - 2 * common, self.total),

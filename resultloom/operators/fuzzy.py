@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from resultloom.functions.similarity import WordSets, common_length
 from resultloom.functions.text import title_words
+from resultloom.operators.skew import lookup
 from resultloom.runtime import materialize
 
 # What may match fuzzily, and when.
@@ -17,6 +18,10 @@ MAX_GAP_DAYS = 7
 
 SCOPE = ("search_id", "source_type")
 
+# A search and type of up to this many word sets is compared within itself: its
+# few comparisons cost less than the many keys of each title.
+SMALL_SCOPE = 64
+
 
 def admissible(rows: DataFrame) -> DataFrame:
     """Rows whose title may match fuzzily, with their sorted distinct words.
@@ -132,16 +137,56 @@ def _probes_and_index(titles: DataFrame, threshold: float) -> tuple[DataFrame, D
     return probes, index
 
 
-def title_matches(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _blocked_pairs(titles: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs by shared keys, for searches of any size."""
+    probes, index = _probes_and_index(titles, threshold)
+    pairs = (
+        probes.join(index, "key")
+        .filter(F.col("left_key") != F.col("right_key"))
+        .select(
+            F.least("left_key", "right_key").alias("key_a"),
+            F.greatest("left_key", "right_key").alias("key_b"),
+        )
+        .distinct()
+    )
+    return pairs.join(_side(titles, "a"), "key_a").join(_side(titles, "b"), ["key_b", *SCOPE])
+
+
+def _side(titles: DataFrame, name: str) -> DataFrame:
+    return titles.select(
+        *SCOPE,
+        F.col("word_key").alias(f"key_{name}"),
+        F.col("words").alias(f"words_{name}"),
+        F.col("length").alias(f"length_{name}"),
+    )
+
+
+def _direct_pairs(titles: DataFrame) -> DataFrame:
+    """Partners within a search and type of at most ``SMALL_SCOPE`` word sets.
+
+    Comparing costs far more than its input weighs, so the number of tasks is the
+    session's own, not one merged down to the size of the input.
+    """
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = titles.repartition(tasks, *SCOPE)
+    pairs = _side(spread, "a").join(_side(titles, "b"), list(SCOPE))
+    return pairs.filter(F.col("key_a") < F.col("key_b"))
+
+
+def title_matches(
+    rows: DataFrame, threshold: float = THRESHOLD, *, small_scope: int = SMALL_SCOPE
+) -> DataFrame:
     """Pairs of different word sets of one search and type that score ``threshold`` or more.
 
     ``rows`` carries word_key and words (see ``admissible`` and ``with_word_key``).
-    Copies collapse to one row first, candidates come from shared keys, and what
-    word lengths already rule out never reaches the character comparison.
+    Copies collapse to one row first. Where a search and type has few word sets,
+    measured here, each meets the others; elsewhere candidates come from shared
+    keys. Both find every match, and what word lengths already rule out never
+    reaches the character comparison.
     """
     if not 0.7 <= threshold <= 1.0:
         raise ValueError("the candidate keys are complete for thresholds of 0.7 to 1.0")
-    titles = materialize(
+    distinct = materialize(
         rows.groupBy("word_key")
         .agg(
             F.first("search_id").alias("search_id"),
@@ -152,37 +197,23 @@ def title_matches(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .withColumn("scope", F.xxhash64(*SCOPE)),
         "titles",
     )
-    probes, index = _probes_and_index(titles, threshold)
-    pairs = (
-        probes.join(index, "key")
-        .filter(F.col("left_key") != F.col("right_key"))
-        .select(
-            F.least("left_key", "right_key").alias("key_a"),
-            F.greatest("left_key", "right_key").alias("key_b"),
-        )
-        .distinct()
-    )
-    side_a = titles.select(
-        F.col("word_key").alias("key_a"), *SCOPE, F.col("words").alias("words_a")
-    )
-    side_b = titles.select(
-        F.col("word_key").alias("key_b"),
-        F.col("words").alias("words_b"),
-        F.col("search_id").alias("_search"),
-        F.col("source_type").alias("_type"),
-    )
-    told = (
-        pairs.join(side_a, "key_a")
-        .join(side_b, "key_b")
-        .filter((F.col("search_id") == F.col("_search")) & (F.col("source_type") == F.col("_type")))
-        .drop("_search", "_type")
-    )
+    sizes = distinct.groupBy(*SCOPE).agg(F.count("*").alias("_size"))
+    titles = lookup(distinct, sizes, SCOPE, by=["word_key"])
+    pairs = _direct_pairs(titles.filter(F.col("_size") <= small_scope))
+    large = titles.filter(F.col("_size") > small_scope).drop("_size")
+    if not sizes.filter(F.col("_size") > small_scope).isEmpty():
+        pairs = pairs.unionByName(_blocked_pairs(materialize(large, "large"), threshold))
     sets = WordSets(F.col("words_a"), F.col("words_b"))
     cutoff = threshold * 100
-    hopeful = told.filter(sets.reachable() >= cutoff)
+    hopeful = pairs.filter(
+        WordSets.reachable(
+            F.col("words_a"), F.col("words_b"), F.col("length_a"), F.col("length_b")
+        )
+        >= cutoff
+    )
     undecided = ~sets.contained
     common = common_length(
-        F.when(undecided, sets.rest_a), F.when(undecided, sets.rest_b)
+        F.when(undecided, sets.rest_a), F.when(undecided, sets.rest_b), sets.budget(cutoff)
     )
     return (
         hopeful.withColumn("common", common)
