@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from resultloom.operators.skew import lookup
+
 # Default limits.
 MAX_HITS = 30
 WINDOW_SECONDS = 60.0
@@ -32,7 +34,7 @@ def with_bursts(hits: DataFrame, window_seconds: float = WINDOW_SECONDS) -> Data
     gap = F.col("lo") - F.lag("hi").over(order) >= micros
     starts = cells.withColumn("_new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
     bursts = starts.select("key", "cell", F.sum("_new").over(order).alias("burst"))
-    return celled.join(bursts, ["key", "cell"]).drop("cell")
+    return lookup(celled, bursts, ["key", "cell"]).drop("cell")
 
 
 def admit(

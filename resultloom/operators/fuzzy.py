@@ -44,7 +44,8 @@ def _rarest_first(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """Add what a title's rarer pieces add up to (the order only saves work)."""
     order = Window.partitionBy("word_key", "kind").orderBy("n", "piece")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.join(counts, ["kind", "piece"]).withColumn(
+    known = lookup(pieces, counts, ["kind", "piece"], by=["word_key"])
+    return known.withColumn(
         "taken", F.coalesce(F.sum("size").over(before), F.lit(0))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultloom.functions.scoring import WIDE_TYPE_ORDER, type_order
@@ -267,11 +267,11 @@ def ranker_comparison(results: DataFrame, searches: DataFrame, grades: DataFrame
         part = df.select(F.lit(name).alias("ranker"), *columns)
         merged = part if merged is None else merged.unionByName(part)
     means = macro_means(ranking_metrics(merged, grades, ["ranker", *KEYS]), ["ranker"])
-    base = means.filter(F.col("ranker") == "baseline").select(*[F.col(m).alias(f"_{m}") for m in METRICS])
-    # One row of means: the broadcast side is a single record.
-    joined = means.join(F.broadcast(base), F.lit(True))
-    return joined.select(
-        "ranker", "queries", *METRICS, *[(F.col(m) - F.col(f"_{m}")).alias(f"delta_{m}") for m in METRICS]
+    # Three rows, one per ranker, whatever the data.
+    every = Window.partitionBy(F.lit(0))
+    first = lambda m: F.max(F.when(F.col("ranker") == "baseline", F.col(m))).over(every)
+    return means.select(
+        "ranker", "queries", *METRICS, *[(F.col(m) - first(m)).alias(f"delta_{m}") for m in METRICS]
     )
 
 

@@ -68,8 +68,11 @@ def annotation_report(
     merged = ambiguous_pairs(labels, pairs, ["found"]).agg(
         F.count_if("in_predicted").alias("ambiguous_merged")
     )
-    # Each part is a single row.
-    report = before
-    for part in (after, checked, merged):
-        report = report.join(part, F.lit(True))
+    told = None
+    for part in (before, after, checked, merged):
+        facts = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("n")) for c in part.columns])
+        rows = part.select(F.explode(facts).alias("f")).select("f.*")
+        told = rows if told is None else told.unionByName(rows)
+    names = [c for part in (before, after, checked, merged) for c in part.columns]
+    report = told.agg(*[F.max(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in names])
     return report.withColumn("rows_preserved", F.col("rows_in") == F.col("rows_out"))
