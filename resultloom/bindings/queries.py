@@ -232,7 +232,7 @@ def _corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @bound(
     "s16_report_sink",
-    sql("SELECT search_id, max(rel) AS best, count(*) AS items FROM grades GROUP BY 1", "grades"),
+    sql("SELECT search_id, CAST(max(rel) AS BIGINT) AS best, count(*) AS items FROM grades GROUP BY 1", "grades"),
 )
 def _(t: Tables) -> DataFrame:
     path = f"{shared_folder(t.spark)}/report-{uuid4().hex}"
@@ -1055,7 +1055,7 @@ def _(t: Tables) -> DataFrame:
 @bound(
     "j9_inversions",
     sql(
-        """SELECT x.search_id, x.id AS better_id, y.id AS worse_id, x.rel - y.rel AS gap, x.lexical_at AS better_lexical_at, y.lexical_at AS worse_lexical_at FROM two_ranks x JOIN two_ranks y
+        """SELECT x.search_id, x.id AS better_id, y.id AS worse_id, CAST(x.rel - y.rel AS BIGINT) AS gap, x.lexical_at AS better_lexical_at, y.lexical_at AS worse_lexical_at FROM two_ranks x JOIN two_ranks y
         ON x.search_id = y.search_id AND x.rel > y.rel AND x.lexical_at <= 10 AND x.bm25_at <= 10 AND y.lexical_at <= 10 AND y.bm25_at <= 10
         AND (x.lexical_at < y.lexical_at) <> (x.bm25_at < y.bm25_at)""",
         "two_ranks",

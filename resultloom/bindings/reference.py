@@ -588,7 +588,7 @@ part("unclear_pairs", ("unclear",), "SELECT DISTINCT least(a, b) AS a, greatest(
 part(
     "pages_read",
     (),
-    """SELECT page_id, spelling, u AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]+)"', 1) AS language FROM (
+    """SELECT page_id, CAST(spelling AS BIGINT) AS spelling, u AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]+)"', 1) AS language FROM (
     SELECT *, 0 AS spelling, url AS u FROM pages
     UNION ALL SELECT *, 1, regexp_replace(url, '#.*', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=mail&gclid=1' FROM pages
     UNION ALL SELECT *, 2, regexp_replace(url, '#.*', '') || '#x' FROM pages
