@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from resultloom.llm import toxicity
 from resultloom.llm.mixing import mix
+from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
 
 
@@ -18,12 +21,28 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).drop("copies")
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = dedup_substrings(table(spark, folder, "documents"), digest=True)
     return done.drop("spans").withColumnRenamed("kept", "kept_sha256")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out("doc_id", 4)))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id", 4).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
 }
