@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resultloom.llm import toxicity
+from resultloom.llm.html import extract
 from resultloom.llm.mixing import mix
 from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
@@ -40,9 +41,14 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op10_html": op10_html,
 }
