@@ -12,12 +12,17 @@ from resultloom.llm.html import extract
 from resultloom.llm.mixing import mix
 from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
+from resultloom.llm.tiling import contamination
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).drop("copies")
 
@@ -46,6 +51,7 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
