@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from resultloom.llm import toxicity
 from resultloom.llm.html import extract
+from resultloom.llm.lines import dedup_lines
 from resultloom.llm.mixing import mix
 from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
@@ -46,6 +47,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = dedup_lines(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
@@ -56,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_html": op10_html,
 }
