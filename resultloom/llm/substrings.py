@@ -3,30 +3,53 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from resultloom.llm.text import (
-    Words, bucket_count, bytes_of, concat, dealt, id_key, ids_of, pieces, text_bytes, windows,
+    Words, bucket_count, bytes_of, concat, dealt, id_key, ids_of, mix, pieces, runs, text_bytes, windows,
 )
 
 WINDOW = 13
 # Text bytes whose windows one counting group holds.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 
-_SEEN = pa.schema([("bucket", pa.int32()), ("marked", pa.bool_()), ("hashes", pa.binary()), ("docs", pa.binary())])
-_MARKS = pa.schema([("doc_key", pa.int64()), ("hashes", pa.binary())])
+_ENTRIES = "key int, marked boolean, hashes binary, docs binary, runs binary"
 
 
-def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _entries(keys: np.ndarray, count: int, marked: bool, hashes: np.ndarray, docs: np.ndarray) -> list[tuple]:
+    """Windows dealt by ``keys``: their hashes in order of document, and the documents' runs."""
+    rows = []
     order = np.argsort(docs, kind="stable")
-    cuts = np.flatnonzero(np.diff(docs[order])) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        yield int(docs[part[0]]), hashes[part]
+    hashes, docs = hashes[order], docs[order]
+    for key, part in dealt(keys[order], count):
+        ids, lengths = runs(docs[part])
+        rows.append((key, marked, hashes[part].tobytes(), ids.tobytes(), lengths.tobytes()))
+    return rows
+
+
+def _batch(rows: list[tuple], names: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in names.split(", "))]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
+
+
+def _unpack(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids, lengths = concat(group.column("docs"), np.int64), concat(group.column("runs"), np.int32)
+    return concat(group.column("hashes"), np.uint64), np.repeat(ids, lengths)
+
+
+def _later(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes and documents, which are a window's first and which have a lesser document."""
+    order = np.lexsort((docs, hashes))
+    hashes, docs = hashes[order], docs[order]
+    first = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+    later = docs != docs[first][np.cumsum(first) - 1] if len(docs) else first
+    return hashes, docs, first, later
 
 
 def _scan(window: int, buckets: int):
@@ -37,42 +60,34 @@ def _scan(window: int, buckets: int):
             words = Words(*bytes_of(batch.column("text")))
             at, hashes = windows(words.hashes, words.splits, window)
             docs = ids_of(batch, "doc_id")[words.rows()[at]]
-            order = np.lexsort((docs, hashes))
-            hashes, docs = hashes[order], docs[order]
-            first = np.ones(len(hashes), dtype=bool)
-            first[1:] = hashes[1:] != hashes[:-1]
-            least = docs[first][np.cumsum(first) - 1] if len(docs) else docs
-            later = (docs != least) & np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])])[: len(docs)]
-            hashes_first, docs_first = hashes[first], docs[first]
-            rows = [
-                (bucket, False, hashes_first[part].tobytes(), docs_first[part].tobytes())
-                for bucket, part in dealt(hashes_first, buckets)
-            ]
-            rows += [
-                (bucket, True, hashes[later][part].tobytes(), docs[later][part].tobytes())
-                for bucket, part in dealt(hashes[later], buckets)
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEEN)], schema=_SEEN)
+            hashes, docs, first, later = _later(hashes, docs)
+            later[1:] &= (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+            rows = _entries(hashes[first], buckets, False, hashes[first], docs[first])
+            rows += _entries(hashes[later], buckets, True, hashes[later], docs[later])
+            yield from _batch(rows, _ENTRIES).to_batches()
 
     return run
 
 
-def _count(group: pa.Table) -> pa.Table:
-    """Windows of one bucket that a lesser document has too, by document."""
-    marked = np.asarray(group.column("marked").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
-    seen = group.filter(pa.array(~marked))
-    hashes, docs = concat(seen.column("hashes"), np.uint64), concat(seen.column("docs"), np.int64)
-    order = np.lexsort((docs, hashes))
-    hashes, docs = hashes[order], docs[order]
-    first = np.ones(len(hashes), dtype=bool)
-    first[1:] = hashes[1:] != hashes[:-1]
-    later = docs != docs[first][np.cumsum(first) - 1] if len(docs) else first
-    done = group.filter(pa.array(marked))
-    hashes = np.concatenate([hashes[later], concat(done.column("hashes"), np.uint64)])
-    docs = np.concatenate([docs[later], concat(done.column("docs"), np.int64)])
-    rows = [(doc, part.tobytes()) for doc, part in _by_doc(docs, hashes)]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _MARKS)] if rows else [[], []], schema=_MARKS)
+def _count(groups: int):
+    """Windows of one bucket that a lesser document has too, dealt to groups of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        marked = table.column("marked")
+        hashes, docs, _, later = _later(*_unpack(table.filter(pc.invert(marked))))
+        more, whose = _unpack(table.filter(marked))
+        hashes, docs = np.concatenate([hashes[later], more]), np.concatenate([docs[later], whose])
+        return _batch(_entries(mix(docs.view(np.uint64)), groups, True, hashes, docs), _ENTRIES)
+
+    return run
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    hashes, docs = _unpack(group)
+    order = np.argsort(docs, kind="stable")
+    ids, lengths = runs(docs[order])
+    parts = np.split(hashes[order], np.cumsum(lengths)[:-1]) if len(ids) else []
+    return _batch([(int(i), p.tobytes()) for i, p in zip(ids, parts)], "doc_key long, hashes binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
@@ -82,11 +97,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, buckets: int | None
     a group of copies cannot fill one bucket.
     """
     buckets = buckets or bucket_count(text_bytes(docs), BUCKET_BYTES)
-    seen = docs.select("doc_id", "text").mapInArrow(
-        _scan(window, buckets), "bucket int, marked boolean, hashes binary, docs binary"
-    )
-    found = seen.groupBy("bucket").applyInArrow(_count, "doc_key long, hashes binary")
-    return found.groupBy("doc_key").agg(F.collect_list("hashes").alias("hashes"))
+    seen = docs.select("doc_id", "text").mapInArrow(_scan(window, buckets), _ENTRIES)
+    found = seen.groupBy("key").applyInArrow(_count(buckets), _ENTRIES)
+    return found.groupBy("key").applyInArrow(_by_document, "doc_key long, hashes binary")
 
 
 def _apply(window: int, with_text: bool):
@@ -101,7 +114,7 @@ def _apply(window: int, with_text: bool):
             for row, marks in enumerate(batch.column("hashes").to_pylist()):
                 if marks:
                     low, high = bounds[row], bounds[row + 1]
-                    bad = at[low:high][np.isin(hashes[low:high], np.frombuffer(b"".join(marks), np.uint64))]
+                    bad = at[low:high][np.isin(hashes[low:high], np.frombuffer(marks, np.uint64))]
                     np.add.at(cover, bad, 1)
                     np.add.at(cover, bad + window, -1)
             gone = np.cumsum(cover)[:-1] > 0

@@ -156,6 +156,12 @@ def concat(blobs: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(blobs.to_pylist()), dtype=dtype)
 
 
+def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and run lengths of ids that stand in order."""
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
+    return ids[first], np.diff(np.append(first, len(ids))).astype(np.int32)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of text in the table: one number, from which bucket counts are taken."""
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
