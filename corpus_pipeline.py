@@ -1,17 +1,64 @@
-"""The corpus pipeline: stages that take the documents one after another."""
+"""The corpus pipeline: five stages that take the documents one after another.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns
+of ``documents``; the last returns the mix, which holds a document once per epoch.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resultloom.llm import lines, mixing, simhash, tiling, toxicity
+from resultloom.runtime import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold.
+
+    The classifier is fitted on the labelled ones of ``docs``, but for those held out.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out("doc_id", 4))
+    scored = toxicity.score(docs, toxicity.train(docs, labels), "_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand before; those of such lines only go."""
+    return lines.clean_lines(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked SimHash fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return tiling.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, once per epoch."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_near),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+]
 
-STAGES: list = []
-# Hashed classifier features, edit distances and tilings have no SQL form.
+# Hashed classifier features, edit distances and tilings have no SQL form: the tests hold the
+# stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``."""
+    """The stages on ``documents``, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

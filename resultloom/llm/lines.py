@@ -241,14 +241,23 @@ def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
     return going.groupBy(*_ROW).agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
+def _decided(docs: DataFrame, least_chars: int) -> DataFrame:
+    """``docs`` as the struct ``row``, with n_lines and the numbers of the lines that go."""
+    going = line_decisions(docs, least_chars)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key"),
+        F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"),
+    )
+    return rows.join(going, [*_ROW], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<long>")))
+
+
 def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with two more columns, n_lines and ``removed``: the numbers of the lines that go.
+    """(doc_id, n_lines, removed) of each row of ``docs``: the numbers of the lines that go.
 
     Lines are separated by newlines and compared without white space around them. A line of
     ``least_chars`` characters or more goes if an equal one, or one within one edit (a character
     more, fewer or other), stands before it: in a document with a smaller id or higher up in
     the same. All is judged on the input, so of a chain of edits only the first line stays.
-    ``without_lines`` takes them out of the text.
 
     Each line that shares all but a quarter of its text with another emits its deletion variants
     in that quarter as hashed keys; equal keys are joined, each line to the earliest it meets, and
@@ -256,19 +265,23 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame
     Null ids count as the largest. Rows with the same id and text are one document, each keeps the
     same lines; rows with one id and different texts stand in the order of their text's hash.
     """
-    going = line_decisions(docs, least_chars).withColumnsRenamed({"doc_key": "_doc_key", "text_key": "_text_key"})
-    id_column, text = docs["doc_id"].cast("long"), docs["text"]
-    joined = docs.join(
-        going, (F.coalesce(id_column, F.lit(2**63 - 1)) == going["_doc_key"]) & (F.xxhash64(text) == going["_text_key"]), "left"
-    )
-    n_lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n", -1))).otherwise(0).cast("long")
-    return joined.select(
-        *[docs[c] for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(going["removed"], F.array().cast("array<long>")).alias("removed")
-    )
+    return _decided(docs, least_chars).select("row.doc_id", "n_lines", "removed")
+
 
+def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``docs`` with the lines that ``dedup_lines`` names taken out of the texts.
 
-def without_lines(text, removed):
-    """The text without the numbered lines; null stays null."""
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda line, at: ~F.array_contains(removed, at.cast("long")))
-    return F.when(F.size(removed) == 0, text).otherwise(F.array_join(kept, "\n"))
+    All columns stay; ``n_chars``, if there, counts anew for changed texts. A document
+    that had a line and has none but blank ones left is dropped: all it said is
+    said before. Texts that were null or blank already stay.
+    """
+    text = F.col("row.text")
+    kept = F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains(F.col("removed"), at.cast("long")))
+    changed = F.size("removed") > 0
+    done = _decided(docs, least_chars).withColumn("kept", F.when(changed, F.array_join(kept, "\n")).otherwise(text))
+    done = done.filter(~changed | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    own = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        counted = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType))
+        own["n_chars"] = counted.otherwise(F.col("row.n_chars"))
+    return done.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

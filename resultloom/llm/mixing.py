@@ -65,38 +65,17 @@ def source_targets(
     )
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    size: Column | None = None,
-    quality: Column | None = None,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = SHARE,
-    epochs: float = EPOCHS,
-    seed: str = "mix",
-    slice_rows: int = SLICE_ROWS,
-    keep: Sequence[str] = (),
+def _decided(
+    docs: DataFrame, size: Column | None, quality: Column | None, weights: Sequence[float], share: float,
+    epochs: float, seed: str, slice_rows: int, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """How many words of each document the mix takes (Efraimidis and Spirakis, 2006).
-
-    ``docs`` has doc_id, text and source. A document's key is -ln(u) / quality, with u
-    in (0, 1) drawn from an MD5 of seed and id, so reruns agree. A source whose target
-    is k times its size and a rest gives every document k times; for the rest its
-    documents are taken in order of key while that brings their words nearer to it.
-    Returns doc_id, size, source_size, target, taken, copies, and the columns of ``keep``.
-
-    Ties of keys go by id, size and text. Texts that are null or blank have size 0 and take
-    none, a source of such only has target 0. A null source is a source. Quality
-    below 1e-6, null or NaN counts as 1e-6. Only
-    the slice of keys in which a source's budget ends is sorted, and a slice holds
-    about ``slice_rows`` rows; all others are decided from slice sums.
-    """
+    """Sizes, targets and copies of each row, and the columns of ``keep`` as the struct ``row``."""
     size = word_count(F.col("text")) if size is None else size
     quality = letter_share(F.col("text")) if quality is None else quality
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     good = F.when((quality > 1e-6) & ~F.isnan(quality), quality).otherwise(F.lit(1e-6))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.lit(None).alias("row"),
         size.cast("long").alias("size"), good.alias("_good"), F.xxhash64("text").alias("_text"),
     ).withColumn("_key", -F.log(u) / F.col("_good"))
     sizes = rows.groupBy("source").agg(
@@ -134,7 +113,37 @@ def mix(
         .otherwise(F.lit(0))
     )
     copies = F.when(F.col("size") > 0, F.col("_epochs") + part).otherwise(0).cast("long")
-    return marked.select(
-        "doc_id", *[F.col(f"_keep_{c}").alias(c) for c in keep], "size", "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("size") * copies).alias("taken"), copies.alias("copies"),
-    )
+    return marked.select("doc_id", "row", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"))
+
+
+def mix(
+    docs: DataFrame, *, size: Column | None = None, quality: Column | None = None, weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """How many words of each document the mix takes (Efraimidis and Spirakis, 2006).
+
+    ``docs`` has doc_id, text and source; other columns are ignored. A document's key is
+    -ln(u) / quality, with u in (0, 1) drawn from an MD5 of seed and id, so reruns agree. A
+    source whose target is k times its size and a rest gives every document k times; for the
+    rest its documents are taken in order of key while that brings their words nearer to it.
+    Returns doc_id, size, source_size, target, copies and taken, the words of all copies.
+
+    Ties of keys go by id, size and text. Texts that are null or blank have size 0 and are not
+    taken, a source of such only has target 0. A null source is a source. Quality below 1e-6,
+    null or NaN counts as 1e-6. Only the slice of keys in which a source's budget ends is sorted,
+    and a slice holds about ``slice_rows`` rows; all others are decided from slice sums.
+    """
+    done = _decided(docs, size, quality, weights, share, epochs, seed, slice_rows)
+    return done.drop("row").withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its ``mix_epoch`` from 1.
+
+    Options are those of ``mix``. A column mix_epoch of the input is replaced.
+    """
+    defaults = {"size": None, "quality": None, "weights": WEIGHTS, "share": SHARE, "epochs": EPOCHS, "slice_rows": SLICE_ROWS}
+    columns = [c for c in docs.columns if c != "mix_epoch"]
+    done = _decided(docs, **{**defaults, **options}, seed=seed, keep=columns).filter("copies > 0")
+    done = done.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("epoch").alias("mix_epoch"))

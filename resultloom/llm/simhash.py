@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultloom.llm.text import pieces
+from resultloom.llm.text import LAST_ID, id_key, pieces
 from resultloom.operators.components import components
 from resultloom.runtime import materialize
 
@@ -169,7 +169,21 @@ def linked(fingerprints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE
 def _fingerprints(batches):
     for batch in pieces(batches, "text"):
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(found)], names=["doc_id", "text_key", "fp"])
+
+
+def _components(docs: DataFrame, radius: int, tree_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(prints, names): fingerprints of the rows, and the component of each distinct one."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    prints = materialize(rows.mapInArrow(_fingerprints, "doc_id long, text_key long, fp long"), "fingerprints")
+    # The first row of a component: smallest id, null last, then by text.
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
+    least = materialize(prints.groupBy("fp").agg(F.min(place).alias("least")), "distinct")
+    found = components(linked(least.select("fp"), radius, tree_nodes))
+    named = least.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    return prints, named
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
@@ -178,19 +192,26 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, tree_nodes: int =
     Fingerprints that differ in at most ``radius`` bits are linked; component_id is the
     smallest doc_id reachable. Null and blank texts have fingerprint zero and are linked
     like others. Rows with the same id stay separate rows; a null id is in its component
-    but never names it, unless all are null.
+    but never names it, unless all are null. Other columns are ignored.
     """
-    prints = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints"
-    )
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(linked(least.select("fp"), radius, tree_nodes))
-    named = least.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_print = named.select("fp", "component").join(names, "component").select("fp", "component_id")
+    prints, named = _components(docs, radius, tree_nodes)
+    names = named.groupBy("component").agg(F.min("least").alias("first"))
+    per_print = named.select("fp", "component").join(names, "component").select("fp", F.col("first.doc_id").alias("component_id"))
     # Many rows may share a print; they are the left side, which Spark splits when it is skewed.
     return prints.join(per_print, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, *, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest id.
+
+    Of rows with one id the text's hash decides, of equal rows one stays.
+    """
+    _, named = _components(docs, radius, tree_nodes)
+    first = named.groupBy("component").agg(F.min("least").alias("first")).select(
+        F.coalesce("first.doc_id", F.lit(LAST_ID)).alias("_doc"), F.col("first.text_key").alias("_text")
+    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    kept = rows.join(first, ["_doc", "_text"], "left_semi").groupBy("_doc", "_text").agg(F.first("row").alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

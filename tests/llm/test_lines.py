@@ -1,6 +1,4 @@
-from pyspark.sql import functions as F
-
-from resultloom.llm.lines import dedup_lines, without_lines
+from resultloom.llm.lines import clean_lines, dedup_lines
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -44,9 +42,11 @@ def test_planted_lines(spark):
     want = brute(rows)
     assert sum(len(r[2]) for r in want) > 8
     assert found(docs) == want
-    cleaned = dedup_lines(docs).select("doc_id", without_lines(F.col("text"), F.col("removed")).alias("t")).collect()
-    texts = {r.doc_id: r.t for r in cleaned}
-    assert texts[20] == "" and texts[21] is None and texts[24] == "a line ends here\n"
+    cleaned = clean_lines(docs.withColumn("removed", docs.hash))
+    assert cleaned.columns == ["doc_id", "text", "hash", "removed"]
+    texts = {r.doc_id: r.text for r in cleaned.collect()}
+    assert 20 not in texts and texts[21] is None and texts[22] == "" and texts[23] == "\n\n"
+    assert texts[24] == "a line ends here\n" and texts[1] == f"short\n\n{variants[1]} tail 1 and 7919"
 
 
 def test_documents(spark):
