@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resultloom.llm import toxicity
+from resultloom.llm import lm, toxicity
 from resultloom.llm.html import extract
 from resultloom.llm.lines import dedup_lines
 from resultloom.llm.mixing import mix
@@ -20,6 +20,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = lm.train(docs.filter(~toxicity.held_out("doc_id", 7)))
+    return lm.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -57,6 +66,7 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
