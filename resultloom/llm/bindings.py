@@ -13,6 +13,7 @@ from resultloom.llm.lines import dedup_lines
 from resultloom.llm.mixing import mix
 from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
+from resultloom.llm.suffixes import dedup_bytes
 from resultloom.llm.tiling import contamination
 
 
@@ -56,6 +57,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = dedup_bytes(table(spark, folder, "documents"), digest=True)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = dedup_lines(table(spark, folder, "documents"))
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_html": op10_html,
 }
