@@ -15,6 +15,7 @@ from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
 from resultloom.llm.suffixes import dedup_bytes
 from resultloom.llm.tiling import contamination
+from resultloom.llm.vptree import nearest
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +58,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = dedup_bytes(table(spark, folder, "documents"), digest=True)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_nearest": op7_nearest,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_html": op10_html,
