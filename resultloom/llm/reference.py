@@ -63,8 +63,10 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT * FROM ranked WHERE rank <= 20""",
     "op8_suffix_dedup": """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS raw FROM documents),
-starts AS (SELECT doc_id, raw, unnest(range(0, length(raw) // 2 - 49)) AS pos FROM docs WHERE length(raw) >= 100),
-strings AS (SELECT doc_id, pos, substr(raw, 2 * pos + 1, 100) AS piece FROM starts),
+blocks AS (SELECT doc_id, raw, unnest(range(0, length(raw) // 2, 200)) AS base FROM docs WHERE length(raw) >= 100),
+cut AS (SELECT doc_id, base, substr(raw, 2 * base + 1, 498) AS part FROM blocks),
+starts AS (SELECT doc_id, base, part, unnest(range(0, least(200, length(part) // 2 - 49))) AS step FROM cut WHERE length(part) >= 100),
+strings AS (SELECT doc_id, base + step AS pos, substr(part, 2 * step + 1, 100) AS piece FROM starts),
 least_doc AS (SELECT hash(piece) AS key, min(doc_id) AS first FROM strings GROUP BY 1),
 hits AS (SELECT doc_id, pos FROM strings s JOIN least_doc l ON hash(s.piece) = l.key WHERE first < doc_id),
 edges AS (
