@@ -333,18 +333,23 @@ def _(t: Tables) -> DataFrame:
 @bound(
     "x19_age_for_freshness",
     sql(
-        f"""SELECT id, round(CASE WHEN source_type = 'news' THEN -24.0 ELSE -12.0 END * log2(({R.freshness()} - 0.05) / 0.95), 3) AS age
-        FROM results WHERE source_type <> 'reference' AND published_at IS NOT NULL AND {R.age_hours()} < 200""",
+        f"""SELECT id, CAST(round(greatest(0, {R.age_hours()})) AS BIGINT) AS age, true AS inverts
+        FROM results WHERE source_type <> 'reference' AND published_at IS NOT NULL""",
         "results",
     ),
 )
 def _(t: Tables) -> DataFrame:
     at = scoring.instant(NOW)
     kind, pub = F.col("source_type"), F.col("published_at")
-    recent = (kind != "reference") & pub.isNotNull() & (scoring.age_hours(pub, at) < 200)
     fresh = scoring.freshness(pub, kind, at)
     age = F.when(kind == "news", scoring.age_for(fresh, 24.0)).otherwise(scoring.age_for(fresh, 12.0))
-    return t.results().filter(recent).select("id", F.round(age, 3).alias("age"))
+    true_age = F.greatest(F.lit(0.0), scoring.age_hours(pub, at))
+    # An old page's freshness differs from its floor in the last digits only: the inverse must
+    # give that freshness again, as closely as doubles tell.
+    again = 0.05 + 0.95 * F.pow(F.lit(2.0), -age / F.when(kind == "news", 24.0).otherwise(12.0))
+    inverts = F.abs(again - fresh) <= 1e-12 * fresh
+    rows = t.results().filter((kind != "reference") & pub.isNotNull())
+    return rows.select("id", F.round(true_age).cast("long").alias("age"), F.coalesce(inverts, fresh <= 0.05 + 1e-15).alias("inverts"))
 
 
 @bound(
@@ -893,20 +898,51 @@ def _(t: Tables) -> DataFrame:
 
 
 def _labels(t: Tables) -> DataFrame:
+    """Gold group of each result, and the component that exact and fuzzy links give it together."""
     members, _ = dedup.all_groups(t.results())
-    return t.gold().join(members.select("id", F.col("component").alias("found")), "id")
+    return materialize(t.gold().join(members.select("id", F.col("component").alias("found")), "id"), "labels")
+
+
+def _bridge_labels(t: Tables) -> DataFrame:
+    """Gold group of each result with its component by exact links alone and by fuzzy links alone."""
+    labels = t.gold()
+    for name, groups in (("exact", dedup.exact_groups), ("fuzzy", dedup.fuzzy_groups)):
+        members, _ = groups(t.results())
+        labels = labels.join(members.select("id", F.col("component").cast("string").alias(name)), "id", "left")
+    return materialize(labels, "labels")
 
 
 CLEAR = "NOT EXISTS (SELECT 1 FROM unclear_pairs u WHERE u.a = p.a AND u.b = p.b)"
-PAIR_COUNTS = f"""SELECT r.search_id, coalesce(g.n, 0) AS gold_pairs, coalesce(f.n, 0) AS predicted_pairs, coalesce(s.n, 0) AS shared_pairs FROM (SELECT DISTINCT search_id FROM results) r
+
+
+def pair_counts(found: str) -> str:
+    return f"""SELECT r.search_id, coalesce(g.n, 0) AS gold_pairs, coalesce(f.n, 0) AS predicted_pairs, coalesce(s.n, 0) AS shared_pairs FROM (SELECT DISTINCT search_id FROM results) r
     LEFT JOIN (SELECT search_id, count(*) AS n FROM gold_pairs p WHERE {CLEAR} GROUP BY 1) g USING (search_id)
-    LEFT JOIN (SELECT search_id, count(*) AS n FROM found_pairs p WHERE {CLEAR} GROUP BY 1) f USING (search_id)
-    LEFT JOIN (SELECT p.search_id, count(*) AS n FROM found_pairs p JOIN gold_pairs q USING (search_id, a, b) WHERE {CLEAR} GROUP BY 1) s USING (search_id)"""
+    LEFT JOIN (SELECT search_id, count(*) AS n FROM {found} p WHERE {CLEAR} GROUP BY 1) f USING (search_id)
+    LEFT JOIN (SELECT p.search_id, count(*) AS n FROM {found} p JOIN gold_pairs q USING (search_id, a, b) WHERE {CLEAR} GROUP BY 1) s USING (search_id)"""
 
 
-@bound("e9_pair_counts", sql(PAIR_COUNTS, "results", "gold_pairs", "found_pairs", "unclear_pairs"))
+PAIR_COUNTS = pair_counts("found_pairs")
+
+
+@bound("e9_pair_counts", sql(pair_counts("bridge_pairs"), "results", "gold_pairs", "bridge_pairs", "unclear_pairs"))
+def _(t: Tables) -> DataFrame:
+    return tidy(evaluation.dedup_counts(_bridge_labels(t), ["exact", "fuzzy"], t.unclear()))
+
+
+@bound(
+    "e9_bridge_and_pipeline",
+    sql(
+        f"""SELECT CAST(count(*) FILTER (b.predicted_pairs IS DISTINCT FROM j.predicted_pairs OR b.shared_pairs IS DISTINCT FROM j.shared_pairs) AS BIGINT) AS searches_apart
+        FROM ({pair_counts("bridge_pairs")}) b JOIN ({PAIR_COUNTS}) j USING (search_id)""",
+        "results", "gold_pairs", "bridge_pairs", "found_pairs", "unclear_pairs",
+    ),
+)
 def _(t: Tables) -> DataFrame:
-    return tidy(evaluation.dedup_counts(_labels(t), ["found"], t.unclear()))
+    bridge = evaluation.dedup_counts(_bridge_labels(t), ["exact", "fuzzy"], t.unclear())
+    joint = evaluation.dedup_counts(_labels(t), ["found"], t.unclear())
+    apart = [~F.col(f"b.{c}").eqNullSafe(F.col(f"j.{c}")) for c in ("predicted_pairs", "shared_pairs")]
+    return bridge.alias("b").join(joint.alias("j"), "search_id").agg(F.count_if(apart[0] | apart[1]).alias("searches_apart"))
 
 
 @bound(

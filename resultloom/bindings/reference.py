@@ -299,6 +299,7 @@ def closure_parts(prefix: str, pairs: str, rows: str) -> None:
 
 closure_parts("exact_", "exact_pairs", "keyed")
 closure_parts("fuzzy_", "v_fuzzy", "variant_keyed")
+closure_parts("near_", "fuzzy", "keyed")
 closure_parts("all_", "all_pairs", "keyed")
 part(
     "annotated",
@@ -584,6 +585,12 @@ part(
     ("all_member",),
     "SELECT a.search_id, a.id AS a, b.id AS b FROM all_member a JOIN all_member b ON a.search_id = b.search_id AND a.component = b.component AND a.id < b.id",
 )
+part(
+    "bridge_pairs",
+    ("exact_member", "near_member"),
+    """SELECT a.search_id, a.id AS a, b.id AS b FROM exact_member a JOIN exact_member b ON a.search_id = b.search_id AND a.component = b.component AND a.id < b.id
+    UNION SELECT a.search_id, a.id, b.id FROM near_member a JOIN near_member b ON a.search_id = b.search_id AND a.component = b.component AND a.id < b.id""",
+)
 part("unclear_pairs", ("unclear",), "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM unclear")
 part(
     "pages_read",

@@ -18,19 +18,20 @@ NOW_SECONDS = 1706659200
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         self.spark, self.folder = spark, folder
         self._searches: int | None = None
 
     def read(self, name: str) -> DataFrame:
-        """A table. Text in fewer files than cores is spread out before it is parsed.
+        """A table. Text in fewer splits than cores is spread out before it is parsed.
 
-        One row group is one task, however many cores wait; a table of many files
+        One row group is one task, however many cores wait; a table of many splits
         is left as it is.
         """
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         key = {"documents": "doc_id", "pages": "page_id"}.get(name)
         cores = self.spark.sparkContext.defaultParallelism
-        if key and len(table.inputFiles()) < cores:
+        if key and table.rdd.getNumPartitions() < cores:
             table = table.repartition(cores, key)
         return table
 

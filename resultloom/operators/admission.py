@@ -18,6 +18,23 @@ WINDOW_SECONDS = 60.0
 MAX_RUNNING = 8
 
 
+class Limit:
+    """Admits a hit unless ``most`` were admitted in the window up to it.
+
+    Of the admitted times only the last ``most`` are held, so the oldest one held
+    decides: it must be a full window back.
+    """
+
+    def __init__(self, most: int, micros: int, held=()) -> None:
+        self.held, self.micros = deque(held, maxlen=most), micros
+
+    def admits(self, t: int) -> bool:
+        free = len(self.held) < self.held.maxlen or t - self.held[0] >= self.micros
+        if free:
+            self.held.append(t)
+        return free
+
+
 def with_bursts(hits: DataFrame, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
     """Cut each key's hits where a full window passes without any.
 
@@ -56,18 +73,13 @@ def admit(
     schema = T.StructType([*hits.schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, queue = None, deque()
+        current, limit = None, None
         for batch in batches:
             verdicts = []
-            for key, burst, t in zip(batch["key"], batch["burst"], batch["_t"]):
-                if (key, burst) != current:
-                    current, queue = (key, burst), deque()
-                while queue and queue[0] <= t - micros:
-                    queue.popleft()
-                allowed = len(queue) < max_hits
-                if allowed:
-                    queue.append(t)
-                verdicts.append(allowed)
+            for *place, t in zip(batch["key"], batch["burst"], batch["_t"]):
+                if place != current:
+                    current, limit = place, Limit(max_hits, micros)
+                verdicts.append(limit.admits(t))
             yield batch[columns].assign(admitted=verdicts)
 
     return ordered.mapInPandas(decide, schema)

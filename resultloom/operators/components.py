@@ -39,7 +39,7 @@ def _hook(edges: DataFrame, least_only: bool) -> DataFrame:
         )
     least = seen.groupBy("node").agg(F.min("other").alias("least"))
     least = least.withColumn("least", F.least("least", "node"))
-    moved = lookup(seen, least, ["node"], by=["other"])
+    moved = lookup(seen, least, ["node"])
     if least_only:
         own = least.select(F.col("node").alias("child"), F.col("least").alias("parent"))
         moved = moved.select(F.col("other").alias("child"), F.col("least").alias("parent"))

@@ -72,7 +72,7 @@ def _hub_links(keyed: DataFrame, vertex: str, hub: str) -> DataFrame:
         .drop("_top")
     )
     return (
-        lookup(touched, shared, [hub], by=[vertex])
+        lookup(touched, shared, [hub])
         .filter(F.col("a") != F.col(vertex))
         .select("a", F.col(vertex).alias("b"))
     )
@@ -169,7 +169,7 @@ def _exact_evidence(labelled: DataFrame) -> DataFrame:
 def exact_groups(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, groups) linked by canonical URL, or by title within a type."""
     keyed = slim(results)
-    labelled = _labelled(keyed, "node", components(_exact_links(keyed)))
+    labelled = materialize(_labelled(keyed, "node", components(_exact_links(keyed))), "labelled")
     return _members(labelled), _with_methods(_groups(labelled), _exact_evidence(labelled))
 
 
@@ -178,7 +178,7 @@ def fuzzy_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """(members, groups) linked by near-identical titles close in time, nothing else."""
     rows, _, links = _fuzzy_parts(slim(results), threshold, max_gap_days)
-    labelled = _labelled(rows, "cell_key", components(links))
+    labelled = materialize(_labelled(rows, "cell_key", components(links)), "labelled")
     groups = _groups(labelled).withColumn("methods", F.array(F.lit(FUZZY_METHOD)))
     return _members(labelled), groups
 
@@ -201,7 +201,7 @@ def _closed(
         .unionByName(tied)
     )
     labels = components(edges)
-    labelled = _labelled(keyed, "node", labels)
+    labelled = materialize(_labelled(keyed, "node", labels), "labelled")
     # A near match shows in a cell of two or more rows, or at the end of any link.
     linked = links.select(F.explode(F.array("a", "b")).alias("cell_key")).distinct()
     crowded = cells.filter(F.col("n") > 1).select("node")

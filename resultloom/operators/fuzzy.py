@@ -44,7 +44,7 @@ def _rarest_first(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """Add what a title's rarer pieces add up to (the order only saves work)."""
     order = Window.partitionBy("word_key", "kind").orderBy("n", "piece")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    known = lookup(pieces, counts, ["kind", "piece"], by=["word_key"])
+    known = lookup(pieces, counts, ["kind", "piece"])
     return known.withColumn(
         "taken", F.coalesce(F.sum("size").over(before), F.lit(0))
     )
@@ -199,7 +199,7 @@ def title_matches(
         "titles",
     )
     sizes = distinct.groupBy(*SCOPE).agg(F.count("*").alias("_size"))
-    titles = lookup(distinct, sizes, SCOPE, by=["word_key"])
+    titles = lookup(distinct, sizes, SCOPE)
     pairs = _direct_pairs(titles.filter(F.col("_size") <= small_scope))
     large = titles.filter(F.col("_size") > small_scope).drop("_size")
     if not sizes.filter(F.col("_size") > small_scope).isEmpty():

@@ -118,7 +118,7 @@ def _searched_anchors(scores: DataFrame, keys: Sequence[str], width: float) -> D
     last = materialize(distinct.groupBy(*keys).agg(F.max("rank_score").alias("anchor")), "anchor")
     found = last
     while True:
-        below = lookup(distinct, last, keys, by=["rank_score"]).filter(
+        below = lookup(distinct, last, keys).filter(
             F.col("anchor") - F.col("rank_score") > width
         )
         last = materialize(below.groupBy(*keys).agg(F.max("rank_score").alias("anchor")), "anchor")

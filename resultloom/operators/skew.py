@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,29 +14,22 @@ from resultloom.runtime import materialize
 # A group of up to this many rows may be sorted or folded by one task. Larger
 # ones are cut into slices. It bounds a task, not the answer.
 TASK_ROWS = 500_000
-SPREAD = 16
 
 
 def lookup(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    *,
-    how: str = "inner",
-    by: Sequence[str] = ("id",),
-    spread: int = SPREAD,
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], *, how: str = "inner", null_safe: bool = False
 ) -> DataFrame:
     """Join many rows to a frame that holds one row per key.
 
-    The key is salted with a hash of the ``by`` columns, so a key with a third of
-    the rows is met by ``spread`` tasks, each holding a copy of that key's single
-    row; a hash of values gives a retried task the same salts. When the small
-    side measures below the broadcast threshold Spark uses that instead.
+    The many rows are the left side: Spark splits a key with much of the data over several
+    tasks and gives each the key's one row, and only such keys
+    (``spark.sql.adaptive.skewJoin.enabled``). With ``null_safe`` a null key meets a null key.
     """
-    salt = F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int")
-    salted = rows.withColumn("_salt", salt)
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    if not null_safe:
+        return rows.join(per_key, [*keys], how)
+    renamed = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -84,8 +79,7 @@ def running_total(
         Window.unboundedPreceding, 0
     )
     return (
-        sliced.withColumn("_in", F.sum("_w").over(inside))
-        .join(offsets, [*keys, "_slice"])
+        lookup(sliced.withColumn("_in", F.sum("_w").over(inside)), offsets, [*keys, "_slice"], null_safe=True)
         .withColumn(out, F.col("_in") + F.col("_base"))
         .drop("_in", "_base", "_slice", "_w")
     )

@@ -22,7 +22,7 @@ def value_at(df: DataFrame, keys: Sequence[str], value: str, place, out: str, **
     counts = _value_counts(rows, keys, value, **kw)
     total = rows.groupBy(*keys).agg(F.count("*").alias("total"))
     wanted = place(F.col("total"))
-    found = lookup(counts, total, keys, by=[value]).filter(
+    found = lookup(counts, total, keys, null_safe=True).filter(
         (F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)
     )
     return found.select(*keys, F.col(value).alias(out))
@@ -42,7 +42,7 @@ def median(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> Da
     before = F.col("upto") - F.col("n")
     hit = lambda place: (F.col("upto") >= place) & (before < place)
     return (
-        lookup(counts, total, keys, by=[value])
+        lookup(counts, total, keys, null_safe=True)
         .filter(hit(low) | hit(high))
         .groupBy(*keys)
         .agg(((F.min(value) + F.max(value)) / 2).alias(out))
@@ -58,13 +58,12 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) ->
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, **kw) -> DataFrame:
     """Rank correlation of ``x`` and ``y`` per group; NaN below 3 rows or without variance."""
     pairs = df.groupBy(*keys, x, y).agg(F.count("*").alias("w"))
-    ranked = pairs.join(mid_ranks(df, keys, x, "rx", **kw), [*keys, x]).join(
-        mid_ranks(df, keys, y, "ry", **kw), [*keys, y]
-    )
+    ranked = lookup(pairs, mid_ranks(df, keys, x, "rx", **kw), [*keys, x], null_safe=True)
+    ranked = lookup(ranked, mid_ranks(df, keys, y, "ry", **kw), [*keys, y], null_safe=True)
     total = df.groupBy(*keys).agg(F.count("*").alias("total"))
     middle = (F.col("total") + 1) / 2
     centred = (
-        lookup(ranked, total, keys, by=[x, y])
+        lookup(ranked, total, keys, null_safe=True)
         .withColumn("dx", F.col("rx") - middle)
         .withColumn("dy", F.col("ry") - middle)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from resultloom.functions.urls import canonical_url, dedupe_key
-from resultloom.operators.admission import MAX_HITS, WINDOW_SECONDS
+from resultloom.operators.admission import MAX_HITS, WINDOW_SECONDS, Limit
 from resultloom.plans.postpass import finish
 from resultloom.schema import LANDING
 from resultloom.sources.payloads import DEADLINE_MS, SOURCES, Registry, normalise
@@ -57,16 +57,10 @@ class _Throttle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         hits = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
-        live = [row[0] for row in self._admitted.get()] if self._admitted.exists() else []
-        verdicts = []
-        for t in hits["t"]:
-            while live and live[0] <= t - self._micros:
-                live.pop(0)
-            allowed = len(live) < self._max
-            if allowed:
-                live.append(int(t))
-            verdicts.append(allowed)
-        self._admitted.put([(t,) for t in live])
+        held = [row[0] for row in self._admitted.get()] if self._admitted.exists() else []
+        limit = Limit(self._max, self._micros, held)
+        verdicts = [limit.admits(int(t)) for t in hits["t"]]
+        self._admitted.put([(t,) for t in limit.held])
         yield pd.DataFrame({"key": key[0], "id": hits["id"].to_numpy(), "admitted": verdicts})
 
     def close(self) -> None:

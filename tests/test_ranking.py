@@ -53,23 +53,30 @@ def expected(rows, query):
         score = a * (raw[e[1]] / top if top else 0.0) + b * fresh + c * quality
         scored.append((score, r))
     newest = lambda r: (r[7] is None, -(r[7] or 0), r[6], r[1])
-    scored.sort(key=lambda x: -x[0])
-    order, i = [], 0
-    while i < len(scored):
-        j = i
-        while j < len(scored) and scored[i][0] - scored[j][0] <= 0.05:
-            j += 1
-        queues = {}
-        for _, r in sorted(scored[i:j], key=lambda x: newest(x[1])):
-            queues.setdefault(PRIORITY[r[2]], []).append(r[1])
-        while any(queues.values()):
-            for p in sorted(queues):
-                if queues[p]:
-                    order.append(queues[p].pop(0))
-        i = j
+    # Bands by their greatest scores, turns by place within band and type: then one sort.
+    anchors = []
+    for score in sorted({score for score, _ in scored}, reverse=True):
+        if not anchors or anchors[-1] - score > 0.05:
+            anchors.append(score)
+    band = {r[1]: sum(score <= anchor for anchor in anchors) for score, r in scored}
+    same_kind = lambda r: [q for _, q in scored if (band[q[1]], q[2]) == (band[r[1]], r[2])]
+    turn = {r[1]: sum(newest(q) < newest(r) for q in same_kind(r)) for _, r in scored}
+    order = sorted((band[r[1]], turn[r[1]], PRIORITY[r[2]], r[1]) for _, r in scored)
+    order = [rid for *_, rid in order]
     return {rid: place for place, rid in enumerate(order)}
 
 
+@pytest.mark.parametrize("task_rows", [10, 0])
+def test_null_keys_stay_in_either_path(spark, task_rows):
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "k string, v int")
+    out = running_total(rows, ["k"], [F.col("v")], "n", task_rows=task_rows).collect()
+    assert sorted((str(r.k), r.v, r.n) for r in out) == [("None", 1, 1), ("None", 2, 2), ("a", 5, 1)]
+    middle = statistics.median(rows, ["k"], "v", "m", task_rows=task_rows).collect()
+    assert sorted((str(r.k), r.m) for r in middle) == [("None", 1.5), ("a", 5.0)]
+    one = statistics.spearman(spark.createDataFrame([(None, i, i * i) for i in range(5)], "k string, x int, y int"), ["k"], "x", "y", task_rows=task_rows).collect()
+    assert [(r.k, r.n, round(r.rho, 9)) for r in one] == [(None, 5, 1.0)]
+
+
 @pytest.mark.parametrize("task_rows", [10**6, 0])
 def test_rank_matches_a_plain_loop(spark, task_rows):
     """Both with groups that fit a task and with every group cut into slices."""
