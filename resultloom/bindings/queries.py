@@ -1243,7 +1243,7 @@ def _(t: Tables) -> DataFrame:
     )
     outcomes = _stream(t, "events").select(
         F.col("user_id").cast("string").alias("search_id"), F.col("event_type").alias("source"), status.alias("status"),
-        "event_id",
+        F.col("event_id").alias("at"),
     )
     return jobs.run_available(jobs.completions(outcomes, expected=5), *_paths(t))
 
@@ -1273,7 +1273,7 @@ def _(t: Tables) -> DataFrame:
             )
         ).alias("s"),
     ).select("search_id", "source", "s.status", "s.at")
-    return jobs.run_available(jobs.enforce_deadline(signals), *_paths(t))
+    return jobs.run_until_quiet(jobs.enforce_deadline(signals), *_paths(t))
 
 
 @bound(

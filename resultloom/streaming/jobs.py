@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -35,7 +36,11 @@ def progressive_results(landing: DataFrame, registry: Registry = SOURCES) -> Dat
 
 
 def first_seen(results: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first record of each page of a search; a side table, the records all stay."""
+    """The first record of each page of a search; a side table, the records all stay.
+
+    A record older than the newest by more than ``delay`` is not looked at: a page first seen
+    so late has no row here.
+    """
     keyed = results.withColumn("dedupe_key", dedupe_key(canonical_url(F.col("url"))))
     return (
         keyed.withWatermark("retrieved_at", delay)
@@ -85,47 +90,56 @@ def throttle(
     )
 
 
+# How long a closed wait is remembered, to ignore what still comes for it.
+REMEMBER_MS = 24 * 3_600_000
+
+
 class _Deadline(StatefulProcessor):
-    """Waits for one source of one search until its deadline passes in event time."""
+    """Waits for one source of one search until its deadline passes on the clock."""
 
-    def __init__(self, deadline_ms: int) -> None:
-        self._deadline = deadline_ms
+    def __init__(self, deadline_ms: int, remember_ms: int) -> None:
+        self._deadline, self._remember = deadline_ms, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
-        self._done = handle.getValueState("done", T.StructType([T.StructField("ok", T.BooleanType())]))
-
-    def _row(self, key, status: str, latency: int | None) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"search_id": [key[0]], "source": [key[1]], "status": [status], "latency_ms": [latency]}
-        )
+        self._start = handle.getValueState("start", "ms long")
+        self._answer = handle.getValueState("answer", "ms long, status string")
+        self._closed = handle.getValueState("closed", "yes boolean", self._remember)
+
+    def _close(self, key, status: str, latency: int) -> pd.DataFrame:
+        self._start.clear()
+        self._answer.clear()
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._closed.update((True,))
+        return pd.DataFrame({"search_id": [key[0]], "source": [key[1]], "status": [status], "latency_ms": [latency]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self._done.exists():
-            return
-        seen = pd.concat(list(rows)).sort_values("at_ms")
-        start = seen.loc[seen["status"] == "started", "at_ms"]
-        if not self._due.exists() and len(start):
-            due = int(start.min()) + self._deadline
-            self._due.update((due,))
-            self._handle.registerTimer(due)
-        answers = seen[seen["status"] != "started"]
-        if not self._due.exists() or answers.empty:
+        if self._closed.exists():
             return
-        due = int(self._due.get()[0])
-        first = answers.iloc[0]
-        self._done.update((True,))
-        self._handle.deleteTimer(due)
-        if first["at_ms"] > due:
-            yield self._row(key, "timeout", self._deadline)
-        else:
-            yield self._row(key, first["status"], int(first["at_ms"]) - (due - self._deadline))
+        seen = pd.concat(list(rows))
+        starts = seen.loc[seen["status"] == "started", "at_ms"].tolist()
+        answers = list(seen.loc[seen["status"] != "started", ["at_ms", "status"]].itertuples(index=False, name=None))
+        waiting = self._start.exists()
+        if waiting:
+            starts.append(self._start.get()[0])
+        if self._answer.exists():
+            answers.append(tuple(self._answer.get()))
+        # An answer may come before its start: it is kept, however old it is.
+        if starts and answers:
+            (at, status), start = min(answers), min(starts)
+            late = at - start > self._deadline
+            yield self._close(key, "timeout" if late else status, self._deadline if late else int(at - start))
+        elif answers:
+            self._answer.update(min(answers))
+        elif starts:
+            self._start.update((int(min(starts)),))
+            if not waiting:
+                self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._deadline)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self._done.exists():
-            self._done.update((True,))
-            yield self._row(key, "timeout", self._deadline)
+        if not self._closed.exists():
+            yield self._close(key, "timeout", self._deadline)
 
     def close(self) -> None:
         pass
@@ -141,18 +155,18 @@ OUTCOME = T.StructType(
 )
 
 
-def enforce_deadline(signals: DataFrame, deadline_ms: int = DEADLINE_MS, delay: str = "0 seconds") -> DataFrame:
+def enforce_deadline(signals: DataFrame, deadline_ms: int = DEADLINE_MS, remember_ms: int = REMEMBER_MS) -> DataFrame:
     """One outcome per (search, source) from signals (search_id, source, status, at).
 
-    A ``started`` signal opens the wait; the first answer in time, or the deadline,
-    closes it. Other sources are not held up.
+    A ``started`` signal opens the wait; the first answer closes it, as a timeout if its time is
+    past the deadline. A source that stays silent times out by the clock, when the deadline has
+    passed since its start came in. No signal is too late or too early to count, and other sources
+    are not held up. Closed waits are forgotten after ``remember_ms``.
     """
     use_rocksdb(signals.sparkSession)
-    timed = signals.withWatermark("at", delay).select(
-        "search_id", "source", "status", F.unix_millis("at").alias("at_ms"), "at"
-    )
+    timed = signals.select("search_id", "source", "status", F.unix_millis("at").alias("at_ms"))
     return timed.groupBy("search_id", "source").transformWithStateInPandas(
-        _Deadline(deadline_ms), OUTCOME, "append", "EventTime"
+        _Deadline(deadline_ms, remember_ms), OUTCOME, "append", "ProcessingTime"
     )
 
 
@@ -163,20 +177,24 @@ class _Completion(StatefulProcessor):
         self._expected = expected
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("source", T.StringType())]
-        self._outcomes = handle.getMapState(
-            "outcomes", T.StructType(fields), T.StructType([T.StructField("status", T.StringType())])
-        )
+        self._outcomes = handle.getMapState("outcomes", "source string", "status string")
+        self._done = handle.getValueState("done", "yes boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self._done.exists():
+            return
         known = {k[0]: v[0] for k, v in self._outcomes.iterator()}
-        before = len(known)
-        for batch in rows:
-            for source, status in zip(batch["source"], batch["status"]):
-                known.setdefault(source, status)
-        for source, status in known.items():
-            self._outcomes.updateValue((source,), (status,))
-        if before < self._expected <= len(known):
+        # Of two outcomes of a source in one batch the first counts, in whatever order they come.
+        outcomes = pd.concat(list(rows)).sort_values(["at", "status"])
+        for source, status in zip(outcomes["source"], outcomes["status"]):
+            known.setdefault(source, status)
+        if len(known) < self._expected:
+            for source, status in known.items():
+                self._outcomes.updateValue((source,), (status,))
+        else:
+            # Of a completed search only that is kept.
+            self._outcomes.clear()
+            self._done.update((True,))
             failed = sum(status != "success" for status in known.values())
             state = "completed" if not failed else "partial" if failed < len(known) else "failed"
             yield pd.DataFrame({"search_id": [key[0]], "status": [state], "failed": [failed]})
@@ -186,9 +204,12 @@ class _Completion(StatefulProcessor):
 
 
 def completions(outcomes: DataFrame, expected: int) -> DataFrame:
-    """A row for each search once all its expected sources have an outcome."""
+    """A row for each search once all its expected sources have an outcome.
+
+    ``outcomes`` has search_id, source, status and ``at``, which orders them.
+    """
     use_rocksdb(outcomes.sparkSession)
-    return outcomes.select("search_id", "source", "status").groupBy("search_id").transformWithStateInPandas(
+    return outcomes.select("search_id", "source", "status", "at").groupBy("search_id").transformWithStateInPandas(
         _Completion(expected), "search_id string, status string, failed long", "append", "none"
     )
 
@@ -223,3 +244,29 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_until_quiet(stream: DataFrame, path: str, checkpoint: str, quiet_s: float = 1.0) -> DataFrame:
+    """Process what is there now into ``path``, and go on until nothing has come in for ``quiet_s``.
+
+    For jobs with timers on the clock: these have work as long as they run.
+    """
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime="100 milliseconds")
+        .start(path)
+    )
+    busy = time.monotonic()
+    try:
+        while query.isActive and time.monotonic() - busy < quiet_s:
+            done = query.lastProgress
+            if not done or done["numInputRows"]:
+                busy = time.monotonic()
+            time.sleep(0.1)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
