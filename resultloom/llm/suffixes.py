@@ -328,7 +328,8 @@ def dedup_bytes(
     least = twins.groupBy("twin").agg(F.min("doc_key").alias("least"))
     copies = twins.join(least, "twin").filter("doc_key > least").select(*_ROW, F.lit(True).alias("copy")).distinct()
     single = base.join(copies, [*_ROW], "left").filter(F.col("copy").isNull()).select(*_ROW, "text")
-    keys = single.mapInArrow(_scan(length, gram, buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets), _KEYS)
+    # Keys are small: fewer groups of them repeat fewer rows of documents.
+    keys = single.mapInArrow(_scan(length, gram, -(-buckets // 4)), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets), _KEYS)
     keys = keys.groupBy("bucket").applyInArrow(_keys_by_row, "doc_key long, text_key long, keys binary")
     parts = base.join(keys, [*_ROW]).mapInArrow(_parts(length, gram, buckets), _PARTS)
     spans = parts.groupBy("bucket").applyInArrow(_match(length, buckets, batch), _SPANS)
