@@ -140,7 +140,7 @@ def train(
     their id; a document with several labels, or a text with several documents, counts once, as toxic
     if one label says so; null labels and ids are left out. Counts of the hashed n-grams per class give the log-count
     ratios; the features of largest ratio are kept, and logistic regression weighs them.
-    Without examples of both classes the model only has the bias.
+    Without examples of both classes each text scores the toxic share of the examples, 0 if there are none.
     """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -171,7 +171,8 @@ def train(
     found = sample.mapInArrow(_examples(handle, lengths), "toxic long, features binary").collect()
     toxic = np.array([x.toxic for x in found], dtype=float)
     if not len(found) or toxic.min() == toxic.max() or not kept.any():
-        bias = float(np.log((toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1)))
+        share = float(toxic.mean()) if len(toxic) else 0.0
+        bias = float(np.clip(np.log(max(share, 1e-300) / max(1 - share, 1e-300)), -500, 500))
         return Model(np.zeros(dimensions), bias, tuple(lengths))
     order = sorted(range(len(found)), key=lambda i: (bytes(found[i].features), toxic[i]))
     weights, bias = _descend([np.frombuffer(found[i].features, np.int32) for i in order], toxic[order], ratio)
