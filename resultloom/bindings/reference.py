@@ -472,7 +472,8 @@ part(
     "held",
     ("bag",),
     """SELECT search_id, f, term, count(*) AS n FROM (
-    SELECT search_id, 't' AS f, unnest(list_distinct(tw)) AS term FROM bag UNION ALL SELECT search_id, 'd', unnest(list_distinct(dw)) FROM bag)
+    SELECT search_id, 't' AS f, unnest(list_distinct(list_filter(tw, lambda w: list_contains(terms, w)))) AS term FROM bag
+    UNION ALL SELECT search_id, 'd', unnest(list_distinct(list_filter(dw, lambda w: list_contains(terms, w)))) FROM bag)
     GROUP BY ALL""",
 )
 part(
