@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -404,9 +406,13 @@ def _(t: Tables) -> DataFrame:
     sql("SELECT search_id, source_type, joined_a AS words_a, joined_b AS words_b, round(score, 6) AS score FROM v_matches", "v_matches"),
 )
 def _(t: Tables) -> DataFrame:
+    return _title_matches(t)
+
+
+def _title_matches(t: Tables, **kw) -> DataFrame:
     keyed = dedup.with_keys(t.variants()).select("search_id", "source_type", "norm_title")
     rows = materialize(fuzzy.with_word_key(fuzzy.admissible(keyed)), "words")
-    matches = fuzzy.title_matches(rows)
+    matches = fuzzy.title_matches(rows, **kw)
     names = rows.groupBy("word_key").agg(F.first(F.array_join("words", " ")).alias("joined"))
     a = names.select(F.col("word_key").alias("key_a"), F.col("joined").alias("ja"))
     b = names.select(F.col("word_key").alias("key_b"), F.col("joined").alias("jb"))
@@ -414,6 +420,12 @@ def _(t: Tables) -> DataFrame:
     return tidy(told.select("search_id", "source_type", F.least("ja", "jb").alias("words_a"), F.greatest("ja", "jb").alias("words_b"), "score"))
 
 
+@bound("j3_title_matches_blocked", REFERENCE["j3_title_matches"])
+def _(t: Tables) -> DataFrame:
+    """As ``j3_title_matches``, with every search treated as too large to be compared directly."""
+    return _title_matches(t, small_scope=0)
+
+
 @bound(
     "g1_components",
     sql("SELECT search_id || '/' || id AS node, search_id || '/' || component AS component FROM exact_member", "exact_member"),
@@ -549,12 +561,26 @@ F6 = """FROM placed p JOIN searches s USING (search_id) WHERE source_type IN ('n
     AND (source_type = 'reference' OR published_at >= coalesce(completed_at, created_at) - INTERVAL 720 HOURS)"""
 
 
-def _stored(t: Tables) -> DataFrame:
-    """Annotated and ranked results, as a finished search stores them."""
-    ranked, _ = postpass.finish(t.results().drop("doc_id"), t.searches(), NOW)
+def _finished(t: Tables, **kw) -> DataFrame:
+    """Annotated and ranked results of all searches, computed."""
+    ranked, _ = postpass.finish(t.results().drop("doc_id"), t.searches(), NOW, **kw)
     return ranked
 
 
+def _stored(t: Tables) -> DataFrame:
+    """Annotated and ranked results, read from where the finished searches stored them.
+
+    The first query of a session that asks for them stores them, by bucket of the search.
+    """
+    name = hashlib.sha256(f"{t.spark.sparkContext.applicationId}|{t.folder}".encode()).hexdigest()[:20]
+    path = f"{shared_folder(t.spark).rstrip('/')}/resultloom/store-{name}"
+    try:
+        return t.spark.read.parquet(path).drop("bucket")
+    except AnalysisException:
+        sinks.append_results(_finished(t), path, buckets=8)
+        return t.spark.read.parquet(path).drop("bucket")
+
+
 def _view(t: Tables, stored: DataFrame) -> DataFrame:
     return views.filtered(
         stored, t.searches(), source_types=["news", "reference"], time="30d", duplicates="canonical", language="en"
@@ -691,10 +717,28 @@ def _(t: Tables) -> DataFrame:
     return tidy(banded.select(F.lit("C4_design_diversity").alias("candidate"), "search_id", "id", "band"))
 
 
+@bound("w2_bands_searched", REFERENCE["w2_bands"])
+def _(t: Tables) -> DataFrame:
+    parts = ranking.with_components(t.results(), t.searches(), NOW).withColumn("scored_type", F.col("source_type"))
+    banded = ranking.with_bands(ranking.with_score(parts), task_rows=0)
+    return tidy(banded.select(F.lit("C4_design_diversity").alias("candidate"), "search_id", "id", "band"))
+
+
 @bound(
     "e1_rank",
     sql("SELECT search_id, id, round(rank_score, 6) AS rank_score, rank_position FROM placed", "placed"),
 )
+def _(t: Tables) -> DataFrame:
+    return tidy(_finished(t).select("search_id", "id", "rank_score", "rank_position"))
+
+
+@bound("e1_rank_in_slices", REFERENCE["e1_rank"])
+def _(t: Tables) -> DataFrame:
+    """As ``e1_rank``, with every search treated as too large for one task."""
+    return tidy(_finished(t, task_rows=0).select("search_id", "id", "rank_score", "rank_position"))
+
+
+@bound("e2_stored_ranking", REFERENCE["e1_rank"])
 def _(t: Tables) -> DataFrame:
     return tidy(_stored(t).select("search_id", "id", "rank_score", "rank_position"))
 
@@ -848,6 +892,12 @@ def _(t: Tables) -> DataFrame:
     return tidy(statistics.mid_ranks(design, ["source_type"], "fresh", "mid_rank"))
 
 
+@bound("w5_mid_ranks_in_slices", REFERENCE["w5_mid_ranks"])
+def _(t: Tables) -> DataFrame:
+    design = _curves(t).filter("curve = 'design'")
+    return tidy(statistics.mid_ranks(design, ["source_type"], "fresh", "mid_rank", task_rows=0))
+
+
 @bound(
     "e5_freshest",
     sql(

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resultloom.sources.payloads import DEADLINE_MS, SOURCE_NAMES, with_outcome
 
 
+def bucket_of(search_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(search_id), F.lit(buckets)).cast("int")
+
+
+def read_searches(store: DataFrame, search_ids: DataFrame, buckets: int) -> DataFrame:
+    """Stored rows of some searches; only their buckets are read."""
+    wanted = search_ids.select("search_id", bucket_of(F.col("search_id"), buckets).alias("bucket")).distinct()
+    return store.join(wanted, ["bucket", "search_id"], "left_semi")
+
+
 def append_results(results: DataFrame, path: str, buckets: int = 512) -> None:
     """Append records, laid out by a hash of the search so that one search reads few files.
 
-    The bucket column is a partition column; a large search is spread over many
-    files of its bucket because rows are not gathered before the write.
+    The bucket column is a partition column. Rows are gathered by bucket before the write, small
+    buckets in one task and a large one over several, so that files are few and of bounded size.
     """
-    bucket = F.pmod(F.xxhash64("search_id"), F.lit(buckets)).cast("int")
-    results.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
+    bucketed = results.withColumn("bucket", bucket_of(F.col("search_id"), buckets))
+    bucketed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def source_events(landing: DataFrame, results: DataFrame, deadline_ms: int = DEADLINE_MS) -> DataFrame:

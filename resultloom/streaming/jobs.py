@@ -16,6 +16,7 @@ from resultloom.functions.urls import canonical_url, dedupe_key
 from resultloom.operators.admission import MAX_HITS, WINDOW_SECONDS, Limit
 from resultloom.plans.postpass import finish
 from resultloom.schema import LANDING
+from resultloom.sources.sinks import read_searches
 from resultloom.sources.payloads import DEADLINE_MS, SOURCES, Registry, normalise
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -215,17 +216,18 @@ def completions(outcomes: DataFrame, expected: int) -> DataFrame:
 
 
 def postpass_batch(
-    results_path: str, searches: DataFrame, output_path: str, now: Callable[[], datetime]
+    results_path: str, searches: DataFrame, output_path: str, now: Callable[[], datetime], buckets: int = 512
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` step: link and rank the searches that completed in the batch.
 
-    Output goes to a folder of the batch, overwritten when the batch is retried.
+    ``results_path`` was written by ``append_results`` with as many ``buckets``. Output goes to a
+    folder of the batch, overwritten when the batch is retried.
     """
 
     def step(completed: DataFrame, batch_id: int) -> None:
         spark = completed.sparkSession
         ids = completed.select("search_id").distinct()
-        rows = spark.read.parquet(results_path).join(ids, "search_id", "left_semi")
+        rows = read_searches(spark.read.parquet(results_path), ids, buckets).drop("bucket")
         ranked, groups = finish(rows, searches.join(ids, "search_id", "left_semi"), now())
         ranked.write.mode("overwrite").parquet(f"{output_path}/results/batch={batch_id}")
         groups.write.mode("overwrite").parquet(f"{output_path}/groups/batch={batch_id}")
