@@ -25,7 +25,8 @@ PRIOR = 100.0
 FILTER_BYTES = 128 << 20
 # Tokens this frequent have their exact counts broadcast: at most so many can exist.
 FREQUENT = 1_000_000
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 
 _END, _BEGIN = np.uint64(0x5EED0E4D), np.uint64(0x5EEDBE61)
 _SLICE = "order int, bucket int, entries long, bits long, filter binary, hashes binary, counts binary, total long"
@@ -105,7 +106,7 @@ def _scan(order: int, buckets: int):
     """Counts of n-grams of all orders in a piece of text, dealt to buckets."""
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             hashes, splits = tokens(batch.column("text"))
             rows = []
             for n in range(1, order + 1):
@@ -179,18 +180,16 @@ def train(
 
 
 def _gathered(model: Model, slices: DataFrame) -> list[tuple]:
-    """Filters by order, from the slices of one round, as plain arrays."""
-    rows = slices.select("order", "bucket", "bits", "filter").collect()
-    out = []
-    for n in range(1, model.order + 1):
-        own = sorted((r for r in rows if r.order == n), key=lambda r: r.bucket)
-        bits, starts = np.zeros(model.buckets, np.int64), np.zeros(model.buckets, np.int64)
-        at = 0
-        for r in own:
-            bits[r.bucket], starts[r.bucket] = r.bits, at
-            at += r.bits // 8
-        out.append((np.frombuffer(b"".join(r["filter"] for r in own) or b"\0", np.uint8), starts, bits))
-    return out
+    """Filters by order, from the slices of one round, as plain arrays; slices come one partition at a time."""
+    sizes = np.zeros((model.order, model.buckets), dtype=np.int64)
+    for r in slices.select("order", "bucket", "bits").collect():
+        sizes[r.order - 1, r.bucket] = r.bits
+    starts = np.cumsum(sizes // 8, axis=1) - sizes // 8
+    data = [np.zeros(max(1, int(own.sum()) // 8), dtype=np.uint8) for own in sizes]
+    for r in slices.select("order", "bucket", "filter").toLocalIterator():
+        at = starts[r.order - 1, r.bucket]
+        data[r.order - 1][at : at + len(r["filter"])] = np.frombuffer(r["filter"], np.uint8)
+    return list(zip(data, starts, sizes))
 
 
 def _probe(texts: pa.Array, filters: list[Filter], order: int, buckets: int) -> np.ndarray:
@@ -232,7 +231,7 @@ def _score(rounds: int, handle, common, model: dict):
     def run(batches):
         filters = [Filter(*x, model["probes"]) for x in handle.value]
         known_hash, known_count = common.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             texts = batch.column("text")
             levels = _probe(texts, filters, model["order"], model["buckets"])
             if rounds > 1:
@@ -277,7 +276,7 @@ def _round(handle, first: bool, model: dict):
 
     def run(batches):
         filters = [Filter(*x, model["probes"]) for x in handle.value]
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             levels = _probe(batch.column("text"), filters, model["order"], model["buckets"])
             splits = tokens(batch.column("text"))[1]
             if not first:
