@@ -14,7 +14,7 @@ SHARE = 1.5
 # Most epochs of one source.
 EPOCHS = 2
 # Rows of a source that one sorted slice holds on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
