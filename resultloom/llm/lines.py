@@ -220,7 +220,7 @@ def near_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFra
     pairs = variants.groupBy("bucket").applyInArrow(_meet, "hash long, earlier long").distinct()
     mine = texts.select("hash", F.col("line_text").alias("a"))
     theirs = texts.select(F.col("hash").alias("earlier"), F.col("line_text").alias("b"))
-    near = pairs.join(mine, "hash").join(theirs, "earlier").filter(F.levenshtein("a", "b") <= 1).select("hash").distinct()
+    near = pairs.join(mine, "hash").join(theirs, "earlier").filter(F.levenshtein("a", "b", 1) >= 0).select("hash").distinct()
     return lines, first.join(near.withColumn("near", F.lit(True)), "hash", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
