@@ -317,9 +317,10 @@ def score(docs: DataFrame, model: Model, *, filter_bytes: int = FILTER_BYTES, fr
     handle = context.broadcast(_gathered(model, model.table.filter(part == rounds - 1)))
     counts = model.table.filter("order = 1").select("hashes", "counts").mapInArrow(_unpack_counts, "hash long, count long")
     least = max(2, -(-model.total // frequent))
-    common = counts.filter(F.col("count") >= least).toPandas()
-    common = common.sort_values("hash", key=lambda s: s.astype("int64").to_numpy().view(np.uint64)) if len(common) else common
-    common = context.broadcast((common["hash"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)))
+    common = counts.filter(F.col("count") >= least).toArrow()
+    common_hash, common_count = (common.column(c).to_numpy().astype(np.int64) for c in ("hash", "count"))
+    order = np.argsort(common_hash.view(np.uint64))
+    common = context.broadcast((common_hash.view(np.uint64)[order], common_count[order]))
     scored = rows.mapInArrow(_score(rounds, handle, common, plain), _OUT)
     # A row for each text and one for each of its rare tokens, in one pass.
     rare = F.arrays_zip(F.col("rare_hash").alias("hash"), F.col("rare_count").alias("n"))
