@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resultloom.operators.skew import lookup
-from resultloom.runtime import materialize
+from resultloom.runtime import discard, materialize
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -65,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
         "edges",
     )
     while not _is_star_forest(current):
-        current = materialize(_hook(_hook(current, False), True), "edges")
+        before, current = current, materialize(_hook(_hook(current, False), True), "edges")
+        discard(before)
     roots = current.select(F.col("parent").alias("node")).distinct()
     return current.select(F.col("child").alias("node"), F.col("parent").alias("component")).unionByName(
         roots.withColumn("component", F.col("node"))
