@@ -494,6 +494,14 @@ def _(t: Tables) -> DataFrame:
     return dedup.also_reported_by(_annotated(t)[0])[0]
 
 
+@bound(
+    "a23_reported_urls",
+    sql("SELECT DISTINCT search_id, sha256(search_id || chr(31) || grp) AS duplicate_group_id, url FROM annotated WHERE grp IS NOT NULL", "annotated"),
+)
+def _(t: Tables) -> DataFrame:
+    return dedup.also_reported_by(_annotated(t)[0])[1]
+
+
 @bound(
     "j7_group_members",
     sql("SELECT search_id, first_member, count(*) AS members, max(member_count) AS member_count FROM exact_groups g JOIN (SELECT search_id, id, component AS first_member FROM exact_member) m USING (search_id, first_member) GROUP BY ALL", "exact_groups"),
@@ -898,6 +906,22 @@ def _(t: Tables) -> DataFrame:
     return tidy(statistics.mid_ranks(design, ["source_type"], "fresh", "mid_rank", task_rows=0))
 
 
+PROBE_AGES = (0, 1, 12, 24, 48, 168)
+
+
+@bound(
+    "e5_curve_grid",
+    sql(
+        f"""SELECT source_type, age_hours, {", ".join(f'round({R.freshness(d)}, 6) AS "{n}"' for n, d in DECAY_CANDIDATES.items())} FROM (
+        SELECT source_type, age_hours, TIMESTAMP '{NOW}' - to_hours(CAST(age_hours AS INT)) AS published_at
+        FROM (SELECT DISTINCT source_type FROM results), (SELECT unnest({[float(a) for a in PROBE_AGES]}::DOUBLE[]) AS age_hours))""",
+        "results",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return tidy(evaluation.curve_grid(t.results(), PROBE_AGES))
+
+
 @bound(
     "e5_freshest",
     sql(
@@ -1207,6 +1231,29 @@ def _(t: Tables) -> DataFrame:
     return tidy(operations.arrival_times(t.searches(), t.results()))
 
 
+def _percentiles(name: str) -> str:
+    values = f"list_sort(list({name}_ms) FILTER ({name}_ms IS NOT NULL))"
+    return (
+        f"round({values}[count({name}_ms) // 2 + 1], 6) AS p50_{name}_ms,"
+        f" round({values}[CAST(ceil(count({name}_ms) * 0.95::DOUBLE) AS BIGINT)], 6) AS p95_{name}_ms"
+    )
+
+
+@bound(
+    "a22_arrival_summary",
+    sql(
+        f"""SELECT count(*) AS searches, round(min(first_ms), 6) AS best_first_ms, round(min(done_ms), 6) AS best_done_ms,
+        count(*) FILTER (first_ms IS NULL OR first_ms > 3000) AS late_first, count(*) FILTER (done_ms IS NULL OR done_ms > 5000) AS late_done,
+        {_percentiles("first")}, {_percentiles("done")} FROM (
+        SELECT search_id, (epoch_us(min(retrieved_at)) - epoch_us(any_value(created_at))) / 1000.0::DOUBLE AS first_ms,
+        (epoch_us(any_value(completed_at)) - epoch_us(any_value(created_at))) / 1000.0::DOUBLE AS done_ms FROM searches LEFT JOIN results USING (search_id) GROUP BY 1)""",
+        "searches", "results",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return tidy(operations.arrival_summary(operations.arrival_times(t.searches(), t.results())))
+
+
 @bound(
     "a17_throughput",
     sql(

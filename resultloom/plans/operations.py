@@ -44,16 +44,27 @@ def arrival_times(searches: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def arrival_summary(arrivals: DataFrame, first_target_ms: float = 3000.0, done_target_ms: float = 5000.0) -> DataFrame:
-    """Searches beyond their targets; one never answered counts as late."""
+def arrival_summary(
+    arrivals: DataFrame, first_target_ms: float = 3000.0, done_target_ms: float = 5000.0, **kw
+) -> DataFrame:
+    """Best, middle and 95th percentile times, and searches beyond their targets.
+
+    Percentiles are of the searches that were answered; one never answered counts as late.
+    """
     late = lambda c, limit: F.count_if(F.coalesce(F.col(c) > limit, F.lit(True)))
-    return arrivals.agg(
+    every = arrivals.withColumn("_all", F.lit(0))
+    out = every.groupBy("_all").agg(
         F.count("*").alias("searches"),
         F.min("first_ms").alias("best_first_ms"),
         F.min("done_ms").alias("best_done_ms"),
         late("first_ms", first_target_ms).alias("late_first"),
         late("done_ms", done_target_ms).alias("late_done"),
     )
+    for name in ("first", "done"):
+        out = out.join(upper_median(every, ["_all"], f"{name}_ms", f"p50_{name}_ms", **kw), "_all", "left")
+        p95 = value_at(every, ["_all"], f"{name}_ms", lambda n: F.ceil(n * 0.95), f"p95_{name}_ms", **kw)
+        out = out.join(p95, "_all", "left")
+    return out.drop("_all")
 
 
 def throughput(searches: DataFrame) -> DataFrame:
