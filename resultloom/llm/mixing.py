@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resultloom.runtime import materialize
+
 # Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 # Words of the mix, as a share of all words.
@@ -75,9 +77,12 @@ def _decided(
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     good = F.when((quality > 1e-6) & ~F.isnan(quality), quality).otherwise(F.lit(1e-6))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.lit(None).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.struct(*[docs[c] for c in keep]).alias("row") if keep else F.lit(False).alias("row"),
         size.cast("long").alias("size"), good.alias("_good"), F.xxhash64("text").alias("_text"),
     ).withColumn("_key", -F.log(u) / F.col("_good"))
+    if not keep:
+        # Narrow rows are written once, so that texts are read and counted once.
+        rows = materialize(rows, "sizes")
     sizes = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.avg("_good").alias("_mean")
     )
