@@ -6,9 +6,7 @@ needed ones, in the order written here, before a final SELECT.
 
 from __future__ import annotations
 
-from resultloom.functions.scoring import DECAY_CANDIDATES, SOURCE_QUALITY, WEIGHT_SETS, Decay
-from resultloom.functions.text import PUBLISHERS, STOPWORDS
-from resultloom.functions.urls import TRACKING_KEYS
+from resultloom.bindings.fixed import CURVES, PUBLISHERS, SOURCE_QUALITY, STOPWORDS, TRACKING_KEYS, WEIGHT_SETS, Curve
 from resultloom.plans.bm25 import VARIANTS, Variant
 from resultloom.plans.evaluation import FILTER_CONFIGS, RANKING_CANDIDATES
 
@@ -65,7 +63,7 @@ def age_hours(ts: str = "published_at") -> str:
     return f"greatest(0.0::DOUBLE, (epoch_us({NOW}) - epoch_us({ts}))::DOUBLE / 1e6::DOUBLE / 3600.0::DOUBLE)"
 
 
-def freshness(decay: Decay = Decay(), ts: str = "published_at", kind: str = "source_type") -> str:
+def freshness(decay: Curve = Curve(), ts: str = "published_at", kind: str = "source_type") -> str:
     age, floor, span = age_hours(ts), f"{decay.floor}::DOUBLE", f"(1.0::DOUBLE - {decay.floor}::DOUBLE)"
     if decay.shape == "exp":
         half = f"CASE WHEN {kind} = 'news' THEN {decay.news_half_life}::DOUBLE ELSE {decay.social_half_life}::DOUBLE END"
@@ -453,7 +451,7 @@ part(
     ("results", "grades"),
     " UNION ALL ".join(
         f"SELECT '{n}' AS curve, search_id, id, source_type, rel, {freshness(d)} AS fresh FROM results JOIN grades USING (search_id, id)"
-        for n, d in DECAY_CANDIDATES.items()
+        for n, d in CURVES.items()
     ),
 )
 # --- BM25 ------------------------------------------------------------------
