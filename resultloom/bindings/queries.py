@@ -1192,6 +1192,25 @@ def _(t: Tables) -> DataFrame:
     return views.search_status(t.events())
 
 
+@bound(
+    "a7_search_stats",
+    sql(
+        """SELECT s.search_id, coalesce(d.groups, 0) AS groups, coalesce(d.duplicates, 0) AS duplicates, round(s.total, 6) AS total_ms, coalesce(e.failed, 0) AS failed, coalesce(e.sources, 0) AS sources,
+        CASE WHEN e.sources IS NULL OR e.failed = 0 THEN 'completed' WHEN e.failed < e.sources THEN 'partial' ELSE 'failed' END AS status, e.sources_ms, e.busy_ms,
+        coalesce(r.ranked, 0) AS ranked, round(CASE WHEN s.total IS NOT NULL THEN greatest(0.0, s.total - coalesce(e.sources_ms, 0)) END, 6) AS postpass_ms
+        FROM (SELECT search_id, (epoch_us(completed_at) - epoch_us(created_at)) / 1000.0::DOUBLE AS total FROM searches) s
+        LEFT JOIN (SELECT search_id, count(*) AS groups, CAST(sum(member_count - 1) AS BIGINT) AS duplicates FROM all_groups GROUP BY 1) d USING (search_id)
+        LEFT JOIN (SELECT 's' || search_id AS search_id, count(*) FILTER (status <> 'success') AS failed, count(*) AS sources, max(latency_ms) AS sources_ms, CAST(sum(latency_ms) AS BIGINT) AS busy_ms
+            FROM source_events GROUP BY 1) e USING (search_id)
+        LEFT JOIN (SELECT search_id, count(*) AS ranked FROM placed GROUP BY 1) r USING (search_id)""",
+        "searches", "all_groups", "source_events", "placed",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    events = t.events().withColumn("search_id", F.concat(F.lit("s"), "search_id"))
+    return tidy(postpass.search_stats(t.searches(), events, dedup.all_groups(t.results())[1], _stored(t)))
+
+
 @bound(
     "a7_search_timings",
     sql("SELECT search_id, max(latency_ms) AS sources_ms, CAST(sum(latency_ms) AS BIGINT) AS busy_ms, count(*) AS sources FROM source_events GROUP BY 1", "source_events"),

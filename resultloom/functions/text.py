@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,7 +122,3 @@ def shorten(text: Column, width: int = 46) -> Column:
 
 def shown_time(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("not provided"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -432,10 +432,3 @@ def dedup_metrics(counts: DataFrame) -> DataFrame:
         .withColumn("recall", share("false_negative"))
         .withColumn("f1", F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)))
     )
-
-
-def same_rows(left: DataFrame, right: DataFrame) -> bool:
-    """True when two runs gave the same rows, repeats included."""
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
-
-

@@ -29,13 +29,20 @@ def finish(
 
 
 def search_stats(searches: DataFrame, events: DataFrame, groups: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Status, dedup, ranking and timing numbers of each search."""
+    """Status, dedup and ranking numbers of each search, and where its time went.
+
+    ``total_ms`` runs from creation to completion, null while the search runs; ``postpass_ms``
+    is what is left of it once the slowest source has answered.
+    """
     counts = ranked.groupBy("search_id").agg(F.count("rank_position").alias("ranked"))
+    total = (F.unix_micros("completed_at") - F.unix_micros("created_at")) / 1000.0
     return (
         dedup_stats(groups, searches)
+        .join(searches.select("search_id", total.alias("total_ms")), "search_id")
         .join(search_status(events), "search_id", "left")
         .join(search_timings(events).drop("sources"), "search_id", "left")
         .join(counts, "search_id", "left")
+        .withColumn("postpass_ms", F.when(F.col("total_ms").isNotNull(), F.greatest(F.lit(0.0), F.col("total_ms") - F.coalesce("sources_ms", F.lit(0)))))
         .na.fill(0, ["ranked", "failed", "sources"])
         .na.fill("completed", ["status"])
     )

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 # Source types, event outcomes, search states.
 SOURCE_TYPES = ("news", "social", "reference")
-EVENT_STATUSES = ("success", "failed", "timeout", "rate_limited")
-SEARCH_STATUSES = ("running", "completed", "partial", "failed")
 
 RESULT = T.StructType(
     [
@@ -39,32 +37,6 @@ LANDING = T.StructType(
     ]
 )
 
-SEARCH = T.StructType(
-    [
-        T.StructField("search_id", T.StringType(), False),
-        T.StructField("query", T.StringType(), False),
-        T.StructField("normalized_query", T.StringType(), False),
-        T.StructField("window_hours", T.IntegerType()),
-        T.StructField("status", T.StringType(), False),
-        T.StructField("created_at", T.TimestampType(), False),
-        T.StructField("completed_at", T.TimestampType()),
-        T.StructField("duration_ms", T.LongType()),
-    ]
-)
-
-SOURCE_EVENT = T.StructType(
-    [
-        T.StructField("search_id", T.StringType(), False),
-        T.StructField("source_name", T.StringType(), False),
-        T.StructField("status", T.StringType(), False),
-        T.StructField("result_count", T.LongType()),
-        T.StructField("latency_ms", T.LongType()),
-        T.StructField("error_type", T.StringType()),
-        T.StructField("error_message", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-    ]
-)
-
 
 def to_results(df: DataFrame) -> DataFrame:
     """Project any frame onto the canonical result columns, in order and type."""

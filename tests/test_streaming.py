@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from resultloom.streaming import jobs
 
@@ -46,3 +47,24 @@ def test_completion_is_told_once(spark, tmp_path):
     rows = jobs.run_available(done, str(tmp_path / "out"), str(tmp_path / "check")).collect()
     # The first outcome of a source counts: s has a success and a timeout, q two failures.
     assert sorted((r.search_id, r.status, r.failed) for r in rows) == [("q", "failed", 2), ("s", "partial", 1)]
+
+
+def test_completed_searches_are_ranked_from_the_store(spark, tmp_path):
+    from resultloom.bindings.tables import NOW, Tables
+    from resultloom.operators.views import page_of
+    from resultloom.sources.sinks import append_results
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    store, out = str(tmp_path / "store"), str(tmp_path / "ranked")
+    append_results(t.results().drop("doc_id"), store, buckets=4)
+    step = jobs.postpass_batch(store, t.searches(), out, lambda: NOW, buckets=4)
+    done = spark.createDataFrame([("s1", "completed"), ("s2", "partial")], "search_id string, status string")
+    for _ in range(2):
+        step(done, 7)
+    ranked = spark.read.parquet(f"{out}/results/batch=7")
+    want = {r.search_id: r.n for r in t.results().filter("search_id in ('s1', 's2')").groupBy("search_id").agg(F.count("*").alias("n")).collect()}
+    got = {r.search_id: (r.n, r.last) for r in ranked.groupBy("search_id").agg(F.count("*").alias("n"), F.max("rank_position").alias("last")).collect()}
+    assert {k: n for k, (n, _) in got.items()} == want and all(last == n - 1 for n, last in got.values())
+    pages = [[r.id for r in page_of(ranked, "s1", page, 2).collect()] for page in (1, 2, 99)]
+    order = [r.id for r in ranked.filter("search_id = 's1'").orderBy("rank_position").collect()]
+    assert pages == [order[:2], order[2:4], []]
