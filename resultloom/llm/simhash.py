@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resultloom.llm.overlap import SIMILARITY, Shingles, join_similar
 from resultloom.llm.text import LAST_ID, id_key, pieces
 from resultloom.operators.components import components
 from resultloom.runtime import materialize
@@ -203,12 +204,41 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, tree_nodes: int =
     )
 
 
-def one_of_each(docs: DataFrame, *, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+def _sets(batches):
+    for batch in pieces(batches, "text"):
+        own = Shingles(batch.column("text"))
+        yield pa.record_batch([batch.column("text_key"), pa.array(own.key, mask=own.counts == 0)], names=["text_key", "set"])
+
+
+def _with_similar(docs: DataFrame, prints: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """``named`` with components joined where texts of them have similar shingle sets."""
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    sets = texts.mapInArrow(_sets, "text_key long, set long").filter("set is not null").distinct()
+    own = prints.select("text_key", "fp").distinct().join(named.select("fp", "component"), "fp").select("text_key", "component")
+    own = materialize(sets.join(own, "text_key"), "sets")
+    # Texts with equal sets are one; what they link is followed first.
+    equal = own.groupBy("set").agg(F.min("component").alias("a"), F.min("text_key").alias("text_key"))
+    links = own.select("set", F.col("component").alias("b")).join(equal, "set").select("a", "b").filter("a <> b")
+    merged = components(links).select(F.col("node").alias("before"), F.col("component").alias("after"))
+    start = equal.join(merged, F.col("a") == F.col("before"), "left").select("set", F.coalesce("after", "a").alias("component"), "text_key")
+    done = join_similar(texts, start, similarity)
+    # Every old component hangs from all its sets, so from where these went.
+    moves = own.join(done.withColumnRenamed("component", "to"), "set").select(F.col("component").alias("a"), F.col("to").alias("b"))
+    found = components(moves.distinct()).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return named.join(found, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+
+
+def one_of_each(
+    docs: DataFrame, *, radius: int = RADIUS, tree_nodes: int = TREE_NODES, similarity: float = SIMILARITY,
+) -> DataFrame:
     """``docs``, all columns, with one row of each component: that of the smallest id.
 
-    Of rows with one id the text's hash decides, of equal rows one stays.
+    Besides fingerprints within ``radius``, texts are linked whose sets of five-word shingles have
+    a Jaccard similarity of at least ``similarity``. Of rows with one id the text's hash decides,
+    of equal rows one stays.
     """
-    _, named = _components(docs, radius, tree_nodes)
+    prints, named = _components(docs, radius, tree_nodes)
+    named = _with_similar(docs, prints, materialize(named, "named"), similarity)
     first = named.groupBy("component").agg(F.min("least").alias("first")).select(
         F.coalesce("first.doc_id", F.lit(LAST_ID)).alias("_doc"), F.col("first.text_key").alias("_text")
     )
