@@ -68,7 +68,7 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = dedup_lines(table(spark, folder, "documents"))
+    done = dedup_lines(table(spark, folder, "documents"), least_equal=1)
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 

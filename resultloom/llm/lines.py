@@ -12,7 +12,7 @@ from resultloom.llm.text import (
 )
 from resultloom.runtime import materialize
 
-# Lines of fewer characters are kept wherever they stand.
+# Lines of fewer characters are not compared by edits; equal ones go from ``least_equal`` characters on.
 LEAST_CHARS = 15
 PARTS = 4
 BUCKET_BYTES = 32 << 20
@@ -194,8 +194,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(id_key("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def near_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(lines, gone): every long enough line by place, and what is known of each distinct one.
+def near_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_equal: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(lines, gone): every line of ``least_equal`` characters by place, and what is known of each distinct one.
 
     ``gone`` has (hash, place, near): its first place, and whether a line within one edit,
     and not equal, stands before that.
@@ -203,7 +203,7 @@ def near_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFra
     keyed = _keyed(docs)
     total = text_bytes(keyed)
     buckets = bucket_count(total, BUCKET_BYTES)
-    lines = keyed.mapInArrow(_scan(least_chars), "hash long, doc_key long, text_key long, line long")
+    lines = keyed.mapInArrow(_scan(least_equal), "hash long, doc_key long, text_key long, line long")
     first = materialize(lines.groupBy("hash").agg(F.min(F.struct(*_ROW, "line")).alias("place")), "lines")
     # A pair of lines one edit apart has equal text around the edit: others need no variants.
     keys = keyed.mapInArrow(_scan_keys(least_chars, buckets), _KEYS)
@@ -232,18 +232,18 @@ def _ranked(texts: DataFrame) -> DataFrame:
     return sliced
 
 
-def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS, least_equal: int = LEAST_CHARS) -> DataFrame:
     """(doc_key, text_key, removed): numbers of the lines that go, for documents that lose some."""
-    lines, known = near_lines(docs, least_chars)
+    lines, known = near_lines(docs, least_chars, least_equal)
     place = F.struct(*[F.col(c) for c in (*_ROW, "line")])
     # Many equal lines meet one row: they are the left side, which Spark splits when it is skewed.
     going = lines.join(known, "hash").filter(F.col("near") | (place != F.col("place")))
     return going.groupBy(*_ROW).agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def _decided(docs: DataFrame, least_chars: int) -> DataFrame:
+def _decided(docs: DataFrame, least_chars: int, least_equal: int) -> DataFrame:
     """``docs`` as the struct ``row``, with n_lines and the numbers of the lines that go."""
-    going = line_decisions(docs, least_chars)
+    going = line_decisions(docs, least_chars, least_equal)
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key"),
         F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"),
@@ -251,13 +251,14 @@ def _decided(docs: DataFrame, least_chars: int) -> DataFrame:
     return rows.join(going, [*_ROW], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<long>")))
 
 
-def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, n_lines, removed) of each row of ``docs``: the numbers of the lines that go.
 
     Lines are separated by newlines and compared without white space around them. A line of
-    ``least_chars`` characters or more goes if an equal one, or one within one edit (a character
-    more, fewer or other), stands before it: in a document with a smaller id or higher up in
-    the same. All is judged on the input, so of a chain of edits only the first line stays.
+    ``least_equal`` characters or more goes if an equal one stands before it, one of ``least_chars``
+    or more also if one of that length within one edit (a character more, fewer or other) does: in a
+    document with a smaller id or higher up in the same. ``least_equal`` is at most ``least_chars``;
+    1 compares all lines but blank ones. All is judged on the input, so of a chain of edits only the first line stays.
 
     Each line that shares all but a quarter of its text with another emits its deletion variants
     in that quarter as hashed keys; equal keys are joined, each line to the earliest it meets, and
@@ -265,10 +266,10 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame
     Null ids count as the largest. Rows with the same id and text are one document, each keeps the
     same lines; rows with one id and different texts stand in the order of their text's hash.
     """
-    return _decided(docs, least_chars).select("row.doc_id", "n_lines", "removed")
+    return _decided(docs, least_chars, least_equal).select("row.doc_id", "n_lines", "removed")
 
 
-def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines that ``dedup_lines`` names taken out of the texts.
 
     All columns stay; ``n_chars``, if there, counts anew for changed texts. A document
@@ -278,7 +279,7 @@ def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame
     text = F.col("row.text")
     kept = F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains(F.col("removed"), at.cast("long")))
     changed = F.size("removed") > 0
-    done = _decided(docs, least_chars).withColumn("kept", F.when(changed, F.array_join(kept, "\n")).otherwise(text))
+    done = _decided(docs, least_chars, least_equal).withColumn("kept", F.when(changed, F.array_join(kept, "\n")).otherwise(text))
     done = done.filter(~changed | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     own = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
