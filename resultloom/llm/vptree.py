@@ -66,15 +66,8 @@ class Search:
         if not len(active):
             return
         if sides is None:
-            at = self.tree.order[low:high]
-            self.compared += len(at) * len(active)
-            square = self.own[active, None] + self.norms[at] - 2 * self.queries[active] @ self.points[at].T
-            all_best = np.hstack([self.best[active], np.sqrt(np.maximum(square, 0))])
-            all_found = np.hstack([self.found[active], np.broadcast_to(at, square.shape)])
-            k = self.best.shape[1]
-            pick = np.argpartition(all_best, k - 1, axis=1)[:, :k]
-            self.best[active] = np.take_along_axis(all_best, pick, axis=1)
-            self.found[active] = np.take_along_axis(all_found, pick, axis=1)
+            self.compared += (high - low) * len(active)
+            self._leaf(self.tree.order[low:high], active)
             return
         distance = np.sqrt(((self.queries[active] - vantage) ** 2).sum(axis=1))
         nearer = distance <= (sides[0][1] + sides[1][0]) / 2
@@ -83,8 +76,67 @@ class Search:
                 least, most, child = sides[side]
                 # By the triangle inequality nothing on that side is nearer than this.
                 bound = np.maximum(np.maximum(least - distance, distance - most), 0)[own]
-                reach = self.best[active[own]].max(axis=1)
-                self._visit(child, active[own][bound * self.relax <= reach + 1e-9])
+                self._visit(child, active[own][self._open(active[own], bound * self.relax)])
+
+    def _open(self, active: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return bound <= self.best[active].max(axis=1) + 1e-9
+
+    def _leaf(self, at: np.ndarray, active: np.ndarray) -> None:
+        square = self.own[active, None] + self.norms[at] - 2 * self.queries[active] @ self.points[at].T
+        all_best = np.hstack([self.best[active], np.sqrt(np.maximum(square, 0))])
+        all_found = np.hstack([self.found[active], np.broadcast_to(at, square.shape)])
+        k = self.best.shape[1]
+        pick = np.argpartition(all_best, k - 1, axis=1)[:, :k]
+        self.best[active] = np.take_along_axis(all_best, pick, axis=1)
+        self.found[active] = np.take_along_axis(all_found, pick, axis=1)
+
+
+class Products(Search):
+    """The ``k`` vectors of largest inner product with each query, of equal ones those of least id.
+
+    ``points`` are ``vectors`` with a last coordinate that brings each square to ``top``. They only
+    lead through the tree; a leaf chooses by the product of the vectors in doubles. What rounding
+    can move, in the distances as in the fast products, is allowed for.
+    """
+
+    def __init__(self, tree: VPTree, vectors: np.ndarray, rest: np.ndarray, top: float, ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> None:
+        self.vectors, self.asked, self.top, self.ids = vectors, queries, top, ids
+        self.lengths, self.reach = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
+        self.unit = 16 * (vectors.shape[1] + 8) * np.finfo(float).eps
+        self.score = np.full((len(queries), k), -np.inf)
+        super().__init__(tree, np.column_stack([vectors, rest]), np.column_stack([queries, np.zeros(len(queries))]), k, relax)
+
+    def _open(self, active: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        both = self.own[active] + self.top
+        # The largest product at that distance; a branch that can tie is open.
+        return (both - bound**2) / 2 + self.unit * both >= self.score[active, -1]
+
+    def _leaf(self, at: np.ndarray, active: np.ndarray) -> None:
+        k = self.score.shape[1]
+        for low in range(0, len(active), 64):
+            rows = active[low : low + 64]
+            fast = self.asked[rows] @ self.vectors[at].T
+            slack = self.unit * self.reach[rows, None] * self.lengths[at]
+            least = self.score[rows, -1]
+            if len(at) > k:
+                least = np.maximum(least, np.partition(fast - slack, len(at) - k, axis=1)[:, len(at) - k])
+            query, point = np.nonzero(fast + slack >= least[:, None])
+            if not len(query):
+                continue
+            exact = (self.asked[rows[query]] * self.vectors[at[point]]).sum(axis=1)
+            # With what the queries that have something new hold already.
+            touched = np.unique(query)
+            held_query, held_place = np.nonzero(self.found[rows[touched]] >= 0)
+            held_query = touched[held_query]
+            query = np.concatenate([held_query, query])
+            found = np.concatenate([self.found[rows[touched]][self.found[rows[touched]] >= 0], at[point]])
+            score = np.concatenate([self.score[rows[held_query], held_place], exact])
+            order = np.lexsort((self.ids[found], -score, query))
+            query, found, score = query[order], found[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            first = place < k
+            self.found[rows[query[first]], place[first]] = found[first]
+            self.score[rows[query[first]], place[first]] = score[first]
 
 
 def _clean(batches):
@@ -121,7 +173,7 @@ def _plant(top: float, k: int, leaf: int):
         # One more coordinate turns the largest inner product into the least distance.
         rest = np.sqrt(np.maximum(top - (points**2).sum(axis=1), 0))
         tree = VPTree(np.column_stack([points, rest]), leaf)
-        blob = pickle.dumps((tree.order, tree.nodes, points, rest, own), protocol=5)
+        blob = pickle.dumps((tree.order, tree.nodes, points, rest, top, own), protocol=5)
         return pa.table([group.column("size").slice(0, 1), group.column("shard").slice(0, 1), pa.array([blob], pa.binary())], names=["size", "shard", "tree"])
 
     return run
@@ -140,16 +192,15 @@ def _search(k: int, relax: float):
         for batch in batches:
             for blob, ids, vectors in zip(*[batch.column(c) for c in ("tree", "ids", "vectors")]):
                 tree = VPTree.__new__(VPTree)
-                tree.order, tree.nodes, points, rest, own = pickle.loads(blob.as_py())
+                tree.order, tree.nodes, points, rest, top, own = pickle.loads(blob.as_py())
                 ids = np.frombuffer(ids.as_py(), np.int64)
                 queries = np.frombuffer(vectors.as_py(), np.float64).reshape(len(ids), -1)
                 # One more than asked for: a query may find itself.
-                found = Search(tree, np.column_stack([points, rest]), np.column_stack([queries, np.zeros(len(ids))]), k + 1, relax).found
+                least = np.array([o[0] for o in own])
+                search = Products(tree, points, rest, top, least, queries, k + 1, relax)
                 out = []
-                for query, vector, row in zip(ids.tolist(), queries, found):
-                    row = row[row >= 0]
-                    scores = np.einsum("ij,j->i", points[row], vector)
-                    pairs = [(-s, i) for s, at in zip(scores.tolist(), row.tolist()) for i in own[at].tolist() if i != query]
+                for query, row, scores in zip(ids.tolist(), search.found.tolist(), search.score.tolist()):
+                    pairs = [(-s, i) for s, at in zip(scores, row) if at >= 0 for i in own[at].tolist() if i != query]
                     out += [(query, i, -s) for s, i in sorted(pairs)[:k]]
                 columns = list(zip(*out)) if out else [[], [], []]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
