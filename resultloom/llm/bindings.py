@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resultloom.llm import lm, toxicity
+from resultloom.llm.exact import mark_copies
 from resultloom.llm.html import extract
 from resultloom.llm.lines import dedup_lines
 from resultloom.llm.mixing import mix
+from resultloom.llm.negatives import hard_negatives
 from resultloom.llm.simhash import near_duplicates
 from resultloom.llm.substrings import dedup_substrings
 from resultloom.llm.suffixes import dedup_bytes
 from resultloom.llm.tiling import contamination
 from resultloom.llm.vptree import nearest
+from resultloom.llm.whitening import whiten
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +79,19 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return mark_copies(table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_decontamination": op2_decontamination,
@@ -87,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_html": op10_html,
+    "op11_whitening": op11_whitening,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -1,7 +1,7 @@
 """DuckDB SQL for the rows of the bound queries, where SQL can say them.
 
-SQL has no log-frequency filter, classifier, tiling, XXH64 or page parser: the queries of
-operators 1, 2, 4, 6, 9 and 10 are tested against brute force instead.
+SQL has no log-frequency filter, classifier, tiling, XXH64, page parser or eigenvectors: the queries of
+operators 1, 2, 4, 6, 9, 10 and 11 are tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -85,4 +85,31 @@ removed AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FRO
 SELECT d.doc_id, CAST(length(d.raw) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.raw, d.raw))) AS kept_sha256
 FROM docs d LEFT JOIN removed USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+    "op12_exact_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS normal,
+         row_number() OVER () AS line
+  FROM documents),
+placed AS (
+  SELECT *, first_value(doc_id) OVER own AS keep_id, row_number() OVER own AS place, count(*) OVER (PARTITION BY normal) AS group_size
+  FROM docs WINDOW own AS (PARTITION BY normal ORDER BY points DESC, doc_id NULLS LAST, line))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(normal) AS text_sha256 FROM placed""",
+    "op13_hard_negatives": """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM good a JOIN good c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER own AS INT) AS rank, n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW own AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER own <= 10""",
 }
