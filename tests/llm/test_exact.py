@@ -31,7 +31,7 @@ def got(frame):
 
 
 ODD = [
-    (1, "a b"), (2, "ab"), (3, "a\tb "), (4, None), (5, ""), (6, " \n"), (7, "a b"), (8, "AB"), (9, "éé x" * 30_000),
+    (1, "a b"), (2, "ab"), (3, "a\tb "), (4, None), (5, ""), (6, " \n"), (7, "a\u00a0b"), (8, "AB"), (9, "éé x" * 30_000),
     (10, "éé x" * 30_000), (10, "éé x" * 30_000), (11, "\x00"), (None, "ab"), (None, "x y"), (None, "xy"), (12, "xy"), (13, "ab" * 5), (14, "a b" * 5),
 ]
 
@@ -69,7 +69,7 @@ def test_kept_rows_keep_their_columns(spark):
     # A text under its own rule of what is equal.
     lower = drop_copies(docs, normal=F.lower(F.coalesce("text", F.lit(""))))
     ids = {r.doc_id for r in lower.collect()}
-    assert {1, 2, 3} <= ids and not {7, 8} & ids
+    assert {1, 2, 3} <= ids and 8 not in ids
 
 
 def test_one_hot_group(spark):
