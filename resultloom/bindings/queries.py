@@ -1078,8 +1078,8 @@ def _(t: Tables) -> DataFrame:
 @bound(
     "a15_collection_statistics",
     sql(
-        "SELECT search_id, CASE f WHEN 't' THEN 'title' ELSE 'description' END AS field, term, n AS documents FROM held",
-        "held",
+        "SELECT search_id, CASE f WHEN 't' THEN 'title' ELSE 'description' END AS field, term, n AS documents FROM held_all",
+        "held_all",
     ),
 )
 def _(t: Tables) -> DataFrame:

@@ -466,6 +466,14 @@ part(
     ("bag",),
     "SELECT search_id, count(*) AS documents, avg(len(tw)) AS title_mean, avg(len(dw)) AS description_mean FROM bag GROUP BY search_id",
 )
+part(
+    "held_all",
+    ("bag",),
+    """SELECT search_id, f, term, count(*) AS n FROM (
+    SELECT search_id, 't' AS f, unnest(list_distinct(tw)) AS term FROM bag UNION ALL SELECT search_id, 'd', unnest(list_distinct(dw)) FROM bag)
+    GROUP BY ALL""",
+)
+# Of the words a search asks for only: what the term statistics need.
 part(
     "held",
     ("bag",),
