@@ -269,6 +269,18 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal:
     return _decided(docs, least_chars, least_equal).select("row.doc_id", "n_lines", "removed")
 
 
+def _cut(batches):
+    """The texts without their removed lines, as the column ``kept``."""
+    for batch in batches:
+        kept = []
+        for text, removed in zip(batch.column("row").field("text").to_pylist(), batch.column("removed").to_pylist()):
+            if removed:
+                lines = np.array(text.split("\n"), dtype=object)
+                text = "\n".join(np.delete(lines, removed))
+            kept.append(text)
+        yield pa.record_batch([*batch.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "kept"])
+
+
 def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines that ``dedup_lines`` names taken out of the texts.
 
@@ -276,10 +288,9 @@ def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal:
     that had a line and has none but blank ones left is dropped: all it said is
     said before. Texts that were null or blank already stay.
     """
-    text = F.col("row.text")
-    kept = F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains(F.col("removed"), at.cast("long")))
+    decided = _decided(docs, least_chars, least_equal).select("row", "removed")
+    done = decided.mapInArrow(_cut, decided.withColumn("kept", F.lit(None).cast("string")).schema)
     changed = F.size("removed") > 0
-    done = _decided(docs, least_chars, least_equal).withColumn("kept", F.when(changed, F.array_join(kept, "\n")).otherwise(text))
     done = done.filter(~changed | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     own = {"text": F.col("kept")}
     if "n_chars" in docs.columns:

@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resultloom.llm.text import Rolling, Words, bucket_count, bytes_of, concat, dealt, lower_ascii, mix, pieces, text_bytes, windows
+from resultloom.llm.text import Rolling, Words, bucket_count, bytes_of, concat, dealt, lower_ascii, mix, pieces, runs, text_bytes, windows
 from resultloom.operators.components import components
 from resultloom.operators.skew import lookup
-from resultloom.runtime import materialize
+from resultloom.runtime import discard, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-# Counters that tell rare shingles from frequent ones; they set the order only, so a shared one loses no pair.
-COUNTER_BITS, SLICES = 22, 16
+# Counters that tell rare shingles from frequent ones, about one for every second word of the corpus up to
+# 16 MB of them; they set the order only, so a shared one loses no pair.
+LEAST_BITS, MOST_BITS, SLICES = 16, 24, 16
 BUCKET_BYTES = 32 << 20
+# Bits that mark the texts a step needs again, up to 2 MB; a text marked by chance is dropped by a join.
+MARK_BITS = 24
 
 
 class Shingles:
@@ -46,61 +49,128 @@ class Shingles:
         self.key = mix(sums[self.ends] - sums[self.ends - self.counts] + self.counts.astype(np.uint64), 32).view(np.int64)
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count(batches):
-    total = np.zeros(1 << COUNTER_BITS, np.int64)
-    for batch in pieces(batches, "text"):
-        total += np.bincount(_counter(Shingles(batch.column("text")).hashes), minlength=len(total))
-    width = len(total) // SLICES
-    for number in range(SLICES):
-        own = total[number * width : (number + 1) * width]
-        at = np.flatnonzero(own)
-        if len(at):
-            columns = [pa.array([number], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint32), own[at])]]
-            yield pa.record_batch(columns, names=["slice", "at", "counts"])
+def _count(bits: int):
+    """Occurrences per counter in a task, no more than 255, as the cells that have some or as all of a slice."""
 
+    def run(batches):
+        total = np.zeros(1 << bits, np.uint8)
+        for batch in pieces(batches, "text"):
+            cells, counts = np.unique(_cell(Shingles(batch.column("text")).hashes, bits), return_counts=True)
+            total[cells] = np.minimum(total[cells] + counts, 255)
+        width = len(total) // SLICES
+        for number in range(SLICES):
+            own = total[number * width : (number + 1) * width]
+            at = np.flatnonzero(own)
+            if len(at):
+                blobs = (at.astype(np.uint32).tobytes(), own[at].tobytes()) if len(at) * 5 < width else (b"", own.tobytes())
+                yield pa.record_batch([pa.array([number], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["slice", "at", "counts"])
+
+    return run
 
-def _levels(group: pa.Table) -> pa.Table:
-    total = np.zeros((1 << COUNTER_BITS) // SLICES, np.int64)
-    for at, counts in zip(group.column("at"), group.column("counts")):
-        total[np.frombuffer(at.as_py(), np.uint32)] += np.frombuffer(counts.as_py(), np.int64)
-    levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
-    return pa.table([group.column("slice").slice(0, 1), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
 
+def _levels(bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // SLICES, np.int64)
+        for at, counts in zip(group.column("at"), group.column("counts")):
+            at, counts = np.frombuffer(at.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.uint8)
+            if len(counts) == len(total):
+                total += counts
+            else:
+                total[at] += counts
+        levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
+        return pa.table([group.column("slice").slice(0, 1), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
 
-def _prefixes(levels, similarity: float, buckets: int):
+    return run
+
+
+def _prefixes(levels, bits: int, similarity: float, buckets: int):
     """The rarest shingles of each text, so many that two similar texts must share one of them."""
 
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
         for batch in pieces(batches, "text"):
             own = Shingles(batch.column("text"))
-            order = np.lexsort((own.hashes, table[_counter(own.hashes)], own.rows))
+            level = table[_cell(own.hashes, bits)]
+            order = np.lexsort((own.hashes, level, own.rows))
             place = np.arange(len(order)) - (own.ends - own.counts)[own.rows]
             take = own.counts - np.ceil(similarity * own.counts - 1e-9).astype(np.int64) + 1
-            first = place < take[own.rows]
-            keys, rows = own.hashes[order][first], own.rows[first]
-            packed = [(b, keys[at].tobytes(), own.key[rows[at]].tobytes(), own.counts[rows[at]].astype(np.int32).tobytes()) for b, at in dealt(keys, buckets)]
+            # Texts with one set are one, and a shingle counted once has no partner.
+            once = np.zeros(len(own.key), bool)
+            once[np.unique(own.key, return_index=True)[1]] = True
+            first = (place < take[own.rows]) & once[own.rows] & (level[order] > 1)
+            keys, rows, place = own.hashes[order][first], own.rows[first], place[first]
+            packed = []
+            for bucket, at in dealt(keys, buckets):
+                texts, counts = runs(rows[at])
+                packed.append((bucket, keys[at].tobytes(), place[at].astype(np.uint32).tobytes(), own.key[texts].tobytes(), own.counts[texts].astype(np.uint32).tobytes(), counts.tobytes()))
             if packed:
                 columns = list(zip(*packed))
-                yield pa.record_batch([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "keys", "sets", "sizes"])
+                yield pa.record_batch([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_PREFIX)
 
     return run
 
 
+_PREFIX = ["bucket", "keys", "places", "sets", "sizes", "runs"]
+
+
 def _shared(group: pa.Table) -> pa.Table:
     """Prefix shingles that more than one set has, once for each set."""
-    keys, sets, sizes = concat(group.column("keys"), np.uint64), concat(group.column("sets"), np.int64), concat(group.column("sizes"), np.int32)
+    keys, places = concat(group.column("keys"), np.uint64), concat(group.column("places"), np.uint32)
+    counts = concat(group.column("runs"), np.int32)
+    sets, sizes = [np.repeat(concat(group.column(c), t), counts) for c, t in (("sets", np.int64), ("sizes", np.uint32))]
     order = np.lexsort((sets, keys))
-    keys, sets, sizes = keys[order], sets[order], sizes[order]
+    keys, sets = keys[order], sets[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])[: len(keys)]
-    keys, sets, sizes = keys[new], sets[new], sizes[new]
+    keys, sets, order = keys[new], sets[new], order[new]
     _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
     many = count[number] > 1
-    return pa.table([pa.array(keys[many].view(np.int64)), pa.array(sets[many]), pa.array(sizes[many])], names=["key", "set", "size"])
+    order = order[many]
+    return pa.table(
+        [pa.array(keys[many].view(np.int64)), pa.array(sets[many]), pa.array(sizes[order].astype(np.int32)), pa.array(places[order].astype(np.int32))],
+        names=["key", "set", "size", "place"],
+    )
+
+
+def _mark(batches):
+    """Bits of the keys of a task, a slice of them at a time."""
+    total = np.zeros(1 << MARK_BITS, bool)
+    for batch in batches:
+        total[_cell(mix(np.asarray(batch.column("text_key")).view(np.uint64), 33), MARK_BITS)] = True
+    width = len(total) // SLICES
+    for number in range(SLICES):
+        at = np.flatnonzero(total[number * width : (number + 1) * width])
+        if len(at):
+            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([at.astype(np.uint32).tobytes()], pa.binary())], names=["slice", "at"])
+
+
+def _marks(group: pa.Table) -> pa.Table:
+    total = np.zeros((1 << MARK_BITS) // SLICES, bool)
+    total[concat(group.column("at"), np.uint32)] = True
+    return pa.table([group.column("slice").slice(0, 1), pa.array([np.packbits(total).tobytes()], pa.binary())], names=["slice", "bits"])
+
+
+def _marked(marks):
+    """Texts whose key is marked, whole; most of the others never leave the scan."""
+
+    def run(batches):
+        bits = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            at = _cell(mix(np.asarray(batch.column("text_key")).view(np.uint64), 33), MARK_BITS)
+            yield batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+
+    return run
+
+
+def _collected(rows: DataFrame, column: str, width: int) -> bytes:
+    """Slices of a table of fixed size, put together."""
+    table = bytearray(width * SLICES)
+    for row in rows.collect():
+        table[row["slice"] * width : (row["slice"] + 1) * width] = row[column]
+    return bytes(table)
 
 
 def _arrays(batches):
@@ -123,12 +193,25 @@ def _verify(similarity: float):
     return run
 
 
-def _similar(pairs: DataFrame, arrays: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: components; a_set, b_set) whose sets are similar."""
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: components; a_set, b_set) whose sets are similar.
+
+    Only the texts of sets that are in a pair are read again for their shingles.
+    """
+    spark = docs.sparkSession
+    asked = pairs.select(F.explode(F.array("a_set", "b_set")).alias("set")).distinct()
+    wanted = materialize(sets.join(asked, "set", "left_semi").select("set", "text_key"), "wanted")
+    marks = wanted.select("text_key").mapInArrow(_mark, "slice int, at binary").groupBy("slice").applyInArrow(_marks, "slice int, bits binary")
+    marks = spark.sparkContext.broadcast(_collected(marks, "bits", (1 << MARK_BITS) // SLICES // 8))
+    texts = docs.mapInArrow(_marked(marks), docs.schema).join(wanted, "text_key").dropDuplicates(["set"])
+    arrays = materialize(texts.select("set", "text").mapInArrow(_arrays, "set long, hashes binary"), "shingles")
     own = arrays.select(F.col("set").alias("a_set"), F.col("hashes").alias("a_hashes"))
     other = arrays.select(F.col("set").alias("b_set"), F.col("hashes").alias("b_hashes"))
     both = lookup(lookup(pairs, own, ["a_set"]), other, ["b_set"]).select("a", "b", "a_hashes", "b_hashes")
-    return both.mapInArrow(_verify(similarity), "a long, b long").distinct()
+    found = materialize(both.mapInArrow(_verify(similarity), "a long, b long").distinct(), "similar")
+    discard(arrays)
+    discard(wanted)
+    return found
 
 
 def _merged(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -142,41 +225,53 @@ def join_similar(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
 
     ``set`` is the key of a shingle set in ``docs`` (text_key, text), component what is known to
     belong together. All pairs of sets with Jaccard similarity of at least ``similarity`` end in
-    one component: with a common order of shingles, two such sets of n share one of the first
-    n - ceil(similarity * n) + 1. The order is by frequency, so that these are rare ones. Of the
-    sets with one such shingle each first meets the least; only pairs still in different
-    components meet after that, so a family of copies takes no pair of all its members.
+    one component. Two such sets of m and n shingles have at least
+    c = ceil(similarity / (1 + similarity) * (m + n)) in common, so with a common order of shingles they share
+    one of the first m - c + 1 of the one and n - c + 1 of the other; at most n - ceil(similarity * n) + 1 of
+    a set are ever looked at. The order is by frequency, so that these are rare ones, and texts of one
+    template meet by what is their own. Pairs that fail by size or place are dropped before any text is read
+    for them. Of the sets with one such shingle each first meets the least; only pairs still in
+    different components meet after that, so a family of copies takes no pair of all its members.
+
+    Null and blank texts have no set and are not to be in ``sets``; equal texts are one set. Empty
+    frames give no rows.
     """
     spark, texts = docs.sparkSession, docs.select("text")
-    buckets = bucket_count(text_bytes(docs), BUCKET_BYTES)
-    counted = texts.mapInArrow(_count, "slice int, at binary, counts binary").groupBy("slice").applyInArrow(_levels, "slice int, levels binary")
-    width, table = (1 << COUNTER_BITS) // SLICES, bytearray(1 << COUNTER_BITS)
-    for row in counted.collect():
-        table[row.slice * width : (row.slice + 1) * width] = row.levels
-    levels = spark.sparkContext.broadcast(bytes(table))
-    dealt_out = texts.mapInArrow(_prefixes(levels, similarity, buckets), "bucket int, keys binary, sets binary, sizes binary")
-    shared = materialize(dealt_out.groupBy("bucket").applyInArrow(_shared, "key long, set long, size int"), "prefixes")
+    size = text_bytes(docs)
+    buckets, bits = bucket_count(size, BUCKET_BYTES), min(MOST_BITS, max(LEAST_BITS, (size // 12).bit_length()))
+    counted = texts.mapInArrow(_count(bits), "slice int, at binary, counts binary").groupBy("slice").applyInArrow(_levels(bits), "slice int, levels binary")
+    levels = spark.sparkContext.broadcast(_collected(counted, "levels", (1 << bits) // SLICES))
+    dealt_out = texts.mapInArrow(_prefixes(levels, bits, similarity, buckets), ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in _PREFIX))
+    shared = materialize(dealt_out.groupBy("bucket").applyInArrow(_shared, "key long, set long, size int, place int"), "prefixes")
     sets = materialize(sets, "sets")
     if shared.isEmpty():
         return sets.select("set", "component")
-    wanted = shared.select("set").distinct().join(sets, "set").select("set", "text_key")
-    arrays = docs.join(wanted, "text_key").select("set", "text").mapInArrow(_arrays, "set long, hashes binary")
-    arrays = materialize(arrays.dropDuplicates(["set"]), "shingles")
 
-    def fits(a, b):
-        return F.least(a, b) >= F.ceil(F.greatest(a, b) * F.lit(similarity) - 1e-9)
+    def fits(a: str, b: str):
+        """Whether the sizes allow similarity, and both places are early enough for that."""
+        m, n = F.col(f"{a}size"), F.col(f"{b}size")
+        common = F.ceil((m + n) * F.lit(similarity / (1 + similarity)) - 1e-9)
+        return (F.least(m, n) >= common) & (F.col(f"{a}place") <= m - common) & (F.col(f"{b}place") <= n - common)
 
     rows = lookup(shared, sets.select("set", "component"), ["set"])
-    least = rows.groupBy("key").agg(F.min(F.struct("set", "component", "size")).alias("l"))
-    stars = lookup(rows, least, ["key"]).filter((F.col("component") != F.col("l.component")) & fits(F.col("size"), F.col("l.size")))
+    least = rows.groupBy("key").agg(F.min(F.struct("set", "component", "size", "place")).alias("l"))
+    stars = lookup(rows, least, ["key"]).filter((F.col("component") != F.col("l.component")) & fits("", "l."))
     stars = stars.select(F.col("component").alias("a"), F.col("l.component").alias("b"), F.col("set").alias("a_set"), F.col("l.set").alias("b_set")).distinct()
-    sets = materialize(_merged(sets, _similar(stars, arrays, similarity)), "sets")
+    stars = materialize(stars, "stars")
+    found = _similar(stars, docs, sets, similarity)
+    merged = materialize(_merged(sets, found), "sets")
+    for frame in (stars, found):
+        discard(frame)
     # Shingles whose sets are in one component by now are settled.
-    rows = lookup(shared, sets.select("set", "component"), ["set"])
+    rows = lookup(shared, merged.select("set", "component"), ["set"])
     open_keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     rows = materialize(rows.join(open_keys, "key", "left_semi"), "open")
-    a = rows.select("key", F.col("set").alias("a_set"), F.col("component").alias("a"), F.col("size").alias("a_size"))
-    b = rows.select("key", F.col("set").alias("b_set"), F.col("component").alias("b"), F.col("size").alias("b_size"))
-    pairs = a.join(b, "key").filter((F.col("a_set") < F.col("b_set")) & (F.col("a") != F.col("b")) & fits(F.col("a_size"), F.col("b_size")))
-    pairs = pairs.select("a", "b", "a_set", "b_set").distinct()
-    return _merged(sets, _similar(pairs, arrays, similarity)).select("set", "component")
+    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in ("set", "component", "size", "place")])
+    b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("set", "component", "size", "place")])
+    pairs = a.join(b, "key").filter((F.col("a_set") < F.col("b_set")) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_"))
+    pairs = materialize(pairs.select(F.col("a_component").alias("a"), F.col("b_component").alias("b"), "a_set", "b_set").distinct(), "pairs")
+    found = _similar(pairs, docs, merged, similarity)
+    done = materialize(_merged(merged, found).select("set", "component"), "sets")
+    for frame in (shared, sets, merged, rows, pairs, found):
+        discard(frame)
+    return done

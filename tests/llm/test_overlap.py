@@ -1,7 +1,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from resultloom.llm import overlap, simhash
+from resultloom.runtime import materialize
 from test_simhash import brute_components, brute_print
 
 TESTDATA = "/root/testdata/sf0.001"
@@ -65,3 +69,36 @@ def test_scattered_edits(spark):
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()]
     assert kept(spark, rows) == brute(rows)[0]
+
+
+def joined(spark, monkeypatch, texts):
+    """(groups of positions that the join alone finds, pairs that it looked at)."""
+    asked, plain = [], overlap._similar
+    monkeypatch.setattr(overlap, "_similar", lambda pairs, *rest: (asked.append(pairs.count()), plain(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    sets = materialize(docs.mapInArrow(simhash._sets, "text_key long, set long"), "test")
+    start = sets.groupBy("set").agg(F.min("text_key").alias("component"), F.min("text_key").alias("text_key"))
+    found = overlap.join_similar(docs, start).join(sets, "set").groupBy("component").agg(F.sort_array(F.collect_list("text_key")).alias("own"))
+    return sorted(r.own for r in found.collect()), sum(asked)
+
+
+def test_one_template_is_not_paired(spark, monkeypatch):
+    # All just under the bound, but for two with one word more.
+    texts = [f"sorry the page you have asked for is not {i * 7919}" for i in range(2000)]
+    texts += ["sorry the page you have asked for is not here any more on our hosts", "sorry the page you have asked for is not here any more on our hosts x"]
+    groups, asked = joined(spark, monkeypatch, texts)
+    assert groups == [*[[i] for i in range(2000)], [2000, 2001]]
+    assert asked < 100
+
+
+def test_a_family_meets_its_first(spark, monkeypatch):
+    rng = random.Random(3)
+    text = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for i in range(400):
+        own = list(text)
+        own[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(own))
+    groups, asked = joined(spark, monkeypatch, texts)
+    assert groups == [list(range(400))]
+    assert asked < 400 * 40
