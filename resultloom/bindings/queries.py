@@ -7,12 +7,12 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultloom.bindings import reference as R
 from resultloom.bindings.reference import NEWEST, quoted, sql, type_order
-from resultloom.bindings.tables import NOW, Tables
+from resultloom.bindings.tables import NOW, NOW_SECONDS, Tables
 from resultloom.functions import scoring, text, urls
 from resultloom.functions.scoring import DECAY_CANDIDATES, WEIGHT_SETS
 from resultloom.operators import admission, dedup, fuzzy, ranking, statistics, views
@@ -1361,35 +1361,70 @@ def _(t: Tables) -> DataFrame:
         F.col("user_id").cast("string").alias("search_id"), F.col("event_type").alias("source"), status.alias("status"),
         F.col("event_id").alias("at"),
     )
-    return jobs.run_available(jobs.completions(outcomes, expected=5), *_paths(t))
+    path, checkpoint = _paths(t)
+    return jobs.run_until_settled(jobs.completions(outcomes, expected=5), checkpoint, path)
+
+
+def _landed(t: Tables, *frames: DataFrame) -> DataFrame:
+    """A stream of frames of one schema that land in files of their own."""
+    folder = f"{shared_folder(t.spark)}/landed-{uuid4().hex}"
+    for frame in frames:
+        frame.write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(frames[0].schema).parquet(folder)
 
 
 @bound(
     "t2_deadline_stream",
     sql(
-        """SELECT search_id, source, CASE WHEN latency_ms > 4500 THEN 'timeout' ELSE status END AS status, least(latency_ms, 4500) AS latency_ms FROM (
-        SELECT search_id || '/' || event_id AS search_id, source_name AS source, status, latency_ms FROM source_events)""",
+        """SELECT search_id, source, CASE WHEN silent OR latency_ms > 4500 THEN 'timeout' ELSE status END AS status,
+        CASE WHEN silent THEN 4500 ELSE least(latency_ms, 4500) END AS latency_ms FROM (
+        SELECT search_id || '/' || event_id AS search_id, source_name AS source, status, latency_ms, event_id % 10 = 3 AS silent FROM source_events)""",
         "source_events",
     ),
 )
 def _(t: Tables) -> DataFrame:
-    status = F.expr(
-        "CASE event_id % 10 WHEN 7 THEN 'failed' WHEN 8 THEN 'timeout' WHEN 9 THEN 'rate_limited' ELSE 'success' END"
+    """Starts and answers land in separate files; a tenth of the sources never answers."""
+    events = t.events()
+    search, started = F.concat_ws("/", "search_id", "event_id").alias("search_id"), F.date_trunc("second", "created_at")
+    starts = events.select(search, F.col("source_name").alias("source"), F.lit("started").alias("status"), started.alias("at"))
+    answers = events.filter("event_id % 10 <> 3").select(
+        search, F.col("source_name").alias("source"), "status",
+        F.timestamp_micros(F.unix_micros(started) + F.col("latency_ms") * 1000).alias("at"),
+    )
+    path, checkpoint = _paths(t)
+    outcomes = jobs.enforce_deadline(_landed(t, starts, answers))
+    return jobs.run_until_settled(outcomes, checkpoint, path).select("search_id", "source", "status", "latency_ms")
+
+
+@bound(
+    "t3_postpass",
+    sql(
+        """SELECT p.search_id, s.status, s.failed, p.id, p.rank_position FROM placed p JOIN (
+        SELECT search_id, CASE WHEN failed = 0 THEN 'completed' WHEN failed < n THEN 'partial' ELSE 'failed' END AS status, failed FROM (
+        SELECT search_id, count(*) AS n, count(*) FILTER ((CAST(substr(search_id, 2) AS BIGINT) + length(source_type)) % 5 = 3) AS failed
+        FROM (SELECT DISTINCT search_id, source_type FROM results) GROUP BY 1)) s USING (search_id)""",
+        "placed", "results",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Deadline, completion and post-pass as one query: what is silent is waited for, and what is complete is ranked."""
+    base = f"{shared_folder(t.spark)}/postpass-{uuid4().hex}"
+    store, out, checkpoint = (f"{base}/{name}" for name in ("store", "out", "checkpoint"))
+    results = t.results().drop("doc_id")
+    sinks.append_results(results, store, buckets=8)
+    asked = results.select("search_id", F.col("source_type").alias("source")).distinct()
+    asked = asked.withColumn("expected", F.count("*").over(Window.partitionBy("search_id")))
+    at = F.timestamp_seconds(F.lit(NOW_SECONDS))
+    silent = (F.substring("search_id", 2, 20).cast("long") + F.length("source")) % 5 == 3
+    starts = asked.select("search_id", "source", F.lit("started").alias("status"), at.alias("at"), "expected")
+    answers = asked.filter(~silent).select(
+        "search_id", "source", F.lit("success").alias("status"), F.timestamp_seconds(F.lit(NOW_SECONDS + 1)).alias("at"), F.lit(None).cast("long").alias("expected")
     )
-    started = F.date_trunc("second", F.col("ts").cast("timestamp"))
-    latency = F.floor(F.col("value") * 100).cast("long")
-    answered = F.timestamp_micros(F.unix_micros(started) + latency * 1000)
-    signals = _stream(t, "events").select(
-        F.concat_ws("/", "user_id", "event_id").alias("search_id"),
-        F.col("event_type").alias("source"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("started").alias("status"), started.alias("at")),
-                F.struct(status.alias("status"), answered.alias("at")),
-            )
-        ).alias("s"),
-    ).select("search_id", "source", "s.status", "s.at")
-    return jobs.run_until_quiet(jobs.enforce_deadline(signals), *_paths(t))
+    done = jobs.completions(jobs.enforce_deadline(_landed(t, starts, answers)))
+    jobs.run_until_settled(done, checkpoint, step=jobs.postpass_batch(store, t.searches(), out, lambda: NOW, buckets=8))
+    ranked = t.spark.read.parquet(f"{out}/results").select("search_id", "id", "rank_position")
+    states = t.spark.read.parquet(f"{out}/searches").select("search_id", "status", "failed")
+    return tidy(ranked.join(states, "search_id"))
 
 
 @bound(

@@ -103,40 +103,44 @@ class _Deadline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._start = handle.getValueState("start", "ms long")
+        self._start = handle.getValueState("start", "ms long, expected long")
         self._answer = handle.getValueState("answer", "ms long, status string")
         self._closed = handle.getValueState("closed", "yes boolean", self._remember)
 
     def _close(self, key, status: str, latency: int) -> pd.DataFrame:
+        start, expected = self._start.get()
         self._start.clear()
         self._answer.clear()
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
         self._closed.update((True,))
-        return pd.DataFrame({"search_id": [key[0]], "source": [key[1]], "status": [status], "latency_ms": [latency]})
+        row = {"search_id": key[0], "source": key[1], "status": status, "latency_ms": latency, "at_ms": start + latency, "expected": expected}
+        return pd.DataFrame([row]).astype({"expected": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self._closed.exists():
             return
-        seen = pd.concat(list(rows))
-        starts = seen.loc[seen["status"] == "started", "at_ms"].tolist()
-        answers = list(seen.loc[seen["status"] != "started", ["at_ms", "status"]].itertuples(index=False, name=None))
         waiting = self._start.exists()
-        if waiting:
-            starts.append(self._start.get()[0])
-        if self._answer.exists():
-            answers.append(tuple(self._answer.get()))
+        starts = [tuple(self._start.get())] if waiting else []
+        answers = [tuple(self._answer.get())] if self._answer.exists() else []
+        for seen in rows:
+            opens = seen["status"] == "started"
+            told = seen.loc[opens, ["at_ms", "expected"]].itertuples(index=False, name=None)
+            starts += [(int(at), None if pd.isna(n) else int(n)) for at, n in told]
+            answers += list(seen.loc[~opens, ["at_ms", "status"]].itertuples(index=False, name=None))
+            # Only the first of each counts.
+            starts, answers = sorted(starts, key=lambda s: (s[0], s[1] or 0))[:1], sorted(answers)[:1]
         # An answer may come before its start: it is kept, however old it is.
+        if starts:
+            self._start.update(starts[0])
         if starts and answers:
-            (at, status), start = min(answers), min(starts)
+            (at, status), start = answers[0], starts[0][0]
             late = at - start > self._deadline
             yield self._close(key, "timeout" if late else status, self._deadline if late else int(at - start))
         elif answers:
-            self._answer.update(min(answers))
-        elif starts:
-            self._start.update((int(min(starts)),))
-            if not waiting:
-                self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._deadline)
+            self._answer.update(answers[0])
+        elif starts and not waiting:
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._deadline)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self._closed.exists():
@@ -152,6 +156,8 @@ OUTCOME = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("latency_ms", T.LongType()),
+        T.StructField("at_ms", T.LongType()),
+        T.StructField("expected", T.LongType()),
     ]
 )
 
@@ -163,55 +169,74 @@ def enforce_deadline(signals: DataFrame, deadline_ms: int = DEADLINE_MS, remembe
     past the deadline. A source that stays silent times out by the clock, when the deadline has
     passed since its start came in. No signal is too late or too early to count, and other sources
     are not held up. Closed waits are forgotten after ``remember_ms``.
+
+    The outcome has search_id, source, status, latency_ms, the time ``at`` the wait closed, and
+    ``expected``: how many sources the search asks, as its starts say where they have that column.
     """
     use_rocksdb(signals.sparkSession)
-    timed = signals.select("search_id", "source", "status", F.unix_millis("at").alias("at_ms"))
-    return timed.groupBy("search_id", "source").transformWithStateInPandas(
+    expected = F.col("expected").cast("long") if "expected" in signals.columns else F.lit(None).cast("long")
+    timed = signals.select("search_id", "source", "status", F.unix_millis("at").alias("at_ms"), expected.alias("expected"))
+    outcomes = timed.groupBy("search_id", "source").transformWithStateInPandas(
         _Deadline(deadline_ms, remember_ms), OUTCOME, "append", "ProcessingTime"
     )
+    return outcomes.withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms")
 
 
 class _Completion(StatefulProcessor):
     """Counts the sources of one search that have an outcome."""
 
-    def __init__(self, expected: int) -> None:
-        self._expected = expected
+    def __init__(self, expected: int | None, remember_ms: int) -> None:
+        self._expected, self._remember = expected, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._outcomes = handle.getMapState("outcomes", "source string", "status string")
-        self._done = handle.getValueState("done", "yes boolean")
+        self._outcomes = handle.getMapState("outcomes", "source string", "status string", self._remember)
+        self._asked = handle.getValueState("asked", "sources long", self._remember)
+        self._done = handle.getValueState("done", "yes boolean", self._remember)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self._done.exists():
             return
         known = {k[0]: v[0] for k, v in self._outcomes.iterator()}
+        asked = self._asked.get()[0] if self._asked.exists() else self._expected
         # Of two outcomes of a source in one batch the first counts, in whatever order they come.
-        outcomes = pd.concat(list(rows)).sort_values(["at", "status"])
-        for source, status in zip(outcomes["source"], outcomes["status"]):
-            known.setdefault(source, status)
-        if len(known) < self._expected:
-            for source, status in known.items():
+        first: dict[str, tuple] = {}
+        for seen in rows:
+            for row in seen[["source", "at", "status", "expected"]].itertuples(index=False, name=None):
+                first[row[0]] = min(first.get(row[0], row[1:3]), row[1:3])
+                if self._expected is None and not pd.isna(row[3]):
+                    asked = max(int(row[3]), asked or 0)
+        fresh = {source: status for source, (_, status) in first.items() if source not in known}
+        known.update(fresh)
+        if asked is None or len(known) < asked:
+            for source, status in fresh.items():
                 self._outcomes.updateValue((source,), (status,))
-        else:
-            # Of a completed search only that is kept.
-            self._outcomes.clear()
-            self._done.update((True,))
-            failed = sum(status != "success" for status in known.values())
-            state = "completed" if not failed else "partial" if failed < len(known) else "failed"
-            yield pd.DataFrame({"search_id": [key[0]], "status": [state], "failed": [failed]})
+            if asked is not None:
+                self._asked.update((asked,))
+            return
+        # Of a completed search only that is kept, for a time.
+        self._outcomes.clear()
+        self._asked.clear()
+        self._done.update((True,))
+        failed = sum(status != "success" for status in known.values())
+        state = "completed" if not failed else "partial" if failed < len(known) else "failed"
+        yield pd.DataFrame({"search_id": [key[0]], "status": [state], "failed": [failed]})
 
     def close(self) -> None:
         pass
 
 
-def completions(outcomes: DataFrame, expected: int) -> DataFrame:
-    """A row for each search once all its expected sources have an outcome.
+def completions(outcomes: DataFrame, expected: int | None = None, remember_ms: int = REMEMBER_MS) -> DataFrame:
+    """A row for each search once all its sources have an outcome.
 
-    ``outcomes`` has search_id, source, status and ``at``, which orders them.
+    ``outcomes`` has search_id, source, status and ``at``, which orders them. How many sources a
+    search has is ``expected``, or else what the column of that name says on its outcomes; a
+    search of which no row says it does not complete. It may follow ``enforce_deadline`` in one query. State of a
+    search is forgotten ``remember_ms`` after it last changed, completed or not.
     """
     use_rocksdb(outcomes.sparkSession)
-    return outcomes.select("search_id", "source", "status", "at").groupBy("search_id").transformWithStateInPandas(
-        _Completion(expected), "search_id string, status string, failed long", "append", "none"
+    asked = F.col("expected").cast("long") if "expected" in outcomes.columns else F.lit(None).cast("long")
+    return outcomes.select("search_id", "source", "status", "at", asked.alias("expected")).groupBy("search_id").transformWithStateInPandas(
+        _Completion(expected, remember_ms), "search_id string, status string, failed long", "append", "ProcessingTime"
     )
 
 
@@ -220,17 +245,20 @@ def postpass_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` step: link and rank the searches that completed in the batch.
 
-    ``results_path`` was written by ``append_results`` with as many ``buckets``. Output goes to a
-    folder of the batch, overwritten when the batch is retried.
+    ``results_path`` was written by ``append_results`` with as many ``buckets``. Ranked rows, groups and
+    the states of the searches go to folders of the batch, overwritten when the batch is retried.
     """
 
     def step(completed: DataFrame, batch_id: int) -> None:
         spark = completed.sparkSession
+        if completed.isEmpty():
+            return
         ids = completed.select("search_id").distinct()
         rows = read_searches(spark.read.parquet(results_path), ids, buckets).drop("bucket")
         ranked, groups = finish(rows, searches.join(ids, "search_id", "left_semi"), now())
         ranked.write.mode("overwrite").parquet(f"{output_path}/results/batch={batch_id}")
         groups.write.mode("overwrite").parquet(f"{output_path}/groups/batch={batch_id}")
+        completed.write.mode("overwrite").parquet(f"{output_path}/searches/batch={batch_id}")
 
     return step
 
@@ -248,27 +276,38 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_until_quiet(stream: DataFrame, path: str, checkpoint: str, quiet_s: float = 1.0) -> DataFrame:
-    """Process what is there now into ``path``, and go on until nothing has come in for ``quiet_s``.
+def pending_timers(spark: SparkSession, checkpoint: str, operators: int) -> int:
+    """Timers that the stateful operators of a query still wait for, as of its last batch."""
+    total = 0
+    for number in range(operators):
+        state = spark.read.format("statestore").option("path", checkpoint).option("operatorId", number)
+        total += state.option("readRegisteredTimers", True).load().count()
+    return total
 
-    For jobs with timers on the clock: these have work as long as they run.
+
+def run_until_settled(
+    stream: DataFrame, checkpoint: str, path: str | None = None, step: Callable[[DataFrame, int], None] | None = None
+) -> DataFrame | None:
+    """Process what is there now, and go on until no timer is pending that could still give a row.
+
+    For jobs with timers on the clock, which have work as long as they run: the end depends on
+    their state, so it holds after a restart and for any deadline. Rows go to ``path``, which is
+    read back, or to ``step`` batch by batch.
     """
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(processingTime="100 milliseconds")
-        .start(path)
-    )
-    busy = time.monotonic()
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime="100 milliseconds")
+    query = (writer.foreachBatch(step) if step else writer.format("parquet").option("path", path)).start()
+    checked = None
     try:
-        while query.isActive and time.monotonic() - busy < quiet_s:
+        while query.isActive:
             done = query.lastProgress
-            if not done or done["numInputRows"]:
-                busy = time.monotonic()
+            if done and not done["numInputRows"] and done["batchId"] != checked:
+                checked = done["batchId"]
+                if not pending_timers(spark, checkpoint, len(done["stateOperators"])):
+                    break
             time.sleep(0.1)
         if query.exception():
             raise query.exception()
     finally:
         query.stop()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return None if step else spark.read.schema(stream.schema).parquet(path)

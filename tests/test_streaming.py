@@ -28,7 +28,7 @@ def test_no_signal_is_lost(spark, tmp_path, order):
     ]
     for rows in files[::order]:
         put(spark, folder, rows)
-    found = jobs.run_until_quiet(stream, out, str(tmp_path / "check"), quiet_s=8)
+    found = jobs.run_until_settled(stream, str(tmp_path / "check"), out)
     got = {(r.search_id, r.source): (r.status, r.latency_ms) for r in found.collect()}
     want = {("warm", "a"): ("success", 1000), ("A", "a"): ("success", 2000), ("D", "a"): ("success", 1000),
             ("C", "a"): ("timeout", 4500), ("L", "b"): ("timeout", 4500), ("D", "b"): ("timeout", 4500)}
@@ -44,7 +44,7 @@ def test_completion_is_told_once(spark, tmp_path):
     put(spark, folder, [("s", "a", "failed", 5), ("q", "b", "failed", 1)])
     schema = spark.read.parquet(folder).schema
     done = jobs.completions(spark.readStream.schema(schema).parquet(folder), 2)
-    rows = jobs.run_available(done, str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    rows = jobs.run_until_settled(done, str(tmp_path / "check"), str(tmp_path / "out")).collect()
     # The first outcome of a source counts: s has a success and a timeout, q two failures.
     assert sorted((r.search_id, r.status, r.failed) for r in rows) == [("q", "failed", 2), ("s", "partial", 1)]
 
