@@ -104,7 +104,8 @@ def _prefixes(levels, bits: int, similarity: float, buckets: int):
             first = (place < take[own.rows]) & once[own.rows] & (level[order] > 1)
             keys, rows, place = own.hashes[order][first], own.rows[first], place[first]
             packed = []
-            for bucket, at in dealt(keys, buckets):
+            # Prefixes lean to small hashes; mixed again, the keys fill all buckets alike.
+            for bucket, at in dealt(mix(keys, 34), buckets):
                 texts, counts = runs(rows[at])
                 packed.append((bucket, keys[at].tobytes(), place[at].astype(np.uint32).tobytes(), own.key[texts].tobytes(), own.counts[texts].astype(np.uint32).tobytes(), counts.tobytes()))
             if packed:
