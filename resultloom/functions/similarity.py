@@ -9,48 +9,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per 64 characters.
+# Lanes that are compared at once, and entries of their tables of places, unless 64 lanes have more.
+LANES, TABLE = 4096, 1 << 21
 
-    Bit-parallel row updates after Hyyro (2004): a zero bit marks a matched place.
-    """
-    if len(a) < len(b):
-        a, b = b, a
-    places: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    row = full
-    for ch in a:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
-
-
-def least_edits(a: str, b: str) -> int:
-    """Insertions and deletions that ``a`` and ``b`` are apart at least.
-
-    One of them changes at most three pairs of neighbouring characters. Pairs are
-    counted in 1024 classes, which can only bring the counts closer.
-    """
-    def pairs(text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        return np.bincount((codes[:-1] * 31 + codes[1:]) & 1023, minlength=1024)
 
-    return -(-int(np.abs(pairs(a) - pairs(b)).sum()) // 3)
+class Texts:
+    """Code points of many texts: ``points`` in a row, text i from ``starts[i]`` on, ``sizes[i]`` of them."""
 
+    def __init__(self, texts: list[str]) -> None:
+        self.points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def padded(self, rows: np.ndarray, width: int, filler: int) -> np.ndarray:
+        """The texts ``rows`` as a matrix, each filled up to ``width``."""
+        at = np.arange(width)
+        spots = np.minimum(self.starts[rows, None] + at, len(self.points) - 1)
+        values = self.points[spots] if len(self.points) else np.zeros(spots.shape, self.points.dtype)
+        return np.where(at < self.sizes[rows, None], values, values.dtype.type(filler))
 
-@F.pandas_udf(T.IntegerType())
-def common_length(a: pd.Series, b: pd.Series, budget: pd.Series) -> pd.Series:
-    """Common subsequence length; null where it takes more than ``budget`` edits for certain."""
-    def length(x, y, edits):
-        if x is None or y is None:
-            return None
-        if min(len(x), len(y)) > 16 and least_edits(x, y) > edits:
-            return None
-        return common_subsequence(x, y)
 
-    return pd.Series([length(x, y, e) for x, y, e in zip(a, b, budget)], dtype="Int32")
+def numbered(a: Texts, b: Texts) -> int:
+    """Give the characters of both numbers from 1 on; the count of them, with 0 for none."""
+    seen = np.zeros(0x110000, bool)
+    seen[a.points] = seen[b.points] = True
+    number = np.cumsum(seen, dtype=np.int32)
+    a.points, b.points = number[a.points], number[b.points]
+    return int(number[-1]) + 1
+
+
+def common_subsequences(a: Texts, b: Texts, rows: np.ndarray, characters: int) -> np.ndarray:
+    """Length of the longest common subsequence of each of the pairs ``rows``, all in step.
+
+    Bit-parallel row updates after Hyyro (2004), in which a zero bit marks a matched place of ``b``. Each pair
+    has a lane of 64-bit words, as many as its ``b`` needs, and a table of the places of every
+    character in them; a step takes the next character of ``a`` in all lanes, and sums carry from
+    word to word.
+    """
+    words = max(1, -(-int(b.sizes[rows].max(initial=1)) // 64))
+    left = np.ascontiguousarray(a.padded(rows, int(a.sizes[rows].max(initial=0)), 0).T)
+    right = np.ascontiguousarray(b.padded(rows, int(b.sizes[rows].max(initial=0)), 0).T)
+    lane = np.arange(len(rows)) * characters
+    places = np.zeros((words, len(rows) * characters), np.uint64)
+    for at, ch in enumerate(right):
+        places[at // 64, lane + ch] |= np.uint64(1 << at % 64)
+    # What fills up the texts matches nothing.
+    places[:, lane] = 0
+    state = np.full((words, len(rows)), np.uint64(2**64 - 1))
+    for ch in left:
+        carry = np.uint64(0)
+        for w in range(words):
+            row = state[w]
+            hit = row & places[w, lane + ch]
+            total = row + hit
+            if words > 1:
+                over = total < row
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+            state[w] = total | (row - hit)
+    # Places past the end of b never match, so they keep their bits.
+    return (64 - np.bitwise_count(state).astype(np.int64)).sum(axis=0)
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Common subsequence lengths of pairs of texts, compared in lanes of similar size."""
+    # The shorter text has the bits, the longer one the steps.
+    turned = [(y, x) if len(x) < len(y) else (x, y) for x, y in zip(a, b)]
+    long, short = Texts([x for x, _ in turned]), Texts([y for _, y in turned])
+    characters = numbered(long, short)
+    found = np.zeros(len(a), np.int64)
+    words = -(-short.sizes // 64)
+    order = np.lexsort((long.sizes, words))
+    for same in np.split(order, np.flatnonzero(np.diff(words[order])) + 1):
+        lanes = max(64, min(LANES, TABLE // (characters * max(1, int(words[same[:1]].sum())))))
+        for low in range(0, len(same), lanes):
+            rows = same[low : low + lanes]
+            found[rows] = common_subsequences(long, short, rows, characters)
+    return found
+
+
+@F.pandas_udf(T.IntegerType())
+def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two texts; null beside a null one."""
+    both = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), -1, np.int64)
+    if both.any():
+        out[both] = common_lengths(a[both].tolist(), b[both].tolist())
+    return pd.Series(out, dtype="Int32").mask(out < 0)
 
 
 # Keeps Spark from evaluating the comparison once for a filter and again for its output.
@@ -108,15 +153,6 @@ class WordSets:
         shared = F.length(F.array_join(F.array_intersect(a, b), " "))
         return F.element_at(F.transform(F.array(shared), bound), 1)
 
-    def near_enough(self, cutoff: float) -> Column:
-        """Whether a side beside the shared words reaches the cutoff by itself."""
-        return F.greatest(self._beside_shared(self.len_a), self._beside_shared(self.len_b)) >= cutoff
-
-    def budget(self, cutoff: float) -> Column:
-        """Edits beyond which the characters of the rests cannot bring the score to the cutoff."""
-        allowed = F.floor(self.total * (1.0 - cutoff / 100.0) + 1e-9)
-        return F.when(self.near_enough(cutoff), self.total).otherwise(allowed).cast("int")
-
     def score(self, common: Column) -> Column:
         """The similarity; without ``common``, what it is apart from the characters of the rests."""
         return F.when(self.contained, 100.0).otherwise(

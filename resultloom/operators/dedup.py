@@ -13,9 +13,8 @@ from resultloom.operators.fuzzy import (
     MAX_GAP_DAYS,
     THRESHOLD,
     admissible,
-    cell_links,
+    fuzzy_links,
     spans,
-    title_matches,
     with_word_key,
 )
 from resultloom.operators.skew import lookup
@@ -107,8 +106,7 @@ def _fuzzy_parts(keyed: DataFrame, threshold: float, max_gap_days: float) -> tup
     """Admissible rows with their time cell, the cells, and the links between cells."""
     rows = with_word_key(admissible(keyed))
     cells = materialize(spans(rows, max_gap_days), "cells")
-    matches = materialize(title_matches(rows, threshold), "matches")
-    links = materialize(cell_links(cells, matches, max_gap_days), "links")
+    links = fuzzy_links(rows, cells, threshold, max_gap_days)
     return rows.withColumn("cell_key", _cell_key(max_gap_days)), cells, links
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from resultloom.functions.similarity import WordSets, common_length
 from resultloom.functions.text import title_words
+from resultloom.operators.components import components
 from resultloom.operators.skew import lookup
 from resultloom.runtime import materialize
 
@@ -138,6 +139,10 @@ def _probes_and_index(titles: DataFrame, threshold: float) -> tuple[DataFrame, D
     return probes, index
 
 
+def _with_sides(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    return pairs.join(_side(titles, "a"), "key_a").join(_side(titles, "b"), ["key_b", *SCOPE])
+
+
 def _blocked_pairs(titles: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs by shared keys, for searches of any size."""
     probes, index = _probes_and_index(titles, threshold)
@@ -150,7 +155,7 @@ def _blocked_pairs(titles: DataFrame, threshold: float) -> DataFrame:
         )
         .distinct()
     )
-    return pairs.join(_side(titles, "a"), "key_a").join(_side(titles, "b"), ["key_b", *SCOPE])
+    return _with_sides(pairs, titles)
 
 
 def _side(titles: DataFrame, name: str) -> DataFrame:
@@ -174,17 +179,8 @@ def _direct_pairs(titles: DataFrame) -> DataFrame:
     return pairs.filter(F.col("key_a") < F.col("key_b"))
 
 
-def title_matches(
-    rows: DataFrame, threshold: float = THRESHOLD, *, small_scope: int = SMALL_SCOPE
-) -> DataFrame:
-    """Pairs of different word sets of one search and type that score ``threshold`` or more.
-
-    ``rows`` carries word_key and words (see ``admissible`` and ``with_word_key``).
-    Copies collapse to one row first. Where a search and type has few word sets,
-    measured here, each meets the others; elsewhere candidates come from shared
-    keys. Both find every match, and what word lengths already rule out never
-    reaches the character comparison.
-    """
+def _titles(rows: DataFrame, threshold: float, small_scope: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct word sets of searches and types that have few of them, and of those that have many, if any."""
     if not 0.7 <= threshold <= 1.0:
         raise ValueError("the candidate keys are complete for thresholds of 0.7 to 1.0")
     distinct = materialize(
@@ -200,10 +196,14 @@ def title_matches(
     )
     sizes = distinct.groupBy(*SCOPE).agg(F.count("*").alias("_size"))
     titles = lookup(distinct, sizes, SCOPE)
-    pairs = _direct_pairs(titles.filter(F.col("_size") <= small_scope))
-    large = titles.filter(F.col("_size") > small_scope).drop("_size")
-    if not sizes.filter(F.col("_size") > small_scope).isEmpty():
-        pairs = pairs.unionByName(_blocked_pairs(materialize(large, "large"), threshold))
+    few = titles.filter(F.col("_size") <= small_scope).drop("_size")
+    if sizes.filter(F.col("_size") > small_scope).isEmpty():
+        return few, None
+    return few, materialize(titles.filter(F.col("_size") > small_scope).drop("_size"), "large")
+
+
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of the candidate pairs that score ``threshold`` or more."""
     sets = WordSets(F.col("words_a"), F.col("words_b"))
     cutoff = threshold * 100
     hopeful = pairs.filter(
@@ -213,9 +213,7 @@ def title_matches(
         >= cutoff
     )
     undecided = ~sets.contained
-    common = common_length(
-        F.when(undecided, sets.rest_a), F.when(undecided, sets.rest_b), sets.budget(cutoff)
-    )
+    common = common_length(F.when(undecided, sets.rest_a), F.when(undecided, sets.rest_b))
     return (
         hopeful.withColumn("common", common)
         .withColumn("score", sets.score(F.col("common")))
@@ -224,6 +222,91 @@ def title_matches(
     )
 
 
+def title_matches(
+    rows: DataFrame, threshold: float = THRESHOLD, *, small_scope: int = SMALL_SCOPE
+) -> DataFrame:
+    """Pairs of different word sets of one search and type that score ``threshold`` or more.
+
+    ``rows`` carries word_key and words (see ``admissible`` and ``with_word_key``).
+    Copies collapse to one row first. Where a search and type has few word sets,
+    measured here, each meets the others; elsewhere candidates come from shared
+    keys. Both find every match, and what word lengths already rule out never
+    reaches the character comparison.
+    """
+    few, many = _titles(rows, threshold, small_scope)
+    pairs = _direct_pairs(few)
+    if many is not None:
+        pairs = pairs.unionByName(_blocked_pairs(many, threshold))
+    return _scored(pairs, threshold)
+
+
+def fuzzy_links(
+    rows: DataFrame, cells: DataFrame, threshold: float = THRESHOLD, max_gap_days: float = MAX_GAP_DAYS,
+    *, small_scope: int = SMALL_SCOPE,
+) -> DataFrame:
+    """Links (a, b) between time cells that connect the same cells as all matches close in time do.
+
+    Groups need no list of pairs. Within a small search and type all pairs are compared. In a
+    large one, where thousands of titles may be near each other, every cell that a key
+    leads to first meets the least cell of that key and time; then, for each two components that share a
+    key, one cell of each meets; and only cells that are in different components after both meet all the
+    others of the key. The last step makes it exact, the first two leave it little to do.
+    """
+    few, many = _titles(rows, threshold, small_scope)
+    links = materialize(cell_links(cells, _scored(_direct_pairs(few), threshold), max_gap_days), "links")
+    if many is None:
+        return links
+    gap = int(max_gap_days * 86_400_000_000)
+    node = cells.join(many.select("word_key"), "word_key").select("word_key", "cell", "cell_key", "first", "last")
+
+    def placed(keys: DataFrame, name: str) -> DataFrame:
+        own = keys.withColumnRenamed(name, "word_key")
+        return materialize(own.join(node, "word_key").distinct(), name)
+
+    probes, index = _probes_and_index(many, threshold)
+    probes, index = placed(probes, "left_key"), placed(index, "right_key")
+
+    def known(frame: DataFrame, found: DataFrame) -> DataFrame:
+        labels = components(found).withColumnRenamed("node", "cell_key")
+        return lookup(frame, labels, ["cell_key"], how="left").withColumn("component", F.coalesce("component", "cell_key"))
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("word_key", "cell", "cell_key", "first", "last", "component")])
+
+    def met(left: DataFrame, right: DataFrame, *, one_each: bool) -> DataFrame:
+        """Links of the cells that share a key, are close in time and in different components."""
+        close = (F.col("first_r") - F.col("last_l") <= gap) & (F.col("first_l") - F.col("last_r") <= gap)
+        pairs = side(left, "l").join(side(right, "r"), "key").filter(
+            (F.col("component_l") != F.col("component_r")) & (F.col("word_key_l") != F.col("word_key_r"))
+            & (F.col("cell_l").isNull() | F.col("cell_r").isNull() | close)
+        )
+        turn = F.col("word_key_l") < F.col("word_key_r")
+        pairs = pairs.select(
+            F.least("component_l", "component_r").alias("x"), F.greatest("component_l", "component_r").alias("y"),
+            F.least("word_key_l", "word_key_r").alias("key_a"), F.greatest("word_key_l", "word_key_r").alias("key_b"),
+            F.when(turn, F.col("cell_key_l")).otherwise(F.col("cell_key_r")).alias("a"),
+            F.when(turn, F.col("cell_key_r")).otherwise(F.col("cell_key_l")).alias("b"),
+        )
+        if one_each:
+            pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("key_a", "key_b", "a", "b")).alias("p")).select("p.*")
+        pairs = materialize(pairs.select("key_a", "key_b", "a", "b").distinct(), "met")
+        right_ones = _scored(_with_sides(pairs.select("key_a", "key_b").distinct(), many), threshold)
+        return materialize(pairs.join(right_ones.select("key_a", "key_b"), ["key_a", "key_b"]).select("a", "b").distinct(), "links")
+
+    left, right = known(probes, links), known(index, links)
+    first = right.groupBy("key", "cell").agg(F.min(F.struct("cell_key", "word_key", "first", "last", "component")).alias("l"))
+    links = links.unionByName(met(left, first.select("key", "cell", "l.*"), one_each=False))
+
+    def one_of_each(frame: DataFrame) -> DataFrame:
+        best = frame.groupBy("key", "component").agg(F.min(F.struct("cell_key", "word_key", "cell", "first", "last")).alias("l"))
+        return best.select("key", "component", "l.*")
+
+    left, right = known(probes, links), known(index, links)
+    links = links.unionByName(met(one_of_each(left), one_of_each(right), one_each=True))
+    left, right = known(probes, links), known(index, links)
+    return links.unionByName(met(left, right, one_each=False))
+
+
 def spans(rows: DataFrame, max_gap_days: float = MAX_GAP_DAYS) -> DataFrame:
     """Fold rows of a word set into time cells as long as the allowed gap.
 

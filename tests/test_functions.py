@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resultloom.functions.scoring import Decay, freshness, instant
-from resultloom.functions.similarity import common_subsequence, least_edits
+from resultloom.functions.similarity import common_lengths
 from resultloom.functions.text import clean_queries, with_norm_title
 from resultloom.functions.urls import article_url, bare_url, canonical_url, post_url
 
@@ -91,13 +91,17 @@ def table_lcs(a, b):
     return line[-1]
 
 
-def test_common_subsequence_and_bound():
+def test_common_subsequences_in_lanes():
     import random
 
     rng = random.Random(5)
-    for _ in range(200):
-        a = "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 90)))
-        b = "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 90)))
-        common = table_lcs(a, b)
-        assert common_subsequence(a, b) == common
-        assert least_edits(a, b) <= len(a) + len(b) - 2 * common
+    pairs = []
+    for size in (0, 1, 16, 63, 64, 65, 128, 130, 300):
+        for other in (0, 1, 30, 64, 65, 129):
+            letters = rng.choice(["ab", "abcé ", "abcdefgh 𝄞日本"])
+            pairs += [tuple("".join(rng.choice(letters) for _ in range(n)) for n in (size, other)) for _ in range(3)]
+    # More characters than a table has room for at once.
+    pairs.append(("".join(chr(0x4E00 + i) for i in range(3000)), "".join(chr(0x4E00 + i) for i in range(0, 3000, 7))))
+    want = [len(b) if len(a) == 3000 else table_lcs(a, b) for a, b in pairs]
+    assert common_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
+    assert common_lengths([], []).tolist() == []
