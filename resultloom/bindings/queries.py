@@ -1145,6 +1145,39 @@ def _(t: Tables) -> DataFrame:
     return tidy(bm25.variant_sweep(t.results(), t.searches(), t.grades()))
 
 
+# Variants of no module: dealt from a table, with an inverse document frequency of their own.
+TABLE_IDF = {**bm25.IDF, "plain": lambda total, n: F.log(1 + total / (n + 1))}
+
+
+@bound("e12_variants_of_a_table", sql(f"SELECT variant, count(*) AS queries, {R.MEANS} FROM table_variant_metrics GROUP BY 1", "table_variant_metrics"))
+def _(t: Tables) -> DataFrame:
+    key = F.col("r_regionkey")
+    variants = t.read("region").select(
+        F.concat(F.lit("v"), key).alias("variant"), (1 + key / 2).alias("title"), (1 - key / 8).alias("description"),
+        (key / 4).alias("b"), F.when(key % 2 == 0, "plain").otherwise("smooth2").alias("idf"),
+    )
+    return tidy(bm25.variant_sweep(t.results(), t.searches(), t.grades(), variants, TABLE_IDF))
+
+
+@bound(
+    "e13_forensic_report",
+    sql(
+        """SELECT 'idf_title' AS part, search_id, CAST(spot - 1 AS BIGINT) AS place, term AS item, NULL::VARCHAR AS other, round(%s, 6) AS value FROM asked_stats
+        UNION ALL SELECT 'idf_description', search_id, spot - 1, term, NULL, round(%s, 6) FROM asked_stats
+        UNION ALL SELECT 'lexical_top', search_id, lexical_at, id, NULL, raw_relevance FROM two_ranks WHERE lexical_at <= 10
+        UNION ALL SELECT 'bm25_top', search_id, bm25_at, id, NULL, round(bm25, 6) FROM two_ranks WHERE bm25_at <= 10
+        UNION ALL SELECT 'shift', search_id, bm25_at, id, NULL, bm25_at - lexical_at FROM two_ranks WHERE rel >= 1
+        UNION ALL SELECT 'inversion', x.search_id, x.bm25_at, x.id, y.id, x.rel - y.rel FROM two_ranks x JOIN two_ranks y
+        ON x.search_id = y.search_id AND x.rel > y.rel AND x.lexical_at <= 10 AND x.bm25_at <= 10 AND y.lexical_at <= 10 AND y.bm25_at <= 10
+        AND (x.lexical_at < y.lexical_at) <> (x.bm25_at < y.bm25_at)"""
+        % (R.idf("smooth1", "tn"), R.idf("smooth1", "dn")),
+        "asked_stats", "two_ranks",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return tidy(bm25.forensic_report(t.results(), t.searches(), t.grades()))
+
+
 @bound(
     "w8_rank_shifts",
     sql("SELECT search_id, id, lexical_at, bm25_at, bm25_at - lexical_at AS shift FROM two_ranks WHERE rel >= 1", "two_ranks"),

@@ -501,6 +501,7 @@ def idf(mode: str, n: str) -> str:
     return {
         "smooth1": f"ln(1 + (documents - {n} + 0.5::DOUBLE) / ({n} + 0.5::DOUBLE))",
         "smooth2": f"ln(1 + (documents - {n})::DOUBLE / ({n} + 1))",
+        "plain": f"ln(1 + documents::DOUBLE / ({n} + 1))",
         "classic": f"CASE WHEN documents - {n} + 0.5 > 0 THEN greatest(0.0::DOUBLE, ln((documents - {n} + 0.5::DOUBLE) / ({n} + 0.5::DOUBLE))) ELSE 0.0 END",
     }[mode]
 
@@ -567,6 +568,17 @@ part(
         for n in VARIANTS
     ),
 )
+for _key in range(5):
+    bm25_parts(f"v{_key}", Variant(title=1 + _key / 2, description=1 - _key / 8, b=_key / 4, idf="smooth2" if _key % 2 else "plain"))
+part(
+    "table_variant_ranks",
+    tuple(f"base_v{n}" for n in range(5)) + ("results",),
+    " UNION ALL ".join(
+        f"SELECT 'v{n}' AS variant, search_id, id, row_number() OVER (PARTITION BY search_id ORDER BY base_relevance DESC, {BM25_ORDER}) AS position FROM results JOIN base_v{n} USING (search_id, id)"
+        for n in range(5)
+    ),
+)
+part("table_variant_metrics", ("table_variant_ranks", "grades", "ideal"), metrics("table_variant_ranks", "variant, search_id"))
 part("variant_metrics", ("variant_ranks", "grades", "ideal"), metrics("variant_ranks", "variant, search_id"))
 part(
     "three_ranks",

@@ -78,113 +78,126 @@ def field_lengths(results: DataFrame) -> DataFrame:
     )
 
 
-def query_terms(searches: DataFrame) -> DataFrame:
-    """Each distinct term of each query, with its places in the query."""
-    return (
-        searches.select("search_id", F.posexplode(content_tokens(F.col("query"))).alias("at", "term"))
-        .groupBy("search_id", "term")
-        .agg(F.sort_array(F.collect_list("at")).alias("places"))
+def asked_terms(searches: DataFrame) -> DataFrame:
+    """The distinct terms of each query in order, and the places of each in it."""
+    words = content_tokens(F.col("query"))
+    return searches.select("search_id", F.col("query").alias("_query"), words.alias("_words"), F.array_distinct(words).alias("terms")).select(
+        "search_id", "_query", "terms",
+        F.transform("terms", lambda t: F.filter(F.transform("_words", lambda w, at: F.when(w == t, at)), lambda at: at.isNotNull())).alias("places"),
     )
 
 
-def term_counts(results: DataFrame, searches: DataFrame) -> DataFrame:
-    """How often each row's fields (t, d) hold each term its query asks for.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    Only words the query asks for leave a row, and they are counted per task
-    before the shuffle, so it carries counts, not texts.
+def measured(results: DataFrame, searches: DataFrame) -> DataFrame:
+    """Rows without their descriptions, with all that BM25 needs of their texts, written once.
+
+    ``t_length`` and ``d_length`` are the terms in title and description, ``t_tf`` and ``d_tf`` how often
+    each distinct term of the query occurs in them, in the order of the query, and the bonuses are columns
+    of their names. This is the one place that reads the texts.
     """
-    asked = searches.select("search_id", F.array_distinct(content_tokens(F.col("query"))).alias("terms"))
-    rows = lookup(results.select("search_id", "id", "title", "description"), asked, KEYS)
-    wanted = lambda column: F.filter(content_tokens(F.col(column)), lambda w: F.array_contains("terms", w))
-    fields = F.array(
-        F.struct(F.lit("t").alias("field"), wanted("title").alias("words")),
-        F.struct(F.lit("d").alias("field"), wanted("description").alias("words")),
-    )
-    return (
-        rows.select("search_id", "id", F.explode(fields).alias("f"))
-        .select("search_id", "id", "f.field", F.explode("f.words").alias("term"))
-        .groupBy("search_id", "id", "field", "term")
-        .agg(F.count("*").alias("tf"))
+    rows = lookup(results, asked_terms(searches).select("search_id", "_query", "terms"), KEYS, how="left")
+
+    def counted(column: str) -> Column:
+        times = lambda words: F.transform("terms", lambda t: F.size(F.filter(words, lambda w: w == t)))
+        return _let(content_tokens(F.col(column)), lambda words: F.struct(F.size(words).alias("length"), times(words).alias("tf")))
+
+    told = rows.withColumn("_t", counted("title")).withColumn("_d", counted("description"))
+    given = bonuses(F.col("_query"), F.col("title"), F.col("description"))
+    return materialize(
+        told.select(
+            *[c for c in results.columns if c != "description"],
+            F.col("_t.length").alias("t_length"), F.col("_d.length").alias("d_length"),
+            F.col("_t.tf").alias("t_tf"), F.col("_d.tf").alias("d_tf"), *[c.alias(n) for n, c in given.items()],
+        ),
+        "measured",
     )
 
 
-def term_statistics(counts: DataFrame, searches: DataFrame) -> DataFrame:
-    """For each query term and field: its places, and how many rows hold it (0 included)."""
-    holders = counts.groupBy("search_id", "field", "term").agg(F.count("*").alias("n"))
-    asked = query_terms(searches).withColumn("field", F.explode(F.array(F.lit("t"), F.lit("d"))))
-    return asked.join(holders, ["search_id", "field", "term"], "left").na.fill(0, ["n"])
+def search_statistics(narrow: DataFrame, searches: DataFrame) -> DataFrame:
+    """Per search: its terms and their places, rows, mean lengths, and how many rows hold each term.
 
-
-def _saturated(hits: Column, field: str, length: Column, mean: Column, variant: Variant) -> Column:
-    """Sum over the hits of one field, in query order."""
-    idf = IDF[variant.idf]
-    b = variant.b
-    norm = F.when(mean > 0, 1 - b + b * (length / mean)).otherwise(1.0)
-    return F.aggregate(
-        F.filter(hits, lambda h: h["field"] == field),
-        F.lit(0.0),
-        lambda acc, h: acc
-        + idf(F.col("documents"), h["n"]) * (h["tf"] * (K1 + 1)) / (h["tf"] + K1 * norm),
+    ``t_n`` and ``d_n`` are in the order of the terms. Rows are added up per task before the shuffle,
+    and a search is one row whose arrays are as long as its query.
+    """
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tf").alias("tf")) for f in ("t", "d")])
+    holders = (
+        narrow.select("search_id", F.explode(fields).alias("f"))
+        .select("search_id", "f.field", F.posexplode("f.tf").alias("at", "tf"))
+        .filter("tf > 0")
+        .groupBy("search_id", "field", "at").agg(F.count("*").alias("n"))
+        .groupBy("search_id").agg(*[
+            F.map_from_entries(F.collect_list(F.when(F.col("field") == f, F.struct("at", "n")))).alias(f"_{f}") for f in ("t", "d")
+        ])
+    )
+    lengths = narrow.groupBy(*KEYS).agg(
+        F.count("*").alias("documents"), F.avg("t_length").alias("title_terms"), F.avg("d_length").alias("description_terms")
     )
+    stats = asked_terms(searches).drop("_query").join(lengths, "search_id").join(holders, "search_id", "left")
+    n = lambda f: F.transform("terms", lambda t, at: F.coalesce(F.try_element_at(F.col(f"_{f}"), at), F.lit(0)))
+    return stats.withColumn("t_n", n("t")).withColumn("d_n", n("d")).drop("_t", "_d")
 
 
-def _score(hits: Column, t_length: Column, d_length: Column, variant: Variant) -> Column:
-    return variant.title * _saturated(
-        hits, "t", t_length, F.col("title_terms"), variant
-    ) + variant.description * _saturated(
-        hits, "d", d_length, F.col("description_terms"), variant
-    )
+def offered(variants: dict[str, Variant] | DataFrame) -> Column:
+    """The variants as one array of structs (variant, title, description, b, idf).
+
+    A DataFrame of those columns is gathered by a subquery into one value, so the plan is the same for any number
+    of its rows.
+    """
+    if isinstance(variants, DataFrame):
+        kinds = {"variant": "string", "title": "double", "description": "double", "b": "double", "idf": "string"}
+        row = F.struct(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+        return variants.agg(F.sort_array(F.collect_list(row))).scalar()
+    rows = [
+        F.struct(F.lit(n).alias("variant"), *[F.lit(getattr(v, c)).alias(c) for c in ("title", "description", "b", "idf")])
+        for n, v in variants.items()
+    ]
+    return F.array(*rows)
 
 
-def with_hits(results: DataFrame, searches: DataFrame, variants: dict[str, Variant]) -> DataFrame:
-    """Rows without their descriptions, with lengths, term hits in query order and the search's ceilings.
+def _score(tf: dict[str, Column], lengths: dict[str, Column], variant: Column, kinds: dict[str, Idf]) -> Column:
+    """Weighted sums over the places of the query, in its order, for one variant.
 
-    A row has at most one hit per field and word of its query. A ceiling is the
-    score the query would get as a document of its own, one per variant.
+    Reads the columns of ``search_statistics``.
     """
-    counts = materialize(term_counts(results, searches), "terms")
-    stats = materialize(term_statistics(counts, searches), "term_stats")
-    placed = lookup(counts, stats.filter(F.col("n") > 0), ["search_id", "field", "term"])
-    hit = lambda tf: F.sort_array(F.collect_list(F.struct("field", "at", tf, "n")))
-    hits = (
-        placed.withColumn("at", F.explode("places"))
-        .groupBy("search_id", "id")
-        .agg(hit("tf").alias("hits"))
-    )
-    as_document = (
-        stats.withColumn("tf", F.size("places"))
-        .withColumn("at", F.explode("places"))
-        .groupBy(*KEYS)
-        .agg(hit("tf").alias("asked"))
-    )
-    lengths = field_lengths(results)
-    asked_length = (F.size("asked") / 2).cast("int")
-    ceilings = as_document.join(lengths, list(KEYS)).select(
-        *KEYS,
-        "documents",
-        "title_terms",
-        "description_terms",
-        *[
-            _score(F.col("asked"), asked_length, asked_length, v).alias(f"ceiling_{i}")
-            for i, v in enumerate(variants.values())
-        ],
-    )
-    slim = results.withColumn("t_length", F.size(content_tokens(F.col("title")))).withColumn(
-        "d_length", F.size(content_tokens(F.col("description")))
-    ).drop("description")
-    told = slim.join(hits, ["search_id", "id"], "left")
-    nothing = F.array().cast(hits.schema["hits"].dataType)
-    return lookup(told, ceilings, KEYS, how="left").withColumn("hits", F.coalesce("hits", nothing))
+    def idf(n: Column) -> Column:
+        chain = F
+        for name, formula in kinds.items():
+            chain = chain.when(variant["idf"] == name, formula(F.col("documents"), n))
+        return chain.otherwise(F.raise_error(F.concat(F.lit("unknown idf "), variant["idf"])).cast("double"))
 
+    def field(f: str, mean: Column) -> Column:
+        norm = F.when(mean > 0, 1 - variant["b"] + variant["b"] * (lengths[f] / mean)).otherwise(1.0)
+        each = F.arrays_zip(F.col("places").alias("places"), tf[f].alias("tf"), F.col(f"{f}_n").alias("n"))
+        hit = lambda h: F.transform(h["places"], lambda at: F.struct(at.alias("at"), h["tf"].alias("tf"), h["n"].alias("n")))
+        hits = F.array_sort(F.flatten(F.transform(F.filter(each, lambda h: h["tf"] > 0), hit)))
+        return F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + idf(h["n"]) * (h["tf"] * (K1 + 1)) / (h["tf"] + K1 * norm))
 
-def base_relevance(variants: dict[str, Variant]) -> dict[str, Column]:
-    """Score over ceiling by variant. Reads the columns of ``with_hits`` for the same variants."""
-    shares = {}
-    for i, (name, v) in enumerate(variants.items()):
-        ceiling = F.col(f"ceiling_{i}")
-        score = _score(F.col("hits"), F.col("t_length"), F.col("d_length"), v)
-        shares[name] = F.when(ceiling > 0, score / ceiling).otherwise(0.0)
-    return shares
+    return variant["title"] * field("t", F.col("title_terms")) + variant["description"] * field("d", F.col("description_terms"))
+
+
+def with_shares(
+    narrow: DataFrame, stats: DataFrame, variants: dict[str, Variant] | DataFrame, kinds: dict[str, Idf] = IDF
+) -> DataFrame:
+    """One row per row and variant: ``variant`` and ``share``, the score over the search's ceiling.
+
+    The ceiling is the score the query would get as a document of its own.
+    """
+    size = F.aggregate(F.transform("places", F.size), F.lit(0), lambda acc, n: acc + n)
+    whole = F.transform("places", F.size)
+    ceilings = stats.withColumn("variants", offered(variants)).withColumn(
+        "variants",
+        F.transform("variants", lambda v: F.struct(v.alias("v"), _score({"t": whole, "d": whole}, {"t": size, "d": size}, v, kinds).alias("ceiling"))),
+    )
+    told = lookup(narrow, ceilings.drop("terms"), KEYS, how="left").withColumn("_v", F.explode_outer("variants"))
+    variant, ceiling = F.col("_v.v"), F.col("_v.ceiling")
+    score = _score({f: F.col(f"{f}_tf") for f in "td"}, {f: F.col(f"{f}_length") for f in "td"}, variant, kinds)
+    return told.select(
+        *narrow.columns, variant["variant"].alias("variant"), F.when(ceiling > 0, score / ceiling).otherwise(0.0).alias("share")
+    ).drop("t_tf", "d_tf")
 
 
 def bonuses(query: Column, title: Column, description: Column) -> dict[str, Column]:
@@ -202,23 +215,19 @@ def bonuses(query: Column, title: Column, description: Column) -> dict[str, Colu
     }
 
 
-def with_bm25(results: DataFrame, searches: DataFrame, *, include_bonuses: bool = True) -> DataFrame:
+def with_bm25(
+    results: DataFrame, searches: DataFrame, *, include_bonuses: bool = True, variant: Variant = Variant(), kinds: dict[str, Idf] = IDF
+) -> DataFrame:
     """Add ``base_relevance`` and ``bm25``, the capped sum with the bonuses."""
-    core = {"core": Variant()}
-    rows = results
-    names: list[str] = []
-    if include_bonuses:
-        rows = lookup(rows, searches.select("search_id", F.col("query").alias("_query")), KEYS)
-        parts = bonuses(F.col("_query"), F.col("title"), F.col("description"))
-        names = list(parts)
-        rows = rows.select("*", *[c.alias(n) for n, c in parts.items()]).drop("_query")
-    scored = with_hits(rows, searches, core).withColumn("base_relevance", base_relevance(core)["core"])
+    narrow = measured(results, searches)
+    scored = with_shares(narrow, search_statistics(narrow, searches), {"core": variant}, kinds)
+    scored = scored.drop("variant").withColumnRenamed("share", "base_relevance")
+    names = list(bonuses(*[F.lit("")] * 3))
     total = F.col("base_relevance")
-    for name in names:
+    for name in names if include_bonuses else ():
         total = total + F.col(name)
-    return scored.withColumn("bm25", F.least(F.lit(1.0), total)).drop(
-        "hits", "ceiling_0", "documents", "title_terms", "description_terms"
-    )
+    scored = scored.withColumn("bm25", F.least(F.lit(1.0), total))
+    return scored if include_bonuses else scored.drop(*names)
 
 
 def bm25_order(score: str = "bm25") -> list[Column]:
@@ -237,15 +246,19 @@ def bm25_positions(results: DataFrame, searches: DataFrame, *, include_bonuses:
     return position(scored, KEYS, bm25_order(), **kw)
 
 
-def variant_sweep(results: DataFrame, searches: DataFrame, grades: DataFrame, **kw) -> DataFrame:
-    """Mean quality of each variant; texts are read and counted once for all."""
+def variant_sweep(
+    results: DataFrame, searches: DataFrame, grades: DataFrame, variants: dict[str, Variant] | DataFrame | None = None,
+    kinds: dict[str, Idf] = IDF, **kw,
+) -> DataFrame:
+    """Mean quality of each variant; texts are read and counted once for all.
+
+    ``variants`` may be a DataFrame (variant, title, description, b, idf), and ``kinds`` names what
+    ``idf`` stands for: functions of the rows of a search and the rows that hold a term.
+    """
     kw.setdefault("largest", largest_group(results, KEYS))
-    scores = F.array(
-        *[F.struct(F.lit(n).alias("variant"), c.alias("bm25")) for n, c in base_relevance(VARIANTS).items()]
-    )
-    wide = with_hits(results, searches, VARIANTS).select(
-        "search_id", "id", "source_type", "published_at", "url", F.explode(scores).alias("v")
-    ).select("*", "v.*").drop("v")
+    narrow = measured(results, searches)
+    shares = with_shares(narrow, search_statistics(narrow, searches), VARIANTS if variants is None else variants, kinds)
+    wide = shares.select("search_id", "id", "source_type", "published_at", "url", "variant", F.col("share").alias("bm25"))
     keys = ["variant", *KEYS]
     placed = position(wide, keys, bm25_order(), **kw)
     return macro_means(ranking_metrics(placed, grades, keys), ["variant"])
@@ -275,35 +288,37 @@ def ranker_comparison(results: DataFrame, searches: DataFrame, grades: DataFrame
     )
 
 
-def term_idf(results: DataFrame, searches: DataFrame) -> DataFrame:
-    """Inverse document frequency of each query term in both fields, by place in the query."""
-    idf = IDF["smooth1"]
-    total = results.groupBy(*KEYS).agg(F.count("*").alias("documents"))
-    stats = term_statistics(term_counts(results, searches), searches)
-    value = idf(F.col("documents"), F.col("n"))
-    return (
-        stats.join(total, list(KEYS))
-        .groupBy("search_id", "term", "places")
-        .agg(
-            F.max(F.when(F.col("field") == "t", value)).alias("title_idf"),
-            F.max(F.when(F.col("field") == "d", value)).alias("description_idf"),
-        )
-        .select("search_id", F.explode("places").alias("at"), "term", "title_idf", "description_idf")
+def _term_values(stats: DataFrame, idf: Idf) -> DataFrame:
+    each = F.arrays_zip("terms", "places", "t_n", "d_n")
+    told = stats.select("search_id", "documents", F.explode(each).alias("e"))
+    return told.select(
+        "search_id", F.explode("e.places").alias("at"), F.col("e.terms").alias("term"),
+        idf(F.col("documents"), F.col("e.t_n")).alias("title_idf"), idf(F.col("documents"), F.col("e.d_n")).alias("description_idf"),
     )
 
 
-def both_positions(results: DataFrame, searches: DataFrame, grades: DataFrame, **kw) -> DataFrame:
-    """Each graded result with its place in the lexical and in the BM25 order."""
-    kw.setdefault("largest", largest_group(results, KEYS))
+def term_idf(results: DataFrame, searches: DataFrame, idf: Idf = IDF["smooth1"]) -> DataFrame:
+    """Inverse document frequency of each query term in both fields, by place in the query."""
+    narrow = measured(results, searches)
+    return _term_values(search_statistics(narrow, searches), idf)
+
+
+def _both(results: DataFrame, searches: DataFrame, grades: DataFrame, scored: DataFrame, **kw) -> DataFrame:
     lexical = baseline_positions(results, searches, **kw).select(
         "search_id", "id", "title", "raw_relevance", F.col("position").alias("lexical_at")
     )
-    weighted = bm25_positions(results, searches, include_bonuses=False, **kw).select(
+    weighted = position(scored, KEYS, bm25_order(), **kw).select(
         "search_id", "id", "bm25", F.col("position").alias("bm25_at")
     )
     return with_grades(lexical.join(weighted, ["search_id", "id"]), grades)
 
 
+def both_positions(results: DataFrame, searches: DataFrame, grades: DataFrame, **kw) -> DataFrame:
+    """Each graded result with its place in the lexical and in the BM25 order."""
+    kw.setdefault("largest", largest_group(results, KEYS))
+    return _both(results, searches, grades, with_bm25(results, searches, include_bonuses=False), **kw)
+
+
 def rank_shifts(both: DataFrame) -> DataFrame:
     """How far each relevant result moves from the lexical to the BM25 order."""
     return both.filter(F.col("rel") >= 1).withColumn("shift", F.col("bm25_at") - F.col("lexical_at"))
@@ -340,5 +355,48 @@ def harmful_inversions(both: DataFrame) -> DataFrame:
     )
 
 
+def forensic_report(results: DataFrame, searches: DataFrame, grades: DataFrame, idf: Idf = IDF["smooth1"], **kw) -> DataFrame:
+    """One job's account of both rankers: (part, search_id, place, item, other, value).
+
+    Parts are ``idf_title`` and ``idf_description`` (item: a term of the query, by place), ``lexical_top``
+    and ``bm25_top`` (item: a result, value: its score), ``shift`` (item: a relevant result, place: in the BM25 order,
+    value: how far it moved) and ``inversion`` (item and other: results of better and worse grade, place: of the
+    better one in the BM25 order, value: the difference of grades). Texts are measured once and the two orders are joined
+    and written once; every part is read from these.
+    """
+    kw.setdefault("largest", largest_group(results, KEYS))
+    narrow = measured(results, searches)
+    stats = materialize(search_statistics(narrow, searches), "statistics")
+    scored = with_shares(narrow, stats, {"core": Variant()}, IDF).withColumn("bm25", F.least(F.lit(1.0), F.col("share")))
+    both = materialize(_both(results, searches, grades, scored, **kw), "both")
+
+    def entry(part: str, place: Column, item: Column, value: Column, other: Column = F.lit(None)) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), place.cast("long").alias("place"), item.cast("string").alias("item"),
+            other.cast("string").alias("other"), value.cast("double").alias("value"),
+        )
+
+    def told(frame: DataFrame, *entries: Column) -> DataFrame:
+        return frame.select("search_id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.part", "search_id", "e.place", "e.item", "e.other", "e.value")
+
+    lexical, weighted, item = F.col("lexical_at"), F.col("bm25_at"), F.col("id")
+    orders = told(
+        both,
+        F.when(lexical <= 10, entry("lexical_top", lexical, item, F.col("raw_relevance"))),
+        F.when(weighted <= 10, entry("bm25_top", weighted, item, F.col("bm25"))),
+        F.when(F.col("rel") >= 1, entry("shift", weighted, item, weighted - lexical)),
+    )
+    terms = told(
+        _term_values(stats, idf),
+        entry("idf_title", F.col("at"), F.col("term"), F.col("title_idf")),
+        entry("idf_description", F.col("at"), F.col("term"), F.col("description_idf")),
+    )
+    inversions = told(
+        harmful_inversions(both),
+        entry("inversion", F.col("better_bm25_at"), F.col("better_id"), F.col("gap"), F.col("worse_id")),
+    )
+    return orders.unionByName(terms).unionByName(inversions)
+
+
 def grade_histogram(grades: DataFrame) -> DataFrame:
     return grades.groupBy(*KEYS).pivot("rel", [0, 1, 2]).count().na.fill(0)
