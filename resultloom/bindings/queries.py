@@ -814,6 +814,25 @@ def _(t: Tables) -> DataFrame:
     return tidy(evaluation.candidate_sweep(t.results(), t.searches(), t.grades(), NOW))
 
 
+@bound(
+    "e4_candidates_of_a_table",
+    sql(
+        f"SELECT candidate, count(*) AS queries, {R.MEANS}, round(avg(rel0_in_top10), 6) AS rel0_in_top10, round(avg(fresh_junk_in_top10), 6) AS fresh_junk_in_top10 FROM table_metrics GROUP BY 1",
+        "table_metrics",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Candidates dealt from a table, scored by a product instead of a sum."""
+    key = F.col("r_regionkey")
+    kinds = F.explode(F.array(F.lit("news"), F.lit("social")))
+    candidates = t.read("region").select(
+        F.concat(F.lit("t"), key).alias("candidate"), (key % 2 == 0).alias("diverse"), kinds.alias("source_type"),
+        F.lit(0.75).alias("relevance"), (key / 4).alias("freshness"), (key / 16).alias("quality"),
+    )
+    product = lambda rel, fresh, good, w: w["relevance"] * rel * (1 - w["freshness"] + w["freshness"] * fresh) + w["quality"] * good
+    return tidy(evaluation.candidate_sweep(t.results(), t.searches(), t.grades(), NOW, candidates, product))
+
+
 @bound(
     "e8_filter_sweep",
     sql(
@@ -922,6 +941,27 @@ def _(t: Tables) -> DataFrame:
     return tidy(evaluation.curve_grid(t.results(), PROBE_AGES))
 
 
+@bound(
+    "e5_curves_of_a_table",
+    sql(
+        f"SELECT curve, source_type, count(*) AS n, round(sum(fresh), 4) AS total FROM ({' UNION ALL '.join(R.table_curve(k) for k in range(25))} UNION ALL {R.table_curve(None)}) GROUP BY ALL",
+        "results",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Curves that are rows of a table, and one that is a function."""
+    key = F.col("n_nationkey")
+    shape = F.element_at(F.array(*[F.lit(s) for s in ("exp", "linear30d", "step", "constant")]), (key % 4 + 1).cast("int"))
+    curves = t.read("nation").select(
+        F.concat(F.lit("n"), key).alias("curve"), shape.alias("shape"), (6.0 + key).alias("news_half_life"), (3.0 + key).alias("social_half_life"),
+        (F.col("n_regionkey") / 16).alias("floor"), F.lit(0.75).alias("reference"), F.lit(0.25).alias("missing"),
+    )
+    items = t.results().withColumn("rel", F.lit(0))
+    own = lambda published, kind, now: F.when(published.isNull(), 0.0).otherwise(1 / (1 + scoring.age_hours(published, now)))
+    scores = evaluation.curve_scores(items, NOW, curves).unionByName(evaluation.curve_scores(items, NOW, {"own": own}))
+    return scores.groupBy("curve", "source_type").agg(F.count("*").alias("n"), F.round(F.sum("fresh"), 4).alias("total"))
+
+
 @bound(
     "e5_freshest",
     sql(
@@ -945,7 +985,7 @@ def _(t: Tables) -> DataFrame:
     "e14_freshness_invariants",
     sql(
         """SELECT bool_and(fresh BETWEEN 0 AND 1) AS missing_timestamp_handled, bool_and(fresh BETWEEN 0 AND 1) AS bounded,
-        count(*) > 0 AS monotonic_with_age, count(*) > 0 AS future_clamped FROM curves WHERE curve = 'design'""",
+        count(*) > 0 AS monotonic_with_age, count(*) > 0 AS future_clamped, count(*) > 0 AS retrieved_at_ignored FROM curves WHERE curve = 'design'""",
         "curves",
     ),
 )

@@ -80,6 +80,16 @@ def freshness(decay: Curve = Curve(), ts: str = "published_at", kind: str = "sou
     )
 
 
+def table_curve(key: int | None) -> str:
+    """Scores by a curve of the nation table, or by the one that is a function."""
+    if key is None:
+        return f"SELECT 'own' AS curve, source_type, CASE WHEN published_at IS NULL THEN 0.0 ELSE 1 / (1 + {age_hours('published_at')}) END AS fresh FROM results"
+    shape = ("exp", "linear30d", "step", "constant")[key % 4]
+    region = f"(SELECT n_regionkey FROM nation WHERE n_nationkey = {key}) / 16"
+    own = Curve(shape=shape, news_half_life=6.0 + key, social_half_life=3.0 + key, reference=0.75, missing=0.25, floor=region)
+    return f"SELECT 'n{key}' AS curve, source_type, {freshness(own)} AS fresh FROM results"
+
+
 def quality() -> str:
     named = " ".join(f"WHEN source_name = '{n}' THEN {v}::DOUBLE" for n, v in SOURCE_QUALITY.items())
     return f"CASE {named} WHEN source_type = 'reference' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END"
@@ -411,6 +421,22 @@ JUNK = (
     " count(*) FILTER (position <= 10 AND rel = 0 AND freshness >= 0.7) AS fresh_junk_in_top10"
 )
 part("lexical_metrics", ("lexical", "grades", "ideal"), metrics("lexical", "search_id"))
+part(
+    "table_wide",
+    ("components",),
+    """SELECT c.*, 't' || r_regionkey AS candidate, r_regionkey % 2 = 0 AS diverse,
+    0.75::DOUBLE * relevance * (1 - r_regionkey / 4 + r_regionkey / 4 * freshness) + r_regionkey / 16 * quality AS rank_score FROM components c, region""",
+)
+part("table_diverse", ("table_wide",), "SELECT * FROM table_wide WHERE diverse")
+band_parts("table_", "table_diverse", "candidate, search_id")
+part(
+    "table_candidates",
+    ("table_wide", "table_placed"),
+    f"""SELECT candidate, search_id, id, freshness, rank_position + 1 AS position FROM table_placed
+    UNION ALL SELECT candidate, search_id, id, freshness, row_number() OVER (PARTITION BY candidate, search_id
+      ORDER BY rank_score DESC, {type_order('source_type')}, {NEWEST}) FROM table_wide WHERE NOT diverse""",
+)
+part("table_metrics", ("table_candidates", "grades", "ideal"), metrics("table_candidates", "candidate, search_id", JUNK))
 part("candidate_metrics", ("candidates", "grades", "ideal"), metrics("candidates", "candidate, search_id", JUNK))
 
 

@@ -134,6 +134,19 @@ def freshness(
     return F.when(known, scored).otherwise(F.raise_error(message).cast("double"))
 
 
+def freshness_by(published_at: Column, source_type: Column, now: Column, curve: Column) -> Column:
+    """Freshness by a curve that is data: a struct of the fields of ``Decay``. An unknown shape is constant."""
+    age, span = age_hours(published_at, now), 1.0 - curve["floor"]
+    half_life = F.when(source_type == "news", curve["news_half_life"]).otherwise(curve["social_half_life"])
+    value = (
+        F.when(curve["shape"] == "exp", curve["floor"] + span * F.pow(F.lit(2.0), -age / half_life))
+        .when(curve["shape"] == "linear30d", F.greatest(curve["floor"], 1.0 - (age / 720.0) * span))
+        .when(curve["shape"] == "step", F.when(age < 24.0, 1.0).when(age < 168.0, 0.7).when(age < 720.0, 0.4).otherwise(0.2))
+        .otherwise(1.0)
+    )
+    return F.when(source_type == "reference", curve["reference"]).when(published_at.isNull(), curve["missing"]).otherwise(value)
+
+
 def age_for(target: Column, half_life: float, decay: Decay = PRODUCTION_DECAY) -> Column:
     """Age in hours at which an exponential curve falls to ``target``."""
     return -half_life * F.log2((target - decay.floor) / (1.0 - decay.floor))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import dataclasses
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ from resultloom.functions.scoring import (
     Decay,
     age_hours,
     freshness,
+    freshness_by,
     instant,
-    weighted,
 )
 from resultloom.operators.ranking import (
     KEYS,
@@ -113,27 +114,52 @@ def macro_means(metrics: DataFrame, keys: Sequence[str] = (), names: Sequence[st
     )
 
 
+Scorer = Callable[[Column, Column, Column, Column], Column]
+
+
+def weighted_sum(relevance: Column, fresh: Column, quality: Column, weights: Column) -> Column:
+    """The parts times the weights of the row's source type, a struct."""
+    return weights["relevance"] * relevance + weights["freshness"] * fresh + weights["quality"] * quality
+
+
+def known_candidates(results: DataFrame) -> DataFrame:
+    """The fixed candidates as rows (candidate, diverse, source_type, relevance, freshness, quality)."""
+    rows = [
+        (name, diverse, kind, *map(float, w))
+        for name, (weights, diverse) in RANKING_CANDIDATES.items()
+        for kind, w in WEIGHT_SETS[weights].items()
+    ]
+    return results.sparkSession.createDataFrame(
+        rows, "candidate string, diverse boolean, source_type string, relevance double, freshness double, quality double"
+    )
+
+
 def candidate_positions(
-    results: DataFrame, searches: DataFrame, now: datetime | str, **kw
+    results: DataFrame, searches: DataFrame, now: datetime | str, candidates: DataFrame | None = None,
+    scorer: Scorer = weighted_sum, **kw,
 ) -> DataFrame:
-    """Every result placed by each ranking candidate; components are computed once."""
+    """Every result placed by each ranking candidate; components are computed once.
+
+    ``candidates`` has a row per candidate and source type with its weights, and whether the candidate
+    mixes types; a type it does not name has the weights of news. They are gathered by a subquery into one
+    value, so the plan is the same for any number of them. ``scorer`` makes the score from relevance,
+    freshness, quality and those weights.
+    """
     largest = kw.pop("largest", None) or largest_group(results, KEYS)
     parts = with_components(results, searches, now).withColumn("scored_type", F.col("source_type"))
-    scores = [
-        F.struct(
-            F.lit(name).alias("candidate"),
-            F.lit(diverse).alias("diverse"),
-            weighted(
-                F.col("relevance"), F.col("freshness"), F.col("quality"),
-                F.col("source_type"), WEIGHT_SETS[weights],
-            ).alias("rank_score"),
-        )
-        for name, (weights, diverse) in RANKING_CANDIDATES.items()
-    ]
+    weights = F.struct(*[F.col(c).cast("double").alias(c) for c in ("relevance", "freshness", "quality")])
+    offered = (known_candidates(results) if candidates is None else candidates).groupBy("candidate", "diverse").agg(
+        F.map_from_entries(F.collect_list(F.struct("source_type", weights))).alias("weights")
+    )
+    every = offered.agg(F.collect_list(F.struct("candidate", "diverse", "weights"))).scalar()
     wide = parts.select(
-        "search_id", "id", "source_type", "published_at", "url", "freshness",
-        F.explode(F.array(*scores)).alias("c"),
-    ).select("*", "c.*").drop("c")
+        "search_id", "id", "source_type", "published_at", "url", "relevance", "freshness", "quality", F.explode(every).alias("c")
+    )
+    own = F.coalesce(F.try_element_at("c.weights", F.col("source_type")), F.try_element_at("c.weights", F.lit("news")))
+    wide = wide.select(
+        "search_id", "id", "source_type", "published_at", "url", "freshness", "c.candidate", "c.diverse",
+        scorer(F.col("relevance"), F.col("freshness"), F.col("quality"), own).alias("rank_score"),
+    )
     keys = ["candidate", *KEYS]
     plain = position(wide.filter(~F.col("diverse")), keys, score_order(), largest=largest, **kw)
     banded = with_bands(wide.filter("diverse"), keys, largest=largest, **kw)
@@ -154,10 +180,11 @@ def junk_counts() -> list[Column]:
 
 
 def candidate_sweep(
-    results: DataFrame, searches: DataFrame, grades: DataFrame, now: datetime | str, **kw
+    results: DataFrame, searches: DataFrame, grades: DataFrame, now: datetime | str, candidates: DataFrame | None = None,
+    scorer: Scorer = weighted_sum, **kw,
 ) -> DataFrame:
-    """Mean quality of each ranking candidate."""
-    placed = candidate_positions(results, searches, now, **kw)
+    """Mean quality of each ranking candidate; see ``candidate_positions`` for ``candidates`` and ``scorer``."""
+    placed = candidate_positions(results, searches, now, candidates, scorer, **kw)
     per_query = ranking_metrics(placed, grades, ["candidate", *KEYS], junk_counts())
     return macro_means(per_query, ["candidate"], [*METRICS, "rel0_in_top10", "fresh_junk_in_top10"])
 
@@ -237,22 +264,32 @@ def language_coverage(results: DataFrame) -> DataFrame:
 # --- freshness curves ------------------------------------------------------
 
 
-def curve_scores(items: DataFrame, now: datetime | str, curves: dict[str, Decay] = DECAY_CANDIDATES) -> DataFrame:
-    """Each item scored by each curve, one row per pair."""
-    scored = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("curve"),
-                freshness(
-                    F.col("published_at"), F.col("source_type"), instant(now), decay, strict=False
-                ).alias("fresh"),
-            )
-            for name, decay in curves.items()
-        ]
-    )
-    return items.select("search_id", "id", "source_type", "rel", F.explode(scored).alias("c")).select(
-        "search_id", "id", "source_type", "rel", "c.*"
-    )
+Curve = Callable[[Column, Column, Column], Column]
+
+
+def _value(curve: Decay | Curve, published_at: Column, source_type: Column, now: Column) -> Column:
+    if isinstance(curve, Decay):
+        return freshness(published_at, source_type, now, curve, strict=False)
+    return curve(published_at, source_type, now)
+
+
+def curve_scores(
+    items: DataFrame, now: datetime | str, curves: dict[str, Decay | Curve] | DataFrame = DECAY_CANDIDATES
+) -> DataFrame:
+    """Each item scored by each curve, one row per pair.
+
+    A curve is a ``Decay``, or a function of publication, source type and instant. ``curves`` may also be
+    a DataFrame with ``curve`` and the fields of ``Decay``, gathered by a subquery into one value.
+    """
+    named = ("search_id", "id", "source_type", "rel")
+    published, kind, at = F.col("published_at"), F.col("source_type"), instant(now)
+    if isinstance(curves, DataFrame):
+        fields = [F.col(f.name).cast("string" if f.name == "shape" else "double").alias(f.name) for f in dataclasses.fields(Decay)]
+        every = curves.agg(F.collect_list(F.struct("curve", *fields))).scalar()
+        wide = items.select(*named, "published_at", F.explode(every).alias("c"))
+        return wide.select(*named, "c.curve", freshness_by(published, kind, at, F.col("c")).alias("fresh"))
+    scored = F.array(*[F.struct(F.lit(name).alias("curve"), _value(c, published, kind, at).alias("fresh")) for name, c in curves.items()])
+    return items.select(*named, F.explode(scored).alias("c")).select(*named, "c.*")
 
 
 def curve_distributions(scores: DataFrame, **kw) -> DataFrame:
@@ -301,21 +338,34 @@ def curve_grid(spark_rows: DataFrame, ages: Sequence[float], curves: dict[str, D
     return grid.select("source_type", "age_hours", *columns)
 
 
-def freshness_invariants(items: DataFrame, now: datetime | str, decay: Decay = Decay()) -> DataFrame:
-    """Whether a curve keeps its promises on every item."""
+def freshness_invariants(
+    items: DataFrame, now: datetime | str, decay: Decay | Curve = Decay(), score: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Whether a curve keeps its promises on every item.
+
+    ``retrieved_at_ignored`` scores the items and a twin of them that was retrieved years later,
+    and compares the two null for null. ``score`` adds the column ``fresh`` to a frame of items, by
+    default by ``decay``; it sees all columns, so a use of ``retrieved_at`` shows.
+    """
     at = instant(now)
     kind, pub = F.col("source_type"), F.col("published_at")
-    here = freshness(pub, kind, at, decay, strict=False)
-    older = freshness(pub - F.expr("INTERVAL 1 HOUR"), kind, at, decay, strict=False)
-    present = freshness(at, kind, at, decay, strict=False)
-    future = freshness(at + F.expr("INTERVAL 1 DAY"), kind, at, decay, strict=False)
-    untimed = freshness(F.lit(None).cast("timestamp"), kind, at, decay, strict=False)
-    return items.agg(
+    value = lambda when, then=at: _value(decay, when, kind, then)
+    here, older, present = value(pub), value(pub - F.expr("INTERVAL 1 HOUR")), value(at)
+    future, untimed = value(at + F.expr("INTERVAL 1 DAY")), value(F.lit(None).cast("timestamp"))
+    promises = items.agg(
         F.bool_and(untimed.between(0.0, 1.0)).alias("missing_timestamp_handled"),
         F.bool_and(here.between(0.0, 1.0)).alias("bounded"),
         F.bool_and(F.coalesce(older <= here, F.lit(True))).alias("monotonic_with_age"),
         F.bool_and(future <= present + 1e-9).alias("future_clamped"),
     )
+    score = score or (lambda frame: frame.withColumn("fresh", value(pub)))
+    twin = items.withColumn("retrieved_at", F.col("retrieved_at") + F.expr("INTERVAL 3 YEARS"))
+    mine = score(items).select(*KEYS, "id", F.col("fresh").alias("_mine"))
+    other = score(twin).select(*KEYS, "id", F.col("fresh").alias("_other"))
+    same = mine.join(other, [*KEYS, "id"], "full").agg(
+        F.bool_and(F.col("_mine").eqNullSafe(F.col("_other"))).alias("same")
+    )
+    return promises.withColumn("retrieved_at_ignored", same.scalar())
 
 
 def freshest(items: DataFrame, now: datetime | str, limit: int = 10) -> DataFrame:
