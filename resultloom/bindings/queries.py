@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from resultloom.operators import admission, dedup, fuzzy, ranking, statistics, v
 from resultloom.operators.components import components
 from resultloom.operators.skew import position
 from resultloom.plans import bm25, evaluation, operations, postpass, quality
-from resultloom.runtime import materialize, shared_folder
+from resultloom.runtime import materialize, shared_folder, stored_once
 from resultloom.schema import contract_violations, to_results
 from resultloom.sources import payloads, sinks
 from resultloom.streaming import jobs
@@ -578,15 +577,13 @@ def _finished(t: Tables, **kw) -> DataFrame:
 def _stored(t: Tables) -> DataFrame:
     """Annotated and ranked results, read from where the finished searches stored them.
 
-    The first query of a session that asks for them stores them, by bucket of the search.
+    The first query that asks for them stores them; a changed table is another store.
     """
-    name = hashlib.sha256(f"{t.spark.sparkContext.applicationId}|{t.folder}".encode()).hexdigest()[:20]
-    path = f"{shared_folder(t.spark).rstrip('/')}/resultloom/store-{name}"
-    try:
-        return t.spark.read.parquet(path).drop("bucket")
-    except AnalysisException:
-        sinks.append_results(_finished(t), path, buckets=8)
-        return t.spark.read.parquet(path).drop("bucket")
+    files = sorted(f for name in ("documents", "benchmark") for f in t.read(name).inputFiles())
+    sizes = [t.read(name).count() for name in ("documents", "benchmark")]
+    name = hashlib.sha256("|".join([*files, *map(str, sizes)]).encode()).hexdigest()[:20]
+    path = stored_once(t.spark, f"store-{name}", lambda folder: sinks.store_ranked(_finished(t), folder, buckets=8))
+    return t.spark.read.parquet(path).drop("bucket")
 
 
 def _view(t: Tables, stored: DataFrame) -> DataFrame:
@@ -657,7 +654,13 @@ def _(t: Tables) -> DataFrame:
     sql("SELECT search_id, id, rank_position + 1 AS view_position FROM placed WHERE rank_position BETWEEN 5 AND 9", "placed"),
 )
 def _(t: Tables) -> DataFrame:
-    return views.pages(_stored(t), page=2, per_page=5).select("search_id", "id", "view_position")
+    return sinks.stored_pages(_stored(t), page=2, per_page=5).select("search_id", "id", "view_position")
+
+
+@bound("o5_filtered_pages", sql(f"SELECT * FROM (SELECT p.search_id, p.id, row_number() OVER (PARTITION BY p.search_id ORDER BY rank_position) AS view_position {F6}) WHERE view_position <= 3", "placed", "searches"))
+def _(t: Tables) -> DataFrame:
+    """Pages of a view that leaves rows out: places are counted anew."""
+    return views.pages(_view(t, _stored(t)), page=1, per_page=3).select("search_id", "id", "view_position")
 
 
 @bound(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,18 +21,31 @@ MAX_RUNNING = 8
 class Limit:
     """Admits a hit unless ``most`` were admitted in the window up to it.
 
-    Of the admitted times only the last ``most`` are held, so the oldest one held
-    decides: it must be a full window back.
+    Of the admitted times only the last ``most`` are held, so the oldest one held decides: the hit
+    must be a full window past it. So the next ``most`` admissions follow from those held: each is the first hit
+    a window after its own one, and behind the admission before. They are found together, by
+    searches in the times, and hits that are not admitted cost nothing.
     """
 
     def __init__(self, most: int, micros: int, held=()) -> None:
-        self.held, self.micros = deque(held, maxlen=most), micros
-
-    def admits(self, t: int) -> bool:
-        free = len(self.held) < self.held.maxlen or t - self.held[0] >= self.micros
-        if free:
-            self.held.append(t)
-        return free
+        self.most, self.micros = most, micros
+        self.held = np.array(list(held), np.int64)
+
+    def admits(self, times: np.ndarray) -> np.ndarray:
+        """Verdicts on the next hits, whose times are in order."""
+        admitted = np.zeros(len(times), bool)
+        at = min(len(times), self.most - len(self.held))
+        admitted[:at] = True
+        self.held = np.concatenate([self.held, times[:at]])
+        step = np.arange(self.most)
+        while at < len(times) and self.most:
+            free = np.searchsorted(times, self.held + self.micros)
+            found = np.maximum(np.maximum.accumulate(free - step), at) + step
+            found = found[found < len(times)]
+            admitted[found] = True
+            self.held = np.concatenate([self.held[len(found) :], times[found]])
+            at = found[-1] + 1 if len(found) == self.most else len(times)
+        return admitted
 
 
 def with_bursts(hits: DataFrame, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
@@ -61,7 +74,8 @@ def admit(
 
     Rejected hits do not count, so each decision needs the ones before it. A burst
     is read in time order as a stream of Arrow batches; the state is the last
-    ``max_hits`` admitted times, whatever the length of the burst.
+    ``max_hits`` admitted times, whatever the length of the burst, and the work in a
+    batch grows with what is admitted, not with what comes in.
     """
     micros = int(window_seconds * 1_000_000)
     columns = [f.name for f in hits.schema.fields]
@@ -75,11 +89,14 @@ def admit(
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, limit = None, None
         for batch in batches:
-            verdicts = []
-            for *place, t in zip(batch["key"], batch["burst"], batch["_t"]):
+            times, verdicts = batch["_t"].to_numpy(), np.zeros(len(batch), bool)
+            moved = (batch[["key", "burst"]] != batch[["key", "burst"]].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(moved)
+            for low, high in zip(starts, [*starts[1:], len(batch)]):
+                place = (batch["key"].iat[low], batch["burst"].iat[low])
                 if place != current:
                     current, limit = place, Limit(max_hits, micros)
-                verdicts.append(limit.admits(t))
+                verdicts[low:high] = limit.admits(times[low:high])
             yield batch[columns].assign(admitted=verdicts)
 
     return ordered.mapInPandas(decide, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,8 +61,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a path of the shared folder."""
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(context._jsc.hadoopConfiguration()), found
+
+
+def stored_once(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a result that is written where it is first asked for.
+
+    ``write`` gets a folder of its own. A folder counts once its writer has left its mark of success; of
+    several, by callers at the same time, the first by name serves all later ones, so none is read
+    while it is written and none is written twice over.
+    """
+    prefix = f"{shared_folder(spark).rstrip('/')}/resultloom/{name}"
+
+    def complete() -> list[str]:
+        system, pattern = _files(spark, f"{prefix}-*/_SUCCESS")
+        return sorted(str(status.getPath().getParent()) for status in system.globStatus(pattern) or [])
+
+    if not complete():
+        write(f"{prefix}-{uuid.uuid4().hex}")
+    return complete()[0]
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = _files(df.sparkSession, df.written_to)
+    system.delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resultloom.operators.views import check_page
 from resultloom.sources.payloads import DEADLINE_MS, SOURCE_NAMES, with_outcome
 
 
@@ -28,6 +29,33 @@ def append_results(results: DataFrame, path: str, buckets: int = 512) -> None:
     bucketed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def store_ranked(ranked: DataFrame, path: str, buckets: int = 512) -> None:
+    """Write the ranked rows of finished searches as ``append_results`` does, in order of search and place.
+
+    A page of a search is then a range of places, and the row groups of a file tell which hold it.
+    """
+    bucketed = ranked.withColumn("bucket", bucket_of(F.col("search_id"), buckets)).hint("rebalance", "bucket")
+    bucketed.sortWithinPartitions("bucket", "search_id", "rank_position").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def stored_pages(store: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
+    """The given page of every finished search in a store of ``store_ranked``, with its place in the view.
+
+    Places have no gaps, so a page is a range of them: a filter of the scan, without sort or shuffle.
+    """
+    check_page(page, per_page)
+    start = (page - 1) * per_page
+    return store.filter(F.col("rank_position").between(start, start + per_page - 1)).withColumn(
+        "view_position", F.col("rank_position") + 1
+    )
+
+
+def stored_page_of(store: DataFrame, search_id: str, buckets: int, page: int = 1, per_page: int = 20) -> DataFrame:
+    """One page of one finished search: of one bucket, the row groups that hold its places."""
+    rows = store.filter((F.col("bucket") == bucket_of(F.lit(search_id), buckets)) & (F.col("search_id") == search_id))
+    return stored_pages(rows, page, per_page)
+
+
 def source_events(landing: DataFrame, results: DataFrame, deadline_ms: int = DEADLINE_MS) -> DataFrame:
     """One event per (search, source): outcome, record count, latency, message."""
     names = F.create_map(*[F.lit(x) for pair in SOURCE_NAMES.items() for x in pair])

@@ -36,15 +36,16 @@ def progressive_results(landing: DataFrame, registry: Registry = SOURCES) -> Dat
     return normalise(landing, registry)
 
 
-def first_seen(results: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first record of each page of a search; a side table, the records all stay.
+def first_seen(results: DataFrame, remember: str = "30 days") -> DataFrame:
+    """The first record of each page of a search to come in; a side table, the records all stay.
 
-    A record older than the newest by more than ``delay`` is not looked at: a page first seen
-    so late has no row here.
+    A page is remembered for ``remember`` after it came in, on the clock: the watermark is that of arrival, which
+    no record is behind, so a page first seen with an old ``retrieved_at`` has its row too.
     """
     keyed = results.withColumn("dedupe_key", dedupe_key(canonical_url(F.col("url"))))
     return (
-        keyed.withWatermark("retrieved_at", delay)
+        keyed.withColumn("seen_at", F.current_timestamp())
+        .withWatermark("seen_at", remember)
         .dropDuplicatesWithinWatermark(["search_id", "dedupe_key"])
         .select("search_id", "dedupe_key", "id", "retrieved_at")
     )
@@ -65,8 +66,8 @@ class _Throttle(StatefulProcessor):
         hits = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
         held = [row[0] for row in self._admitted.get()] if self._admitted.exists() else []
         limit = Limit(self._max, self._micros, held)
-        verdicts = [limit.admits(int(t)) for t in hits["t"]]
-        self._admitted.put([(t,) for t in limit.held])
+        verdicts = limit.admits(hits["t"].to_numpy())
+        self._admitted.put([(int(t),) for t in limit.held])
         yield pd.DataFrame({"key": key[0], "id": hits["id"].to_numpy(), "admitted": verdicts})
 
     def close(self) -> None:
