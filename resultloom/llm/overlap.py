@@ -16,7 +16,7 @@ from resultloom.runtime import discard, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-# Counters that tell rare shingles from frequent ones, about one for every second word of the corpus up to
+# Counters that tell rare shingles from frequent ones, about one for every word of the corpus up to
 # 16 MB of them; they set the order only, so a shared one loses no pair.
 LEAST_BITS, MOST_BITS, SLICES = 16, 24, 16
 BUCKET_BYTES = 32 << 20
@@ -101,13 +101,14 @@ def _prefixes(levels, bits: int, similarity: float, buckets: int):
             # Texts with one set are one, and a shingle counted once has no partner.
             once = np.zeros(len(own.key), bool)
             once[np.unique(own.key, return_index=True)[1]] = True
+            lone = np.bincount(own.rows[level <= 1], minlength=len(own.counts))
             first = (place < take[own.rows]) & once[own.rows] & (level[order] > 1)
             keys, rows, place = own.hashes[order][first], own.rows[first], place[first]
             packed = []
             # Prefixes lean to small hashes; mixed again, the keys fill all buckets alike.
             for bucket, at in dealt(mix(keys, 34), buckets):
                 texts, counts = runs(rows[at])
-                packed.append((bucket, keys[at].tobytes(), place[at].astype(np.uint32).tobytes(), own.key[texts].tobytes(), own.counts[texts].astype(np.uint32).tobytes(), counts.tobytes()))
+                packed.append((bucket, keys[at].tobytes(), place[at].astype(np.uint32).tobytes(), own.key[texts].tobytes(), own.counts[texts].astype(np.uint32).tobytes(), lone[texts].astype(np.uint32).tobytes(), counts.tobytes()))
             if packed:
                 columns = list(zip(*packed))
                 yield pa.record_batch([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_PREFIX)
@@ -115,14 +116,14 @@ def _prefixes(levels, bits: int, similarity: float, buckets: int):
     return run
 
 
-_PREFIX = ["bucket", "keys", "places", "sets", "sizes", "runs"]
+_PREFIX = ["bucket", "keys", "places", "sets", "sizes", "lone", "runs"]
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """Prefix shingles that more than one set has, once for each set."""
     keys, places = concat(group.column("keys"), np.uint64), concat(group.column("places"), np.uint32)
     counts = concat(group.column("runs"), np.int32)
-    sets, sizes = [np.repeat(concat(group.column(c), t), counts) for c, t in (("sets", np.int64), ("sizes", np.uint32))]
+    sets, sizes, lone = [np.repeat(concat(group.column(c), t), counts) for c, t in (("sets", np.int64), ("sizes", np.uint32), ("lone", np.uint32))]
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])[: len(keys)]
@@ -131,8 +132,8 @@ def _shared(group: pa.Table) -> pa.Table:
     many = count[number] > 1
     order = order[many]
     return pa.table(
-        [pa.array(keys[many].view(np.int64)), pa.array(sets[many]), pa.array(sizes[order].astype(np.int32)), pa.array(places[order].astype(np.int32))],
-        names=["key", "set", "size", "place"],
+        [pa.array(keys[many].view(np.int64)), pa.array(sets[many]), *[pa.array(x[order].astype(np.int32)) for x in (sizes, places, lone)]],
+        names=["key", "set", "size", "place", "lone"],
     )
 
 
@@ -200,7 +201,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: flo
     Only the texts of sets that are in a pair are read again for their shingles.
     """
     spark = docs.sparkSession
-    asked = pairs.select(F.explode(F.array("a_set", "b_set")).alias("set")).distinct()
+    asked = pairs.select(F.col("a_set").alias("set")).unionByName(pairs.select(F.col("b_set").alias("set"))).distinct()
     wanted = materialize(sets.join(asked, "set", "left_semi").select("set", "text_key"), "wanted")
     marks = wanted.select("text_key").mapInArrow(_mark, "slice int, at binary").groupBy("slice").applyInArrow(_marks, "slice int, bits binary")
     marks = spark.sparkContext.broadcast(_collected(marks, "bits", (1 << MARK_BITS) // SLICES // 8))
@@ -231,48 +232,68 @@ def join_similar(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     one of the first m - c + 1 of the one and n - c + 1 of the other; at most n - ceil(similarity * n) + 1 of
     a set are ever looked at. The order is by frequency, so that these are rare ones, and texts of one
     template meet by what is their own. Pairs that fail by size or place are dropped before any text is read
-    for them. Of the sets with one such shingle each first meets the least; only pairs still in
-    different components meet after that, so a family of copies takes no pair of all its members.
+    for them. Each set first meets one other, then one set of each two components that share a shingle, and only
+    what is still apart meets whole, so a family of copies takes no pair of all its members.
 
     Null and blank texts have no set and are not to be in ``sets``; equal texts are one set. Empty
     frames give no rows.
     """
     spark, texts = docs.sparkSession, docs.select("text")
     size = text_bytes(docs)
-    buckets, bits = bucket_count(size, BUCKET_BYTES), min(MOST_BITS, max(LEAST_BITS, (size // 12).bit_length()))
+    buckets, bits = bucket_count(size, BUCKET_BYTES), min(MOST_BITS, max(LEAST_BITS, (size // 6).bit_length()))
     counted = texts.mapInArrow(_count(bits), "slice int, at binary, counts binary").groupBy("slice").applyInArrow(_levels(bits), "slice int, levels binary")
     levels = spark.sparkContext.broadcast(_collected(counted, "levels", (1 << bits) // SLICES))
     dealt_out = texts.mapInArrow(_prefixes(levels, bits, similarity, buckets), ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in _PREFIX))
-    shared = materialize(dealt_out.groupBy("bucket").applyInArrow(_shared, "key long, set long, size int, place int"), "prefixes")
+    shared = materialize(dealt_out.groupBy("bucket").applyInArrow(_shared, "key long, set long, size int, place int, lone int"), "prefixes")
     sets = materialize(sets, "sets")
     if shared.isEmpty():
         return sets.select("set", "component")
 
     def fits(a: str, b: str):
-        """Whether the sizes allow similarity, and both places are early enough for that."""
-        m, n = F.col(f"{a}size"), F.col(f"{b}size")
-        common = F.ceil((m + n) * F.lit(similarity / (1 + similarity)) - 1e-9)
-        return (F.least(m, n) >= common) & (F.col(f"{a}place") <= m - common) & (F.col(f"{b}place") <= n - common)
+        """Whether sizes and places leave room for so much in common.
 
+        What stands before the shingle in one order can only be what stands before it in the other,
+        and not what occurs once in the corpus, which comes first; what follows only what follows.
+        """
+        m, n, p, q = F.col(f"{a}size"), F.col(f"{b}size"), F.col(f"{a}place"), F.col(f"{b}place")
+        common = F.ceil((m + n) * F.lit(similarity / (1 + similarity)) - 1e-9)
+        before = F.least(p - F.col(f"{a}lone"), q - F.col(f"{b}lone"))
+        return (F.least(m, n) >= common) & (p <= m - common) & (q <= n - common) & (before + F.least(m - p, n - q) >= common)
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "component", "size", "place", "lone")])
+
+    def followed(pairs: DataFrame, members: DataFrame, *spent: DataFrame) -> DataFrame:
+        """``members`` once the similar ones of ``pairs`` are followed."""
+        pairs = materialize(pairs.select("a", "b", "a_set", "b_set"), "pairs")
+        found = _similar(pairs, docs, members, similarity)
+        merged = materialize(_merged(members, found), "sets")
+        for frame in (pairs, found, members, *spent):
+            discard(frame)
+        return merged
+
+    def open_rows(members: DataFrame) -> DataFrame:
+        """Rows of the shingles whose sets are in more than one component; the others are settled."""
+        rows = lookup(shared, members.select("set", "component"), ["set"])
+        keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+        return materialize(lookup(rows, keys, ["key"]), "open")
+
+    ends = [F.col("a_component").alias("a"), F.col("b_component").alias("b"), "a_set", "b_set"]
+    differ = (F.col("a_component") != F.col("b_component")) & fits("a_", "b_")
+    # Every set meets one other: the least of those that are first of a shingle it has.
     rows = lookup(shared, sets.select("set", "component"), ["set"])
-    least = rows.groupBy("key").agg(F.min(F.struct("set", "component", "size", "place")).alias("l"))
-    stars = lookup(rows, least, ["key"]).filter((F.col("component") != F.col("l.component")) & fits("", "l."))
-    stars = stars.select(F.col("component").alias("a"), F.col("l.component").alias("b"), F.col("set").alias("a_set"), F.col("l.set").alias("b_set")).distinct()
-    stars = materialize(stars, "stars")
-    found = _similar(stars, docs, sets, similarity)
-    merged = materialize(_merged(sets, found), "sets")
-    for frame in (stars, found):
-        discard(frame)
-    # Shingles whose sets are in one component by now are settled.
-    rows = lookup(shared, merged.select("set", "component"), ["set"])
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rows = materialize(rows.join(open_keys, "key", "left_semi"), "open")
-    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in ("set", "component", "size", "place")])
-    b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("set", "component", "size", "place")])
-    pairs = a.join(b, "key").filter((F.col("a_set") < F.col("b_set")) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_"))
-    pairs = materialize(pairs.select(F.col("a_component").alias("a"), F.col("b_component").alias("b"), "a_set", "b_set").distinct(), "pairs")
-    found = _similar(pairs, docs, merged, similarity)
-    done = materialize(_merged(merged, found).select("set", "component"), "sets")
-    for frame in (shared, sets, merged, rows, pairs, found):
-        discard(frame)
-    return done
+    least = rows.groupBy("key").agg(F.min(F.struct("set", "component", "size", "place", "lone")).alias("l")).select("key", "l.*")
+    stars = lookup(side(rows, "a"), side(least, "b"), ["key"]).filter(differ).select(*ends)
+    stars = stars.groupBy("a_set").agg(F.min(F.struct("b_set", "b", "a")).alias("m")).select("m.a", "m.b", "a_set", "m.b_set")
+    members = followed(stars, sets)
+    # Of every two components that share a shingle, one set of each meets.
+    rows = open_rows(members)
+    first = rows.groupBy("key", "component").agg(F.min(F.struct("set", "size", "place", "lone")).alias("l")).select("key", "component", "l.*")
+    pairs = side(first, "a").join(side(first, "b"), "key").filter(differ & (F.col("a_component") < F.col("b_component"))).select(*ends)
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("a_set", "b_set")).alias("m")).select("a", "b", "m.*")
+    members = followed(pairs, members, rows)
+    # What is still apart meets whole.
+    rows = open_rows(members)
+    pairs = side(rows, "a").join(side(rows, "b"), "key").filter(differ & (F.col("a_set") < F.col("b_set"))).select(*ends).distinct()
+    members = followed(pairs, members, rows, shared)
+    return members.select("set", "component")
