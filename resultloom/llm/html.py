@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,27 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _HINTED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HINT_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay|gdpr|"
-    r"side-?bar|menu|nav\w*|breadcrumbs?|footer|foot|masthead|topbar|toolbar|site-?header|page-?header|comments?|"
+_HINT = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay|gdpr|"
+    r"sidebar|menu|nav\w*|breadcrumbs?|footer|foot|masthead|topbar|toolbar|siteheader|pageheader|comments?|"
     r"replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|"
-    r"widget|legal|copyright|contentinfo|complementary|navigation)(?:$|[^a-z])"
+    r"widget|legal|copyright|contentinfo|complementary|navigation"
 )
+_PLACE = re.compile(
+    r"main|site|page|top|bottom|left|right|global|primary|secondary|bar|box|block|wrap(?:per)?|container|list|links?|section|area|"
+    r"content|body|form|text|inner|items?|units?|slots?|panel|buttons?|icons?|posts?|articles?|stories|count|thread|[a-z]?\d+"
+)
+
+
+def _hints(name: str) -> bool:
+    """Whether a whole class name is a hint, alone or with words of place or shape; "share-price" is none."""
+    for pair in ("side-bar", "site-header", "page-header"):
+        name = name.replace(pair, pair.replace("-", ""))
+    parts = [part for part in re.split(r"[-_.:]+", name) if part]
+    hints = [bool(_HINT.fullmatch(part)) for part in parts]
+    return any(hints) and all(hint or _PLACE.fullmatch(part) for hint, part in zip(hints, parts))
+
+
 # Elements that are closed by their own end tag, and those that a like one closes.
 _BOXES = frozenset(
     "div section article main nav header footer aside form menu ul ol dl table figure dialog body html head fieldset blockquote details center".split()
@@ -55,7 +71,10 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; what is never shown (scripts, styles, comments) is left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    # Open elements, each with what holds inside it: hinted, in the article, in a heading, in which form.
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    opened: Counter[str] = Counter()
+    forms, owners = 0, []
     parts: list[str] = []
     linked_parts: list[str] = []
     in_link, at = False, 0
@@ -64,11 +83,9 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(html.unescape(" ".join(linked_parts)).split())
-            tags = [t for t, _ in stack]
-            found.append(Block(
-                text, len(text.split()), linked, any(h for _, h in stack),
-                "article" in tags or "main" in tags, any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags),
-            ))
+            _, hinted, article, heading, form = stack[-1] if stack else ("", False, False, False, 0)
+            found.append(Block(text, len(text.split()), linked, hinted, article, heading))
+            owners.append(form)
         parts.clear()
         linked_parts.clear()
 
@@ -90,8 +107,9 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if token["close"]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
+                    opened.subtract(entry[0] for entry in stack[depth:])
                     del stack[depth:]
                     break
                 if tag in _LOOSE and stack[depth][0] in _BOXES:
@@ -100,16 +118,28 @@ def blocks(page: str) -> list[Block]:
                 in_link = False
             continue
         while stack and stack[-1][0] in _LOOSE and (stack[-1][0] == tag or stack[-1][0] in ("p", "hr") or stack[-1][0][0] == "h" and tag != "a"):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         if tag != "hr":
-            inside = any(t in ("article", "main") for t, _ in stack)
+            _, hinted, inside, heading, form = stack[-1] if stack else ("", False, False, False, 0)
             hint = tag in _NOT_MAIN or (tag == "header" and not inside)
             for value in _HINTED.finditer(token["rest"]) if token["rest"] and tag not in ("body", "html", "article", "main") else ():
-                hint = hint or bool(_HINT_WORD.search((value[1] or value[2] or value[3] or "").lower()))
+                hint = hint or any(_hints(name) for name in (value[1] or value[2] or value[3] or "").lower().split())
             if not token["rest"].endswith("/"):
-                stack.append((tag, hint))
+                if tag == "form":
+                    forms += 1
+                    # A form within something hinted stays part of that.
+                    form, hint = (0, True) if hinted else (forms, False)
+                headed = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+                stack.append((tag, hinted or hint, inside or tag in ("article", "main"), heading or headed, form))
+                opened[tag] += 1
     take(page[at:])
     flush()
+    # A form that holds most words of a page is what the page is wrapped in; others are for filling in.
+    held: Counter[int] = Counter()
+    for block, form in zip(found, owners):
+        held[form] += block.words - block.linked
+    for block, form in zip(found, owners):
+        block.hinted = block.hinted or bool(form) and 2 * held[form] <= held.total()
     return found
 
 

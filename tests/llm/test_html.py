@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from resultloom.llm.bindings import op10_html
 from resultloom.llm.html import classify, extract, features, grow, labelled, blocks, main_text
@@ -44,3 +45,24 @@ def test_odd_rows(spark):
     assert got[7] == "\n".join(["word word"] * 20000) and got[None] == "a < b & c" and got[4].startswith("no markup")
     assert extract(pages.limit(0)).collect() == []
     assert features([]).shape == (0, 9) and blocks("") == []
+
+
+def test_class_names_count_whole():
+    page = """<article><h1>Prices</h1><p class="share-price">The share price rose by two per cent in a day of calm trade on the exchange.</p>
+    <div class="social-history"><p>The social history of the harbour is told here for the first time, in letters and songs.</p></div>
+    <div class="share-buttons">Send this to a friend</div><div class="related-posts"><p>Other things that we have written, all of them good.</p></div></article>"""
+    text = main_text(page, TREE)
+    assert "share price rose" in text and "social history" in text and "Send this" not in text and "Other things" not in text
+
+
+def test_a_page_in_one_form_keeps_its_article():
+    inner = "<h1>Old site</h1>" + "<p>In older sites the whole body of a page stands in one form, with its article and all.</p>" * 4
+    page = f"<body><form action=x><div class=menu><a>One</a><a>Two</a></div><article>{inner}</article></form><form><label>Mail address</label></form></body>"
+    assert main_text(page, TREE).startswith("Old site\nIn older sites") and "Mail" not in main_text(page, TREE)
+
+
+def test_deep_nesting_is_linear():
+    start = time.perf_counter()
+    for page in ("<div>" * 20000 + "text" + "</div>" * 20000, "<div><p>a" * 20000 + "</section>" * 20000, '<div class="' + "ad-" * 5000 + '">x'):
+        blocks(page)
+    assert time.perf_counter() - start < 4
