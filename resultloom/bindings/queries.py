@@ -66,6 +66,19 @@ def _(t: Tables) -> DataFrame:
     return contract_violations(to_results(t.results()))
 
 
+LOST = {"title": "doc_id % 7 = 1", "url": "doc_id % 11 = 3", "source_type": "doc_id % 13 = 5", "retrieved_at": "doc_id % 17 = 2"}
+
+
+@bound(
+    "s1_contract_of_damaged_rows",
+    sql(" UNION ALL ".join(f"SELECT search_id, id, '{name}' AS missing_field FROM results WHERE {rule}" for name, rule in LOST.items()), "results"),
+)
+def _(t: Tables) -> DataFrame:
+    """Rows that lost mandatory fields, some of them several."""
+    damaged = t.results().withColumns({name: F.expr(f"CASE WHEN NOT ({rule}) THEN {name} END") for name, rule in LOST.items()})
+    return contract_violations(to_results(damaged))
+
+
 @bound(
     "s2_news_records",
     sql(
@@ -141,6 +154,25 @@ def _(t: Tables) -> DataFrame:
     return tidy(rows)
 
 
+@bound(
+    "s7_spellings_of_time",
+    sql(
+        """SELECT id, strftime(CASE doc_id % 8 WHEN 1 THEN published_at - INTERVAL 150 MINUTE WHEN 3 THEN date_trunc('day', published_at)
+        WHEN 4 THEN date_trunc('day', published_at) WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE published_at END, '%Y-%m-%d %H:%M:%S') AS published_at FROM results""",
+        "results",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """The same instants in the spellings that sources use, two of them unreadable."""
+    spelled = lambda form: F.date_format("published_at", form)
+    text = F.expr("CAST(doc_id % 8 AS INT)")
+    forms = F.array(
+        spelled("yyyy-MM-dd'T'HH:mm:ss'Z'"), spelled("yyyy-MM-dd'T'HH:mm:ss'+02:30'"), spelled("yyyyMMdd'T'HHmmss'Z'"), spelled("yyyy-MM-dd"),
+        spelled("yyyyMMdd"), spelled("yyyy-MM-dd HH:mm:ss',000'"), spelled("yyyy-MM-dd'T'HH:mm:ss' about'"), spelled("'2024-13-'dd"),
+    )
+    return tidy(t.results().select("id", payloads.iso_time(F.element_at(forms, text + 1)).alias("published_at")))
+
+
 @bound(
     "s8_url_builders",
     sql(
@@ -171,6 +203,23 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@bound(
+    "s9_credentials_at_any_depth",
+    sql(
+        """SELECT id, '{"id": ' || doc_id || ', "deep": {"lang": "' || coalesce(language, '') || '", "more": {}}, "list": [{"n": ' || doc_id % 10 || '}, "token"]}' AS cleaned FROM results""",
+        "results",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Keys that hold credentials at the top, within objects, within lists, and as mere values, which stay."""
+    raw = F.concat(
+        F.lit('{"id": '), "doc_id", F.lit(', "Access_Token": "x", "deep": {"lang": "'), F.coalesce("language", F.lit("")),
+        F.lit('", "api-key": ["y"], "more": {"PASSWORD_hash": {"a": 1}}}, "list": [{"n": '), F.col("doc_id") % 10,
+        F.lit(', "clientSecret": null}, "token"], "authorization": 1}'),
+    )
+    return t.results().select("id", payloads.drop_credentials(raw).alias("cleaned"))
+
+
 @bound("s10_authors", sql("SELECT id, nullif(author, '[deleted]') AS author FROM results", "results"))
 def _(t: Tables) -> DataFrame:
     return t.results().select("id", payloads.clean_author(F.col("author")).alias("author"))
@@ -649,6 +698,22 @@ def _(t: Tables) -> DataFrame:
     return position(_view(t, _stored(t)), ["search_id"], views.serving_order(), "view_position").select("search_id", "id", "view_position")
 
 
+@bound(
+    "o2_running_searches",
+    sql(
+        f"""SELECT search_id, id, row_number() OVER (PARTITION BY search_id ORDER BY CASE WHEN status = 'completed' THEN rank_position END NULLS LAST,
+        CASE WHEN status = 'running' THEN {type_order('source_type')} END, CASE WHEN status = 'running' THEN published_at END DESC NULLS LAST,
+        CASE WHEN status = 'running' THEN url END, id) AS view_position FROM placed JOIN searches USING (search_id)""",
+        "placed", "searches",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Rows of searches that still run have no place yet, and are shown by type, time and URL."""
+    running = t.searches().filter("status = 'running'").select("search_id", F.lit(True).alias("running"))
+    shown = _stored(t).join(running, "search_id", "left").withColumn("rank_position", F.when(F.col("running").isNull(), F.col("rank_position")))
+    return position(shown, ["search_id"], views.serving_order(), "view_position").select("search_id", "id", "view_position")
+
+
 @bound(
     "o5_pages",
     sql("SELECT search_id, id, rank_position + 1 AS view_position FROM placed WHERE rank_position BETWEEN 5 AND 9", "placed"),

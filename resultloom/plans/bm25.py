@@ -258,6 +258,7 @@ def variant_sweep(
     kw.setdefault("largest", largest_group(results, KEYS))
     narrow = measured(results, searches)
     shares = with_shares(narrow, search_statistics(narrow, searches), VARIANTS if variants is None else variants, kinds)
+    grades = materialize(grades, "grades")
     wide = shares.select("search_id", "id", "source_type", "published_at", "url", "variant", F.col("share").alias("bm25"))
     keys = ["variant", *KEYS]
     placed = position(wide, keys, bm25_order(), **kw)
@@ -268,6 +269,7 @@ def ranker_comparison(results: DataFrame, searches: DataFrame, grades: DataFrame
     """Means of the lexical order, BM25 alone and with bonuses, and the differences to the first."""
     kw.setdefault("largest", largest_group(results, KEYS))
     columns = ["search_id", "id", "position"]
+    grades = materialize(grades, "grades")
     ranked = [
         ("baseline", baseline_positions(results, searches, **kw)),
     ]

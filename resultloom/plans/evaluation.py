@@ -28,6 +28,7 @@ from resultloom.operators.ranking import (
 from resultloom.operators.skew import largest_group, lookup, position
 from resultloom.operators.statistics import median, spearman
 from resultloom.operators.views import recent
+from resultloom.runtime import materialize
 
 METRICS = ("precision_at_5", "precision_at_10", "reciprocal_rank", "ndcg_at_10")
 
@@ -185,6 +186,7 @@ def candidate_sweep(
 ) -> DataFrame:
     """Mean quality of each ranking candidate; see ``candidate_positions`` for ``candidates`` and ``scorer``."""
     placed = candidate_positions(results, searches, now, candidates, scorer, **kw)
+    grades = materialize(grades, "grades")
     per_query = ranking_metrics(placed, grades, ["candidate", *KEYS], junk_counts())
     return macro_means(per_query, ["candidate"], [*METRICS, "rel0_in_top10", "fresh_junk_in_top10"])
 
@@ -225,6 +227,7 @@ def filter_sweep(
     view counts with zeros.
     """
     largest = kw.pop("largest", None) or largest_group(ranked, KEYS)
+    grades = materialize(grades, "grades")
     since = {h: instant(now) - F.expr(f"INTERVAL {h} HOURS") for h in (24, 168, 720)}
     names = F.array_compact(
         F.array(*[F.when(_passes(c, since), F.lit(n)) for n, c in FILTER_CONFIGS.items()])
