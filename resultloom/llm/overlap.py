@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 # 16 MB of them; they set the order only, so a shared one loses no pair.
 LEAST_BITS, MOST_BITS, SLICES = 16, 24, 16
 BUCKET_BYTES = 32 << 20
+# Cells in which the shingles of a set are counted, for sets small enough that the counts tell them apart.
+CELLS, CELL_SHINGLES = 128, 4096
 # Bits that mark the texts a step needs again, up to 2 MB; a text marked by chance is dropped by a join.
 MARK_BITS = 24
 
@@ -87,6 +89,16 @@ def _levels(bits: int):
     return run
 
 
+def _cells(batches):
+    """Per set: its shingles by cell; none for a large one."""
+    for batch in pieces(batches, "text"):
+        own = Shingles(batch.column("text"))
+        cell = (mix(own.hashes, 35) % np.uint64(CELLS)).astype(np.int64)
+        counts = np.bincount(own.rows * CELLS + cell, minlength=len(own.counts) * CELLS).reshape(len(own.counts), CELLS)
+        told = [c if n <= CELL_SHINGLES else [] for c, n in zip(counts.astype(np.int16), own.counts)]
+        yield pa.record_batch([batch.column("set"), pa.array(told, pa.list_(pa.int16()))], names=["set", "cells"])
+
+
 def _prefixes(levels, bits: int, similarity: float, buckets: int):
     """The rarest shingles of each text, so many that two similar texts must share one of them."""
 
@@ -195,18 +207,23 @@ def _verify(similarity: float):
     return run
 
 
+def _texts_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, text): one text of each row of ``chosen`` (set, text_key), written before."""
+    spark = docs.sparkSession
+    marks = chosen.select("text_key").mapInArrow(_mark, "slice int, at binary").groupBy("slice").applyInArrow(_marks, "slice int, bits binary")
+    marks = spark.sparkContext.broadcast(_collected(marks, "bits", (1 << MARK_BITS) // SLICES // 8))
+    texts = docs.mapInArrow(_marked(marks), docs.schema).join(chosen, "text_key").dropDuplicates(["set"])
+    return texts.select("set", "text")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b: components; a_set, b_set) whose sets are similar.
 
     Only the texts of sets that are in a pair are read again for their shingles.
     """
-    spark = docs.sparkSession
     asked = pairs.select(F.col("a_set").alias("set")).unionByName(pairs.select(F.col("b_set").alias("set"))).distinct()
     wanted = materialize(sets.join(asked, "set", "left_semi").select("set", "text_key"), "wanted")
-    marks = wanted.select("text_key").mapInArrow(_mark, "slice int, at binary").groupBy("slice").applyInArrow(_marks, "slice int, bits binary")
-    marks = spark.sparkContext.broadcast(_collected(marks, "bits", (1 << MARK_BITS) // SLICES // 8))
-    texts = docs.mapInArrow(_marked(marks), docs.schema).join(wanted, "text_key").dropDuplicates(["set"])
-    arrays = materialize(texts.select("set", "text").mapInArrow(_arrays, "set long, hashes binary"), "shingles")
+    arrays = materialize(_texts_of(wanted, docs).mapInArrow(_arrays, "set long, hashes binary"), "shingles")
     own = arrays.select(F.col("set").alias("a_set"), F.col("hashes").alias("a_hashes"))
     other = arrays.select(F.col("set").alias("b_set"), F.col("hashes").alias("b_hashes"))
     both = lookup(lookup(pairs, own, ["a_set"]), other, ["b_set"]).select("a", "b", "a_hashes", "b_hashes")
@@ -250,18 +267,22 @@ def join_similar(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
         return sets.select("set", "component")
 
     def fits(a: str, b: str):
-        """Whether sizes and places leave room for so much in common.
+        """Whether sizes, places and, where both rows have them, counts by cell leave room for so much in common.
 
         What stands before the shingle in one order can only be what stands before it in the other,
-        and not what occurs once in the corpus, which comes first; what follows only what follows.
+        and not what occurs once in the corpus, which comes first; what follows only what follows. In
+        a cell two sets have no more in common than the lesser of their counts.
         """
         m, n, p, q = F.col(f"{a}size"), F.col(f"{b}size"), F.col(f"{a}place"), F.col(f"{b}place")
         common = F.ceil((m + n) * F.lit(similarity / (1 + similarity)) - 1e-9)
         before = F.least(p - F.col(f"{a}lone"), q - F.col(f"{b}lone"))
-        return (F.least(m, n) >= common) & (p <= m - common) & (q <= n - common) & (before + F.least(m - p, n - q) >= common)
+        own, other = F.col(f"{a}cells"), F.col(f"{b}cells")
+        room = F.aggregate(F.zip_with(own, other, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
+        near = (F.least(m, n) >= common) & (p <= m - common) & (q <= n - common) & (before + F.least(m - p, n - q) >= common)
+        return near & F.when((F.size(own) > 0) & (F.size(other) > 0), room >= common).otherwise(True)
 
     def side(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "component", "size", "place", "lone")])
+        return frame.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "component", "size", "place", "lone", "cells")])
 
     def followed(pairs: DataFrame, members: DataFrame, *spent: DataFrame) -> DataFrame:
         """``members`` once the similar ones of ``pairs`` are followed."""
@@ -276,24 +297,28 @@ def join_similar(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
         """Rows of the shingles whose sets are in more than one component; the others are settled."""
         rows = lookup(shared, members.select("set", "component"), ["set"])
         keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        return materialize(lookup(rows, keys, ["key"]), "open")
+        return materialize(lookup(lookup(rows, keys, ["key"]), cells, ["set"]), "open")
 
     ends = [F.col("a_component").alias("a"), F.col("b_component").alias("b"), "a_set", "b_set"]
     differ = (F.col("a_component") != F.col("b_component")) & fits("a_", "b_")
     # Every set meets one other: the least of those that are first of a shingle it has.
-    rows = lookup(shared, sets.select("set", "component"), ["set"])
+    none = F.array().cast("array<smallint>")
+    rows = lookup(shared, sets.select("set", "component"), ["set"]).withColumn("cells", none)
     least = rows.groupBy("key").agg(F.min(F.struct("set", "component", "size", "place", "lone")).alias("l")).select("key", "l.*")
+    least = least.withColumn("cells", none)
     stars = lookup(side(rows, "a"), side(least, "b"), ["key"]).filter(differ).select(*ends)
     stars = stars.groupBy("a_set").agg(F.min(F.struct("b_set", "b", "a")).alias("m")).select("m.a", "m.b", "a_set", "m.b_set")
     members = followed(stars, sets)
-    # Of every two components that share a shingle, one set of each meets.
+    # Of every two components that share a shingle, one set of each meets, if their counts by cell allow it.
+    chosen = materialize(members.join(shared.select("set").distinct(), "set", "left_semi").select("set", "text_key"), "chosen")
+    cells = materialize(_texts_of(chosen, docs).mapInArrow(_cells, "set long, cells array<smallint>"), "cells")
     rows = open_rows(members)
-    first = rows.groupBy("key", "component").agg(F.min(F.struct("set", "size", "place", "lone")).alias("l")).select("key", "component", "l.*")
+    first = rows.groupBy("key", "component").agg(F.min(F.struct("set", "size", "place", "lone", "cells")).alias("l")).select("key", "component", "l.*")
     pairs = side(first, "a").join(side(first, "b"), "key").filter(differ & (F.col("a_component") < F.col("b_component"))).select(*ends)
     pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("a_set", "b_set")).alias("m")).select("a", "b", "m.*")
     members = followed(pairs, members, rows)
     # What is still apart meets whole.
     rows = open_rows(members)
     pairs = side(rows, "a").join(side(rows, "b"), "key").filter(differ & (F.col("a_set") < F.col("b_set"))).select(*ends).distinct()
-    members = followed(pairs, members, rows, shared)
+    members = followed(pairs, members, rows, shared, cells, chosen)
     return members.select("set", "component")
