@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 # Lanes that are compared at once, and entries of their tables of places, unless 64 lanes have more.
 LANES, TABLE = 4096, 1 << 21
 
+# Lanes for each 64-bit word of the texts, under which pairs are compared one by one.
+LONG = 10
+
 
 class Texts:
     """Code points of many texts: ``points`` in a row, text i from ``starts[i]`` on, ``sizes[i]`` of them."""
@@ -71,8 +74,25 @@ def common_subsequences(a: Texts, b: Texts, rows: np.ndarray, characters: int) -
     return (64 - np.bitwise_count(state).astype(np.int64)).sum(axis=0)
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two texts, the places of ``b`` in one whole number."""
+    places: dict[str, int] = {}
+    for at, ch in enumerate(b):
+        places[ch] = places.get(ch, 0) | 1 << at
+    every = (1 << len(b)) - 1
+    state = every
+    for ch in a:
+        hit = state & places.get(ch, 0)
+        state = ((state + hit) | (state - hit)) & every
+    return len(b) - state.bit_count()
+
+
 def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """Common subsequence lengths of pairs of texts, compared in lanes of similar size."""
+    """Common subsequence lengths of pairs of texts, compared in lanes of similar size.
+
+    Texts of many words, of which there are few, are compared one by one: their steps would
+    cost more than the lanes save.
+    """
     # The shorter text has the bits, the longer one the steps.
     turned = [(y, x) if len(x) < len(y) else (x, y) for x, y in zip(a, b)]
     long, short = Texts([x for x, _ in turned]), Texts([y for _, y in turned])
@@ -84,7 +104,10 @@ def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
         lanes = max(64, min(LANES, TABLE // (characters * max(1, int(words[same[:1]].sum())))))
         for low in range(0, len(same), lanes):
             rows = same[low : low + lanes]
-            found[rows] = common_subsequences(long, short, rows, characters)
+            if len(rows) < LONG * words[rows[0]]:
+                found[rows] = [common_subsequence(*turned[row]) for row in rows]
+            else:
+                found[rows] = common_subsequences(long, short, rows, characters)
     return found
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultloom.functions.similarity import WordSets, common_length
 from resultloom.functions.text import title_words
 from resultloom.operators.components import components
+from resultloom.operators.letters import letter_matches
 from resultloom.operators.skew import lookup
 from resultloom.runtime import materialize
 
@@ -19,9 +22,12 @@ MAX_GAP_DAYS = 7
 
 SCOPE = ("search_id", "source_type")
 
-# A search and type of up to this many word sets is compared within itself: its
-# few comparisons cost less than the many keys of each title.
-SMALL_SCOPE = 64
+# A search and type of up to this many word sets is compared within itself: its few comparisons
+# cost less than keys and blocks, unless many of its titles are of one length.
+SMALL_SCOPE = 8
+
+# Up to this many candidates by words a title, on average, are listed; for more, groups are linked in steps.
+LISTED = 64
 
 
 def admissible(rows: DataFrame) -> DataFrame:
@@ -41,112 +47,37 @@ def with_word_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("word_key", key)
 
 
-def _rarest_first(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add what a title's rarer pieces add up to (the order only saves work)."""
-    order = Window.partitionBy("word_key", "kind").orderBy("n", "piece")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    known = lookup(pieces, counts, ["kind", "piece"])
-    return known.withColumn(
-        "taken", F.coalesce(F.sum("size").over(before), F.lit(0))
-    )
-
-
-def _length_class(length: Column, ratio: float) -> Column:
-    """Lengths within ``ratio`` of each other are at most one class apart."""
-    return F.floor(F.log(1.02 * ratio, length.cast("double"))).cast("int")
-
-
-def _window(width: int) -> str:
-    """Pattern of ``width`` characters of one word and the space after it."""
-    return "." if width == 1 else f"[^ ]{{{width}}}|[^ ]{{{width - 1}}} "
-
-
-def _pieces(text: Column, width: int) -> Column:
-    """Disjoint pieces of the words of a joined title."""
-    return F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(_window(width)), 0)
-
-
-def _grams(text: Column, width: int) -> Column:
-    """All windows of the words of a joined title, overlapping ones too."""
-    return F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(f"(?=({_window(width)}))"), 1)
-
-
 def _probes_and_index(titles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Keys a title looks others up by, and keys it is found under.
-
-    ``titles`` has word_key, scope, words, length. With e = 1 - threshold, a pair
-    can match in two ways, and each leaves a trace that one side's probes find:
+    """Words a title looks others up by, and words it is found under.
 
-    * words: a side of joined length a is all but contained in the other, so its
-      rest (plus a space) is at most 2e/(1+e) of a. Its rarest words adding up to
-      more than that, a space each, cannot all be missing.
-    * letters: the rests differ by at most e of both lengths, so with a the
-      shorter by at most 2e/(1-e) of a edits. An edit spoils at most one of
-      disjoint pieces, so of one piece more than that, one is whole in the other,
-      whose length is at most (1+e)/(1-e) of a.
-
-    Pieces are as wide as leaves enough of them; at 0.90 two characters always do.
+    ``titles`` has word_key, scope, words, length. With e = 1 - threshold, a pair can match in two
+    ways. By letters: see ``letter_matches``. By words: a side of joined length a is all but contained
+    in the other, so its rest (plus a space) is at most 2e/(1+e) of a, and its rarest words
+    adding up to more than that, a space each, cannot all be missing. These it probes; ``n``
+    is how many titles a word leads to.
     """
     e = 1.0 - threshold + 1e-12
-    word_rows = titles.select(
-        "word_key", "scope", "length", F.explode("words").alias("piece")
-    ).select("*", F.lit("w").alias("kind"), (F.length("piece") + 1).alias("size"))
-
-    text = F.array_join("words", " ")
-    edits = F.floor(2 * e / (1 - e) * F.col("length"))
-    widths = (3, 2) if threshold >= THRESHOLD else (3, 2, 1)
-    cut = _pieces(text, widths[-1])
-    for width in reversed(widths[:-1]):
-        wide = _pieces(text, width)
-        cut = F.when(F.size(wide) > edits, wide).otherwise(cut)
-    piece_rows = titles.select(
-        "word_key", "scope", "length", F.explode(cut).alias("piece")
-    ).select("*", F.lit("p").alias("kind"), F.lit(1).alias("size"))
-
-    grams = F.array_distinct(F.concat(*[_grams(text, width) for width in widths]))
-    gram_rows = titles.select(
-        "word_key", "scope", "length", F.explode(grams).alias("piece")
-    ).withColumn("kind", F.lit("p"))
-
-    found_under = word_rows.drop("size").unionByName(gram_rows)
-    counts = found_under.groupBy("kind", "piece").agg(F.count("*").alias("n"))
-    ratio = (1 + e) / (1 - e)
-    words = F.col("kind") == "w"
-    length_class = _length_class(F.col("length"), ratio)
-    probes = (
-        _rarest_first(word_rows.unionByName(piece_rows), counts)
-        .filter(
-            F.when(words, F.col("taken") <= 2 * e / (1 + e) * F.col("length")).otherwise(
-                F.col("taken") <= edits
-            )
-        )
-        .withColumn(
-            "class",
-            F.explode(
-                F.when(words, F.array(F.lit(-1))).otherwise(F.array(length_class, length_class + 1))
-            ),
-        )
-        .select(
-            F.xxhash64("scope", "kind", "class", "piece").alias("key"),
-            F.col("word_key").alias("left_key"),
-        )
-        .distinct()
+    index = titles.select("word_key", "scope", "length", F.explode("words").alias("word")).select(
+        F.xxhash64("scope", "word").alias("key"), "word_key", "length", (F.length("word") + 1).alias("size")
     )
-    index = found_under.select(
-        F.xxhash64("scope", "kind", F.when(words, F.lit(-1)).otherwise(length_class), "piece").alias("key"),
-        F.col("word_key").alias("right_key"),
+    counts = index.groupBy("key").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("word_key").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)
+    probes = (
+        lookup(index, counts, ["key"])
+        .withColumn("taken", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .filter((F.col("n") > 1) & (F.col("taken") <= 2 * e / (1 + e) * F.col("length")))
+        .select("key", F.col("word_key").alias("left_key"), "n")
     )
-    return probes, index
+    return materialize(probes, "probes"), index.select("key", F.col("word_key").alias("right_key"))
 
 
 def _with_sides(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     return pairs.join(_side(titles, "a"), "key_a").join(_side(titles, "b"), ["key_b", *SCOPE])
 
 
-def _blocked_pairs(titles: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs by shared keys, for searches of any size."""
-    probes, index = _probes_and_index(titles, threshold)
-    pairs = (
+def _word_pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of titles of which one is found under a word the other probes."""
+    return (
         probes.join(index, "key")
         .filter(F.col("left_key") != F.col("right_key"))
         .select(
@@ -155,7 +86,14 @@ def _blocked_pairs(titles: DataFrame, threshold: float) -> DataFrame:
         )
         .distinct()
     )
-    return _with_sides(pairs, titles)
+
+
+def _letter_pairs(titles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of titles that match by their letters."""
+    found = letter_matches(titles.withColumnRenamed("title_no", "item"), threshold)
+    for end, name in (("a", "key_a"), ("b", "key_b")):
+        found = found.join(titles.select(F.col("title_no").alias(end), F.col("word_key").alias(name)), end)
+    return found.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
 
 
 def _side(titles: DataFrame, name: str) -> DataFrame:
@@ -179,8 +117,8 @@ def _direct_pairs(titles: DataFrame) -> DataFrame:
     return pairs.filter(F.col("key_a") < F.col("key_b"))
 
 
-def _titles(rows: DataFrame, threshold: float, small_scope: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct word sets of searches and types that have few of them, and of those that have many, if any."""
+def _titles(rows: DataFrame, threshold: float, small_scope: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Distinct word sets of searches and types that have few of them, and of those that have many; none if there are none."""
     if not 0.7 <= threshold <= 1.0:
         raise ValueError("the candidate keys are complete for thresholds of 0.7 to 1.0")
     distinct = materialize(
@@ -196,10 +134,13 @@ def _titles(rows: DataFrame, threshold: float, small_scope: int) -> tuple[DataFr
     )
     sizes = distinct.groupBy(*SCOPE).agg(F.count("*").alias("_size"))
     titles = lookup(distinct, sizes, SCOPE)
-    few = titles.filter(F.col("_size") <= small_scope).drop("_size")
-    if sizes.filter(F.col("_size") > small_scope).isEmpty():
+    least, most = sizes.agg(F.min("_size"), F.max("_size")).first()
+    few = titles.filter(F.col("_size") <= small_scope).drop("_size") if least is None or least <= small_scope else None
+    if most is None or most <= small_scope:
         return few, None
-    return few, materialize(titles.filter(F.col("_size") > small_scope).drop("_size"), "large")
+    large = titles.filter(F.col("_size") > small_scope).drop("_size")
+    large = large.withColumn("text", F.array_join("words", " ")).withColumn("title_no", F.monotonically_increasing_id())
+    return few, materialize(large, "large")
 
 
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -229,15 +170,16 @@ def title_matches(
 
     ``rows`` carries word_key and words (see ``admissible`` and ``with_word_key``).
     Copies collapse to one row first. Where a search and type has few word sets,
-    measured here, each meets the others; elsewhere candidates come from shared
-    keys. Both find every match, and what word lengths already rule out never
+    measured here, each meets the others; elsewhere candidates share a rare word or
+    match by their letters. Both find every match, and what word lengths already rule out never
     reaches the character comparison.
     """
     few, many = _titles(rows, threshold, small_scope)
-    pairs = _direct_pairs(few)
+    pairs = [] if few is None else [_direct_pairs(few)]
     if many is not None:
-        pairs = pairs.unionByName(_blocked_pairs(many, threshold))
-    return _scored(pairs, threshold)
+        near = _word_pairs(*_probes_and_index(many, threshold)).unionByName(_letter_pairs(many, threshold)).distinct()
+        pairs.append(_with_sides(materialize(near, "near"), many))
+    return _scored(reduce(DataFrame.unionByName, pairs), threshold)
 
 
 def fuzzy_links(
@@ -247,23 +189,46 @@ def fuzzy_links(
     """Links (a, b) between time cells that connect the same cells as all matches close in time do.
 
     Groups need no list of pairs. Within a small search and type all pairs are compared. In a
-    large one, where thousands of titles may be near each other, every cell that a key
-    leads to first meets the least cell of that key and time; then, for each two components that share a
-    key, one cell of each meets; and only cells that are in different components after both meet all the
-    others of the key. The last step makes it exact, the first two leave it little to do.
+    large one, matches by letters come from blocks, each of which returns only links that
+    connect it. Candidates by words are counted: a few are compared as they are; many, as of
+    thousands of titles near each other, in steps. Every cell that a word leads to first meets the least cell
+    of that word and time; then, for each two components that share a word, one cell of each
+    meets; and only cells that are in different components after both meet all the others of
+    the word. The last step makes it exact, the first two leave it little to do.
     """
     few, many = _titles(rows, threshold, small_scope)
-    links = materialize(cell_links(cells, _scored(_direct_pairs(few), threshold), max_gap_days), "links")
     if many is None:
-        return links
+        return materialize(cell_links(cells, _scored(_direct_pairs(few), threshold), max_gap_days), "links")
     gap = int(max_gap_days * 86_400_000_000)
-    node = cells.join(many.select("word_key"), "word_key").select("word_key", "cell", "cell_key", "first", "last")
+    node = cells.join(many.select("word_key", "scope", "text", "length"), "word_key")
+    items = materialize(
+        node.select("scope", "cell_key", "text", "length", "first", "last").withColumn("item", F.monotonically_increasing_id()), "items"
+    )
+    near = letter_matches(items, threshold, gap)
+    for end in ("a", "b"):
+        near = near.join(items.select(F.col("item").alias(end), F.col("cell_key").alias(f"{end}_key")), end).drop(end)
+    near = near.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+    probes, index = _probes_and_index(many, threshold)
+    asked = probes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("left_key")).first()
+    listed = asked[0] <= LISTED * asked[1]
+    pairs = [] if few is None else [_direct_pairs(few)]
+    if listed:
+        pairs.append(_with_sides(materialize(_word_pairs(probes, index), "pairs"), many))
+    if pairs:
+        found = cell_links(cells, _scored(reduce(DataFrame.unionByName, pairs), threshold), max_gap_days)
+    else:
+        found = _within_set(cells, gap)
+    links = materialize(found.unionByName(near).distinct(), "links")
+    if listed:
+        return links
+    node = node.select("word_key", "cell", "cell_key", "first", "last")
+    probes, index = probes.drop("n"), index.join(probes.select("key").distinct(), "key", "leftsemi")
 
     def placed(keys: DataFrame, name: str) -> DataFrame:
         own = keys.withColumnRenamed(name, "word_key")
         return materialize(own.join(node, "word_key").distinct(), name)
 
-    probes, index = _probes_and_index(many, threshold)
     probes, index = placed(probes, "left_key"), placed(index, "right_key")
 
     def known(frame: DataFrame, found: DataFrame) -> DataFrame:
