@@ -1175,7 +1175,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     once = ranking.baseline_positions(t.results(), t.searches()).select("search_id", "id", "position")
-    shuffled = t.results().repartition(7, "title")
+    # Dealt anew in as many parts as the session has, so that a part does not grow with the tables.
+    shuffled = t.results().repartition("title", "id")
     again = ranking.baseline_positions(shuffled, t.searches()).select("search_id", "id", "position")
     return once.exceptAll(again).unionByName(again.exceptAll(once)).agg(F.count("*").alias("differences"))
 
