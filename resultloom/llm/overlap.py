@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resultloom.llm.text import Rolling, Words, bucket_count, bytes_of, concat, dealt, lower_ascii, mix, pieces, runs, text_bytes, windows
@@ -56,7 +57,7 @@ def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _count(bits: int):
-    """Occurrences per counter in a task, no more than 255, as the cells that have some or as all of a slice."""
+    """Occurrences per counter in a task, no more than 255: those that have some, or a bit for each of a slice and those over one."""
 
     def run(batches):
         total = np.zeros(1 << bits, np.uint8)
@@ -68,8 +69,11 @@ def _count(bits: int):
             own = total[number * width : (number + 1) * width]
             at = np.flatnonzero(own)
             if len(at):
-                blobs = (at.astype(np.uint32).tobytes(), own[at].tobytes()) if len(at) * 5 < width else (b"", own.tobytes())
-                yield pa.record_batch([pa.array([number], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["slice", "at", "counts"])
+                held = b""
+                if len(at) * 40 > width:
+                    held, at = np.packbits(own > 0).tobytes(), np.flatnonzero(own > 1)
+                blobs = (held, at.astype(np.uint32).tobytes(), own[at].tobytes())
+                yield pa.record_batch([pa.array([number], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["slice", "held", "at", "counts"])
 
     return run
 
@@ -77,12 +81,11 @@ def _count(bits: int):
 def _levels(bits: int):
     def run(group: pa.Table) -> pa.Table:
         total = np.zeros((1 << bits) // SLICES, np.int64)
-        for at, counts in zip(group.column("at"), group.column("counts")):
-            at, counts = np.frombuffer(at.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.uint8)
-            if len(counts) == len(total):
-                total += counts
-            else:
-                total[at] += counts
+        for held, at, counts in zip(*[group.column(c) for c in ("held", "at", "counts")]):
+            held, at, counts = [np.frombuffer(x.as_py(), t) for x, t in ((held, np.uint8), (at, np.uint32), (counts, np.uint8))]
+            if len(held):
+                total += np.unpackbits(held)
+            total[at] += counts - 1 if len(held) else counts
         levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
         return pa.table([group.column("slice").slice(0, 1), pa.array([levels.tobytes()], pa.binary())], names=["slice", "levels"])
 
@@ -90,13 +93,13 @@ def _levels(bits: int):
 
 
 def _cells(batches):
-    """Per set: its shingles by cell; none for a large one."""
+    """Per text: its shingles by cell; none for a large one."""
     for batch in pieces(batches, "text"):
         own = Shingles(batch.column("text"))
         cell = (mix(own.hashes, 35) % np.uint64(CELLS)).astype(np.int64)
         counts = np.bincount(own.rows * CELLS + cell, minlength=len(own.counts) * CELLS).reshape(len(own.counts), CELLS)
         told = [c if n <= CELL_SHINGLES else [] for c, n in zip(counts.astype(np.int16), own.counts)]
-        yield pa.record_batch([batch.column("set"), pa.array(told, pa.list_(pa.int16()))], names=["set", "cells"])
+        yield pa.record_batch([batch.column("text_key"), pa.array(told, pa.list_(pa.int16()))], names=["text_key", "cells"])
 
 
 def _prefixes(levels, bits: int, similarity: float, buckets: int):
@@ -207,13 +210,35 @@ def _verify(similarity: float):
     return run
 
 
-def _texts_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, text): one text of each row of ``chosen`` (set, text_key), written before."""
-    spark = docs.sparkSession
-    marks = chosen.select("text_key").mapInArrow(_mark, "slice int, at binary").groupBy("slice").applyInArrow(_marks, "slice int, bits binary")
-    marks = spark.sparkContext.broadcast(_collected(marks, "bits", (1 << MARK_BITS) // SLICES // 8))
-    texts = docs.mapInArrow(_marked(marks), docs.schema).join(chosen, "text_key").dropDuplicates(["set"])
-    return texts.select("set", "text")
+def _marks_of(keys: DataFrame):
+    """Broadcast bits that mark every ``text_key`` of ``keys``, and few others while there is room."""
+    marks = keys.select("text_key").mapInArrow(_mark, "slice int, at binary").groupBy("slice").applyInArrow(_marks, "slice int, bits binary")
+    return keys.sparkSession.sparkContext.broadcast(_collected(marks, "bits", (1 << MARK_BITS) // SLICES // 8))
+
+
+def is_marked(keys: DataFrame, key: Column) -> Column:
+    """Whether ``key`` is a ``text_key`` of ``keys``: never false for one that is, and true for some that are not."""
+    marks = _marks_of(keys)
+
+    @F.pandas_udf("boolean")
+    def found(key: pd.Series) -> pd.Series:
+        bits, at = np.frombuffer(marks.value, np.uint8), _cell(mix(key.to_numpy().view(np.uint64), 33), MARK_BITS)
+        return pd.Series(bits[at >> 3] >> (7 - (at & 7)) & 1 == 1)
+
+    return found(key)
+
+
+def _marked_texts(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(_marked(_marks_of(chosen)), docs.schema)
+
+
+def _of_sets(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``found`` of texts with the set of each, one text a set.
+
+    A row of ``chosen`` (set, text_key) names one text of one set, so equal texts are told by their key, by which
+    the join has dealt them.
+    """
+    return found.join(chosen, "text_key").dropDuplicates(["text_key"])
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -223,7 +248,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: flo
     """
     asked = pairs.select(F.col("a_set").alias("set")).unionByName(pairs.select(F.col("b_set").alias("set"))).distinct()
     wanted = materialize(sets.join(asked, "set", "left_semi").select("set", "text_key"), "wanted")
-    arrays = materialize(_texts_of(wanted, docs).mapInArrow(_arrays, "set long, hashes binary"), "shingles")
+    arrays = materialize(_of_sets(_marked_texts(wanted, docs), wanted).select("set", "text").mapInArrow(_arrays, "set long, hashes binary"), "shingles")
     own = arrays.select(F.col("set").alias("a_set"), F.col("hashes").alias("a_hashes"))
     other = arrays.select(F.col("set").alias("b_set"), F.col("hashes").alias("b_hashes"))
     both = lookup(lookup(pairs, own, ["a_set"]), other, ["b_set"]).select("a", "b", "a_hashes", "b_hashes")
@@ -258,7 +283,7 @@ def join_similar(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     spark, texts = docs.sparkSession, docs.select("text")
     size = text_bytes(docs)
     buckets, bits = bucket_count(size, BUCKET_BYTES), min(MOST_BITS, max(LEAST_BITS, (size // 6).bit_length()))
-    counted = texts.mapInArrow(_count(bits), "slice int, at binary, counts binary").groupBy("slice").applyInArrow(_levels(bits), "slice int, levels binary")
+    counted = texts.mapInArrow(_count(bits), "slice int, held binary, at binary, counts binary").groupBy("slice").applyInArrow(_levels(bits), "slice int, levels binary")
     levels = spark.sparkContext.broadcast(_collected(counted, "levels", (1 << bits) // SLICES))
     dealt_out = texts.mapInArrow(_prefixes(levels, bits, similarity, buckets), ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in _PREFIX))
     shared = materialize(dealt_out.groupBy("bucket").applyInArrow(_shared, "key long, set long, size int, place int, lone int"), "prefixes")
@@ -311,7 +336,8 @@ def join_similar(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     members = followed(stars, sets)
     # Of every two components that share a shingle, one set of each meets, if their counts by cell allow it.
     chosen = materialize(members.join(shared.select("set").distinct(), "set", "left_semi").select("set", "text_key"), "chosen")
-    cells = materialize(_texts_of(chosen, docs).mapInArrow(_cells, "set long, cells array<smallint>"), "cells")
+    counted = _marked_texts(chosen, docs).mapInArrow(_cells, "text_key long, cells array<smallint>")
+    cells = materialize(_of_sets(counted, chosen).select("set", "cells"), "cells")
     rows = open_rows(members)
     first = rows.groupBy("key", "component").agg(F.min(F.struct("set", "size", "place", "lone", "cells")).alias("l")).select("key", "component", "l.*")
     pairs = side(first, "a").join(side(first, "b"), "key").filter(differ & (F.col("a_component") < F.col("b_component"))).select(*ends)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultloom.llm.overlap import SIMILARITY, Shingles, join_similar
+from resultloom.llm.overlap import SIMILARITY, Shingles, is_marked, join_similar
 from resultloom.llm.text import LAST_ID, id_key, pieces
 from resultloom.operators.components import components
 from resultloom.runtime import materialize
@@ -242,6 +242,13 @@ def one_of_each(
     first = named.groupBy("component").agg(F.min("least").alias("first")).select(
         F.coalesce("first.doc_id", F.lit(LAST_ID)).alias("_doc"), F.col("first.text_key").alias("_text")
     )
+    # Texts are dealt by their keys only where a row may go or have a twin; the others are let through where they are read.
+    key = F.xxhash64("_doc", "_text").alias("text_key")
+    places = prints.groupBy(id_key("doc_id").alias("_doc"), F.col("text_key").alias("_text")).count()
+    first = materialize(first.join(places, ["_doc", "_text"]), "first")
+    doubtful = places.join(first.filter("count = 1"), ["_doc", "_text"], "left_anti").select(key)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
-    kept = rows.join(first, ["_doc", "_text"], "left_semi").groupBy("_doc", "_text").agg(F.first("row").alias("row"))
+    rows = rows.withColumn("_doubt", is_marked(doubtful, key))
+    kept = rows.filter("_doubt").join(first, ["_doc", "_text"], "left_semi").groupBy("_doc", "_text").agg(F.first("row").alias("row"))
+    kept = rows.filter("not _doubt").select("row").unionByName(kept.select("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -102,3 +102,41 @@ def test_a_family_meets_its_first(spark, monkeypatch):
     groups, asked = joined(spark, monkeypatch, texts)
     assert groups == [list(range(400))]
     assert asked < 400 * 40
+
+
+def test_only_doubtful_rows_are_dealt_with_their_texts(spark):
+    """Rows that stay go past the shuffle; those that go, and equal rows, do not."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    rows = [(i, text()) for i in range(300)]
+    rows += [(400 + i, rows[i][1]) for i in range(20)] + [rows[7], rows[7], (None, "alone here"), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.one_of_each(docs)
+    assert sorted(found.collect(), key=str) == sorted([*rows[:300], (None, "alone here")], key=str)
+    marked = docs.select(F.xxhash64("doc_id", "text").alias("text_key"), F.col("doc_id").alias("id"))
+    asked = marked.filter("id between 400 and 409")
+    told = {r.id for r in marked.filter(overlap.is_marked(asked, F.col("text_key"))).collect()}
+    assert told >= set(range(400, 410)) and len(told) < 15
+
+
+def test_counters_of_a_task_are_told_as_bits_where_many_are_held():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    told = lambda n: [b for b in overlap._count(12)(iter([pa.record_batch([pa.array([" ".join(str(rng.randrange(40)) for _ in range(n))])], names=["text"])]))]
+    few, many = told(30), told(3000)
+    assert all(not b.column("held")[0].as_py() for b in few) and all(len(b.column("held")[0].as_py()) == 32 for b in many)
+    for batches in (few, many, few + many):
+        for number in range(overlap.SLICES):
+            own = [b for b in batches if b.column("slice")[0].as_py() == number]
+            if own:
+                got = np.frombuffer(overlap._levels(12)(pa.Table.from_batches(own)).column("levels")[0].as_py(), np.uint8)
+                want = np.zeros(256, int)
+                for b in own:
+                    held = np.frombuffer(b.column("held")[0].as_py(), np.uint8)
+                    at, counts = np.frombuffer(b.column("at")[0].as_py(), np.uint32), np.frombuffer(b.column("counts")[0].as_py(), np.uint8)
+                    part = np.unpackbits(held).astype(int) if len(held) else np.zeros(256, int)
+                    part[at] = counts
+                    want += part
+                assert (got == np.ceil(np.log2(want + 1))).all()
