@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -97,55 +97,57 @@ REMEMBER_MS = 24 * 3_600_000
 
 
 class _Deadline(StatefulProcessor):
-    """Waits for one source of one search until its deadline passes on the clock."""
+    """Waits for one source of one search until its deadline passes on the clock.
+
+    Each call of the state costs more than what is done with it, so all that is known of a key is one
+    value, read once and written once: the first start, the first answer, the timer that is set, or that the wait is closed.
+    """
 
     def __init__(self, deadline_ms: int, remember_ms: int) -> None:
         self._deadline, self._remember = deadline_ms, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._start = handle.getValueState("start", "ms long, expected long")
-        self._answer = handle.getValueState("answer", "ms long, status string")
+        self._open = handle.getValueState("open", "start long, expected long, answer long, status string, timer long")
         self._closed = handle.getValueState("closed", "yes boolean", self._remember)
 
-    def _close(self, key, status: str, latency: int) -> pd.DataFrame:
-        start, expected = self._start.get()
-        self._start.clear()
-        self._answer.clear()
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
+    def _close(self, key, start: int, expected: int | None, status: str, latency: int) -> Row:
         self._closed.update((True,))
-        row = {"search_id": key[0], "source": key[1], "status": status, "latency_ms": latency, "at_ms": start + latency, "expected": expected}
-        return pd.DataFrame([row]).astype({"expected": "Int64"})
+        return Row(search_id=key[0], source=key[1], status=status, latency_ms=latency, at_ms=start + latency, expected=expected)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self._closed.exists():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self._closed.get() is not None:
             return
-        waiting = self._start.exists()
-        starts = [tuple(self._start.get())] if waiting else []
-        answers = [tuple(self._answer.get())] if self._answer.exists() else []
-        for seen in rows:
-            opens = seen["status"] == "started"
-            told = seen.loc[opens, ["at_ms", "expected"]].itertuples(index=False, name=None)
-            starts += [(int(at), None if pd.isna(n) else int(n)) for at, n in told]
-            answers += list(seen.loc[~opens, ["at_ms", "status"]].itertuples(index=False, name=None))
-            # Only the first of each counts.
-            starts, answers = sorted(starts, key=lambda s: (s[0], s[1] or 0))[:1], sorted(answers)[:1]
-        # An answer may come before its start: it is kept, however old it is.
-        if starts:
-            self._start.update(starts[0])
+        known = self._open.get()
+        start, expected, answer, status, timer = known or (None,) * 5
+        starts = [] if start is None else [(start, expected)]
+        answers = [] if answer is None else [(answer, status)]
+        for row in rows:
+            if row["status"] == "started":
+                starts.append((row["at_ms"], row["expected"]))
+            else:
+                answers.append((row["at_ms"], row["status"]))
+        # Only the first of each counts. An answer may come before its start: it is kept, however old it is.
+        start, expected = min(starts, key=lambda s: (s[0], s[1] or 0), default=(None, None))
+        answer, status = min(answers, default=(None, None))
         if starts and answers:
-            (at, status), start = answers[0], starts[0][0]
-            late = at - start > self._deadline
-            yield self._close(key, "timeout" if late else status, self._deadline if late else int(at - start))
-        elif answers:
-            self._answer.update(answers[0])
-        elif starts and not waiting:
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._deadline)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self._closed.exists():
-            yield self._close(key, "timeout", self._deadline)
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            if known:
+                self._open.clear()
+            late = answer - start > self._deadline
+            yield self._close(key, start, expected, "timeout" if late else status, self._deadline if late else answer - start)
+            return
+        if starts and timer is None:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self._deadline
+            self._handle.registerTimer(timer)
+        self._open.update((start, expected, answer, status, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self._open.get()
+        if known is not None:
+            self._open.clear()
+            yield self._close(key, known[0], known[1], "timeout", self._deadline)
 
     def close(self) -> None:
         pass
@@ -177,7 +179,7 @@ def enforce_deadline(signals: DataFrame, deadline_ms: int = DEADLINE_MS, remembe
     use_rocksdb(signals.sparkSession)
     expected = F.col("expected").cast("long") if "expected" in signals.columns else F.lit(None).cast("long")
     timed = signals.select("search_id", "source", "status", F.unix_millis("at").alias("at_ms"), expected.alias("expected"))
-    outcomes = timed.groupBy("search_id", "source").transformWithStateInPandas(
+    outcomes = timed.groupBy("search_id", "source").transformWithState(
         _Deadline(deadline_ms, remember_ms), OUTCOME, "append", "ProcessingTime"
     )
     return outcomes.withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms")

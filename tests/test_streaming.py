@@ -68,3 +68,55 @@ def test_completed_searches_are_ranked_from_the_store(spark, tmp_path):
     pages = [[r.id for r in page_of(ranked, "s1", page, 2).collect()] for page in (1, 2, 99)]
     order = [r.id for r in ranked.filter("search_id = 's1'").orderBy("rank_position").collect()]
     assert pages == [order[:2], order[2:4], []]
+
+
+def test_a_wait_reads_and_writes_its_state_once():
+    calls = []
+
+    class Value:
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def get(self):
+            calls.append((self.name, "get"))
+            return self.held
+
+        def update(self, value):
+            calls.append((self.name, "update"))
+            self.held = value
+
+        def clear(self):
+            calls.append((self.name, "clear"))
+            self.held = None
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, name, schema, ttl=None):
+            return Value(name)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 10
+
+    signal = lambda status, at: {"status": status, "at_ms": at, "expected": None}
+    told = lambda wait, *rows: [tuple(r) for r in wait.handleInputRows(("s", "a"), iter(rows), Clock())]
+    wait = jobs._Deadline(4500, 1000)
+    wait.init(Handle())
+    assert told(wait, signal("success", 900), signal("started", 0), signal("failed", 950)) == [("s", "a", "success", 900, 900, None)]
+    assert len(calls) == 3 and told(wait, signal("started", 1)) == []
+    late = jobs._Deadline(4500, 1000)
+    late.init(Handle())
+    assert told(late, signal("started", 5)) == [] and Handle.timers == {4510}
+    assert told(late, signal("success", 5000)) == [("s", "a", "timeout", 4500, 4505, None)] and not Handle.timers
+    silent = jobs._Deadline(4500, 1000)
+    silent.init(Handle())
+    told(silent, signal("started", 7))
+    assert [tuple(r) for r in silent.handleExpiredTimer(("s", "a"), Clock(), None)] == [("s", "a", "timeout", 4500, 4507, None)]
+    assert list(silent.handleExpiredTimer(("s", "a"), Clock(), None)) == []
