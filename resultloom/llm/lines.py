@@ -16,6 +16,8 @@ from resultloom.runtime import materialize
 LEAST_CHARS = 15
 PARTS = 4
 BUCKET_BYTES = 32 << 20
+# Text bytes cut into lines at once: a task holds some 60 times as much in prefix sums.
+PIECE_BYTES = 512 << 10
 
 _ROW = ("doc_key", "text_key")
 
@@ -73,7 +75,7 @@ class _Lines:
 
 def _scan(least: int):
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             lines = _Lines(batch.column("text"), least)
             take = pa.array(lines.owner)
             yield pa.record_batch(
@@ -94,13 +96,14 @@ def _packed(names: list[str], rows: list[tuple]) -> pa.Table:
 
 def _scan_keys(least: int, buckets: int):
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             lines, rows = _Lines(batch.column("text"), least), []
             _, once = np.unique(lines.hashes, return_index=True)
-            for longer, part, keys in lines.keys():
-                for bucket, at in dealt(keys[once], buckets):
-                    at = once[at]
-                    rows.append((bucket, keys[at].tobytes(), lines.hashes[at].tobytes(), np.full(len(at), longer * PARTS + part, np.int8).tobytes()))
+            found = lines.keys()
+            keys, hashes = np.concatenate([k[once] for _, _, k in found]), np.tile(lines.hashes[once], len(found))
+            parts = np.repeat(np.array([longer * PARTS + part for longer, part, _ in found], np.int8), len(once))
+            for bucket, at in dealt(keys, buckets):
+                rows.append((bucket, keys[at].tobytes(), hashes[at].tobytes(), parts[at].tobytes()))
             yield from _packed(["bucket", "keys", "hashes", "parts"], rows).to_batches()
 
     return run
@@ -270,15 +273,16 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal:
 
 
 def _cut(batches):
-    """The texts without their removed lines, as the column ``kept``."""
-    for batch in batches:
+    """The rows with their texts without the removed lines."""
+    for batch in pieces(batches, "text"):
         kept = []
-        for text, removed in zip(batch.column("row").field("text").to_pylist(), batch.column("removed").to_pylist()):
+        for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
             if removed:
                 lines = np.array(text.split("\n"), dtype=object)
                 text = "\n".join(np.delete(lines, removed))
             kept.append(text)
-        yield pa.record_batch([*batch.columns, pa.array(kept, pa.string())], names=[*batch.schema.names, "kept"])
+        rest = [n for n in batch.schema.names if n != "text"]
+        yield pa.record_batch([*[batch.column(n) for n in rest], pa.array(kept, pa.string())], names=[*rest, "text"])
 
 
 def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal: int = LEAST_CHARS) -> DataFrame:
@@ -288,12 +292,13 @@ def clean_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_equal:
     that had a line and has none but blank ones left is dropped: all it said is
     said before. Texts that were null or blank already stay.
     """
-    decided = _decided(docs, least_chars, least_equal).select("row", "removed")
-    done = decided.mapInArrow(_cut, decided.withColumn("kept", F.lit(None).cast("string")).schema)
+    rest = F.struct(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"])
+    decided = _decided(docs, least_chars, least_equal).select(rest.alias("row"), "removed", F.col("row.text").alias("text"))
+    done = decided.mapInArrow(_cut, decided.schema)
     changed = F.size("removed") > 0
-    done = done.filter(~changed | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    own = {"text": F.col("kept")}
+    done = done.filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        counted = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType))
+        counted = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
         own["n_chars"] = counted.otherwise(F.col("row.n_chars"))
     return done.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
