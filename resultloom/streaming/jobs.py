@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
@@ -95,6 +96,10 @@ def throttle(
 # How long a closed wait is remembered, to ignore what still comes for it.
 REMEMBER_MS = 24 * 3_600_000
 
+# Into how many states the waits are dealt. A batch reads and writes whole states: some ms for each it has signals for, and
+# 2 or 3 us for each wait that one remembers. A stream that remembers tens of millions should have more.
+BUCKETS = 4096
+
 
 class _Deadline(StatefulProcessor):
     """Waits for one source of one search until its deadline passes on the clock.
@@ -153,6 +158,115 @@ class _Deadline(StatefulProcessor):
         pass
 
 
+# Stands for no ``expected``, so that the column has no nulls and its numbers stay whole in pandas.
+UNSAID = -(2**63)
+
+
+def _json(value: list) -> str:
+    return json.dumps(value, separators=(",", ":"))
+
+
+class _Deadlines(StatefulProcessor):
+    """All waits of a bucket, each by the rule of ``_Deadline``.
+
+    A call of the state costs as much as what is done with hundreds of signals, so the open waits are one value,
+    read and written once for all signals of a batch, and those closed another. A wait is known by its search and source in full.
+    """
+
+    def __init__(self, deadline_ms: int, remember_ms: int) -> None:
+        self._deadline, self._remember = deadline_ms, remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        # JSON. Open: [search, source, first start, expected, first answer, status, timer] of each. Closed: [closed at, how many]
+        # of each batch, oldest first, and in that order their searches and their sources.
+        self._open = handle.getValueState("open", "waits string")
+        self._closed = handle.getValueState("closed", "waits string", self._remember)
+
+    def _waits(self) -> dict[tuple, list]:
+        held = self._open.get()
+        return {(search, source): known for search, source, *known in (json.loads(held[0]) if held else [])}
+
+    def _keep(self, waits: dict[tuple, list]) -> None:
+        if waits:
+            self._open.update((_json([[*wait, *known] for wait, known in waits.items()]),))
+        else:
+            self._open.clear()
+
+    def _remembered(self, now: int) -> tuple[list, list, list]:
+        held = self._closed.get()
+        batches, searches, sources = json.loads(held[0]) if held else ([], [], [])
+        over = 0
+        while batches and batches[0][0] + self._remember <= now:
+            over += batches.pop(0)[1]
+        return batches, searches[over:], sources[over:]
+
+    def _close(self, remembered: tuple[list, list, list], told: list[tuple], now: int) -> pd.DataFrame:
+        batches, searches, sources = remembered
+        batches.append([now, len(told)])
+        searches += [row[0] for row in told]
+        sources += [row[1] for row in told]
+        self._closed.update((_json([batches, searches, sources]),))
+        # Objects, so that numbers beside nulls stay whole.
+        return pd.DataFrame(told, columns=OUTCOME.names, dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        remembered = self._remembered(now)
+        closed = set(zip(*remembered[1:]))
+        waits = self._waits()
+        held, timers, fresh = bool(waits), {known[4] for known in waits.values()}, False
+        for signals in rows:
+            columns = (signals[name].tolist() for name in ("search_id", "source", "status", "at_ms", "expected"))
+            for search, source, status, at, expected in zip(*columns):
+                if (search, source) in closed:
+                    continue
+                fresh, at = True, int(at)
+                known = waits.setdefault((search, source), [None] * 5)
+                # Only the first of each counts. An answer may come before its start: it is kept, however old it is.
+                if status == "started":
+                    expected = None if expected == UNSAID else expected
+                    if known[0] is None or (at, expected or 0) < (known[0], known[1] or 0):
+                        known[:2] = at, expected
+                elif known[2] is None or (at, status) < (known[2], known[3]):
+                    known[2:4] = at, status
+        if not fresh:
+            return
+        told = []
+        for wait, known in list(waits.items()):
+            start, expected, answer, status, timer = known
+            if start is not None and answer is not None:
+                late = answer - start > self._deadline
+                latency = self._deadline if late else answer - start
+                told.append((*wait, "timeout" if late else status, latency, start + latency, expected))
+                del waits[wait]
+            elif start is not None and timer is None:
+                known[4] = now + self._deadline
+        if waits or held:
+            self._keep(waits)
+        kept = {known[4] for known in waits.values()}
+        for timer in kept - timers - {None}:
+            self._handle.registerTimer(timer)
+        for timer in timers - kept - {None}:
+            self._handle.deleteTimer(timer)
+        if told:
+            yield self._close(remembered, told, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, expiry = timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        waits, told = self._waits(), []
+        for wait, (start, expected, _, _, timer) in list(waits.items()):
+            if timer is not None and timer <= expiry:
+                told.append((*wait, "timeout", self._deadline, start + self._deadline, expected))
+                del waits[wait]
+        if told:
+            self._keep(waits)
+            yield self._close(self._remembered(now), told, now)
+
+    def close(self) -> None:
+        pass
+
+
 OUTCOME = T.StructType(
     [
         T.StructField("search_id", T.StringType()),
@@ -165,7 +279,9 @@ OUTCOME = T.StructType(
 )
 
 
-def enforce_deadline(signals: DataFrame, deadline_ms: int = DEADLINE_MS, remember_ms: int = REMEMBER_MS) -> DataFrame:
+def enforce_deadline(
+    signals: DataFrame, deadline_ms: int = DEADLINE_MS, remember_ms: int = REMEMBER_MS, buckets: int | None = BUCKETS
+) -> DataFrame:
     """One outcome per (search, source) from signals (search_id, source, status, at).
 
     A ``started`` signal opens the wait; the first answer closes it, as a timeout if its time is
@@ -175,13 +291,23 @@ def enforce_deadline(signals: DataFrame, deadline_ms: int = DEADLINE_MS, remembe
 
     The outcome has search_id, source, status, latency_ms, the time ``at`` the wait closed, and
     ``expected``: how many sources the search asks, as its starts say where they have that column.
+
+    Waits are dealt into so many ``buckets``, each with one state; with None each wait has its own, which costs some ms a
+    wait and suits a stream of few signals. The number must stay as it is for the life of a checkpoint.
     """
     use_rocksdb(signals.sparkSession)
     expected = F.col("expected").cast("long") if "expected" in signals.columns else F.lit(None).cast("long")
     timed = signals.select("search_id", "source", "status", F.unix_millis("at").alias("at_ms"), expected.alias("expected"))
-    outcomes = timed.groupBy("search_id", "source").transformWithState(
-        _Deadline(deadline_ms, remember_ms), OUTCOME, "append", "ProcessingTime"
-    )
+    if buckets:
+        bucket = F.pmod(F.xxhash64("search_id", "source"), F.lit(buckets)).alias("bucket")
+        dealt = timed.withColumn("expected", F.coalesce("expected", F.lit(UNSAID))).select(bucket, "*")
+        outcomes = dealt.groupBy("bucket").transformWithStateInPandas(
+            _Deadlines(deadline_ms, remember_ms), OUTCOME, "append", "ProcessingTime"
+        )
+    else:
+        outcomes = timed.groupBy("search_id", "source").transformWithState(
+            _Deadline(deadline_ms, remember_ms), OUTCOME, "append", "ProcessingTime"
+        )
     return outcomes.withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms")
 
 

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,116 @@ def test_a_wait_reads_and_writes_its_state_once():
     told(silent, signal("started", 7))
     assert [tuple(r) for r in silent.handleExpiredTimer(("s", "a"), Clock(), None)] == [("s", "a", "timeout", 4500, 4507, None)]
     assert list(silent.handleExpiredTimer(("s", "a"), Clock(), None)) == []
+
+
+class Store:
+    """The state of one key and its timers, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.now = 0, set(), 0
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.expiry
+
+    def getValueState(self, name, schema, ttl=None):
+        store, held = self, {}
+
+        class Value:
+            def get(self):
+                store.calls += 1
+                return held["value"] if held and (ttl is None or held["at"] + ttl > store.now) else None
+
+            def update(self, value):
+                store.calls += 1
+                held.update(value=value, at=store.now)
+
+            def clear(self):
+                store.calls += 1
+                held.clear()
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        assert at not in self.timers
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def play(made, key_of, frame, batches):
+    """Outcomes of a processor by batch, as Spark drives it: rows by key, then the timers that are over."""
+    stores, waits, told = {}, {}, []
+    for now, signals in batches:
+        dealt, outcomes = {}, []
+        for row in signals:
+            dealt.setdefault(key_of(row), []).append(row)
+        for key, rows in dealt.items():
+            if key not in stores:
+                stores[key], waits[key] = Store(), made()
+                waits[key].init(stores[key])
+            stores[key].now = now
+            outcomes += waits[key].handleInputRows(key, frame(rows), stores[key])
+        for key, store in stores.items():
+            store.now = now
+            for store.expiry in sorted(t for t in store.timers if t <= now):
+                if store.expiry in store.timers:
+                    outcomes += waits[key].handleExpiredTimer(key, store, store)
+                    store.timers.discard(store.expiry)
+        told.append(sorted((tuple(r) for o in outcomes for r in (o.itertuples(index=False) if isinstance(o, pd.DataFrame) else [o])), key=repr))
+    return told, stores
+
+
+COLUMNS = ["search_id", "source", "status", "at_ms", "expected"]
+
+
+def in_frames(rows):
+    rows = [(*r[:4], jobs.UNSAID if r[4] is None else r[4]) for r in rows]
+    return iter([pd.DataFrame(rows[i : i + 3], columns=COLUMNS) for i in range(0, len(rows), 3)])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_waits_of_a_bucket_end_as_each_would_alone(seed):
+    rng = random.Random(seed)
+    ends, batches, now = {"success", "failed"}, [], 0
+    for _ in range(60):
+        now += rng.choice([100, 2000, 4500, 9000])
+        batches.append((now, [
+            (rng.choice(["s1", 's"2', "s\n3", None]), rng.choice(["a", "b,é", "c"]), rng.choice(["started", *sorted(ends)]), now - rng.randrange(0, 6000, 500), rng.choice([None, 0, 3, 2**60 + 1]))
+            for _ in range(rng.randrange(8))
+        ]))
+    batches += [(now + 4500 * (i + 1), []) for i in range(4)]
+    alone, _ = play(lambda: jobs._Deadline(4500, 20_000), lambda r: r[:2], lambda rows: iter([dict(zip(COLUMNS, r)) for r in rows]), batches)
+    together, stores = play(lambda: jobs._Deadlines(4500, 20_000), lambda r: (0,), in_frames, batches)
+    assert together == alone and sum(map(len, alone)) > 20
+    assert not any(store.timers for store in stores.values())
+
+
+def test_state_calls_do_not_grow_with_the_waits_of_a_bucket():
+    batches = [
+        (1000, [(f"s{i}", "a", status, 500, None) for i in range(3000) for status in ("started", "success")[: 1 + (i % 10 != 3)]]),
+        (2000, [(f"s{i}", "a", "success", 600, None) for i in range(3000)]),
+        (9000, []),
+    ]
+    told, stores = play(lambda: jobs._Deadlines(4500, 20_000), lambda r: (0,), in_frames, batches)
+    assert [len(rows) for rows in told] == [2700, 300, 0]
+    assert sum(store.calls for store in stores.values()) <= 12
+
+
+@pytest.mark.parametrize("buckets", [1, None])
+def test_waits_in_one_bucket_and_in_none(spark, tmp_path, buckets):
+    folder = str(tmp_path / "in")
+    put(spark, folder, [("A", "a", "started", 0), ("A", "b", "started", 0), ("B", "a", "success", 9)])
+    put(spark, folder, [("A", "a", "failed", 2), ("B", "a", "started", 0), ("A", "a", "success", 3)])
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = jobs.run_until_settled(jobs.enforce_deadline(stream, 4500, buckets=buckets), str(tmp_path / "check"), str(tmp_path / "out"))
+    got = sorted((r.search_id, r.source, r.status, r.latency_ms, str(r["at"]), r.expected) for r in found.collect())
+    assert got == [
+        ("A", "a", "failed", 2000, "2024-01-01 00:00:02", None), ("A", "b", "timeout", 4500, "2024-01-01 00:00:04.500000", None),
+        ("B", "a", "timeout", 4500, "2024-01-01 00:00:04.500000", None),
+    ]
